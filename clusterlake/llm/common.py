@@ -2,55 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterlake.plans.scratch import shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this process where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = "file://" + tempfile.mkdtemp(prefix="clusterlake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended before; the store's owner cleans up then
-        pass
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, which cuts its lineage and lets two consumers share one computation. Removed at exit."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows in an Arrow batch; documents are kilobytes each, so that a batch stays a few megabytes."""
+    """Rows and bytes in an Arrow batch at most; documents are kilobytes each, but some are far longer."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def crc_mod(column: str, n: int) -> F.Column:
+def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id's decimal text, modulo n; null where the id is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

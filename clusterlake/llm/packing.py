@@ -218,7 +218,7 @@ def best_fit_plan(histogram: dict[int, int], max_len: int = MAX_LEN) -> np.ndarr
                 add(capacity - left * length, first + full, 1)
                 rank, left, full = rank + left, 0, full + 1
             add(capacity, first + full, n - full)
-    return np.array(runs, np.int64).reshape(-1, 6)
+    return np.array(sorted(runs), np.int64).reshape(-1, 6)
 
 
 def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:

@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: the module of this package that holds the function of that name.
 WHERE = {
     "op1_packing": "packing",
+    "op2_suffixes": "suffixes",
+    "op3_simhash": "simhash",
+    "op4_quality": "quality",
     "op5_media": "ogg",
+    "op6_chat": "chat",
+    "op7_language": "langid",
+    "op8_licenses": "licenses",
+    "op9_top_k": "vafile",
     "op10_byte_bpe": "byte_bpe",
 }
 
@@ -20,4 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from clusterlake.llm import chat, vafile
+
+    return {"op6_chat": chat.SQL, "op9_top_k": vafile.SQL}
