@@ -1,18 +1,64 @@
-"""A corpus pipeline of the training-data operators. Each stage takes what the one before it kept."""
+"""A corpus pipeline of the training-data operators. Each stage takes what the one before it kept.
+
+A stage is (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents. Models are learned from the
+stage's own input, by the rules of the operators' queries (held-out documents stay held out).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clusterlake.llm import langid, packing, quality, simhash, suffixes
+from clusterlake.llm.common import table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null texts and texts with no letter."""
+    rejected = langid.language_of(docs).where("lang_pred = 'und'").select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose quality score is below the threshold of the query."""
+    scores = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    rejected = scores.where(F.col("score") < quality.THRESHOLD).select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each component."""
+    others = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
 
-STAGES = []
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated passages from the texts; what a cut leaves of a character goes with it. Every row stays."""
 
+    def each(row: dict, kept: bytes, n: int, gone: int, spans: int) -> dict:
+        if gone:
+            row["text"] = kept.decode("utf-8", "ignore")
+            row["n_chars"] = len(row["text"])
+        return row
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    return suffixes.deduplicated(docs, F.col("text"), each, schema).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return packing.pack_documents(docs, tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("quality", quality_), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packed)]
+
+#: SQL can't express the learned stages; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each result written to the shared folder."""
-    from clusterlake.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
