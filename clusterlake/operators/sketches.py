@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterlake.operators.components import connected_components
-from clusterlake.operators.pairs import candidate_pairs
 from clusterlake.plans.scratch import written
 
 
@@ -30,27 +29,55 @@ def sketch(items: DataFrame, tokens: Column, digits: int = 1) -> DataFrame:
     return hashed.where(F.substring("token", 1, digits) == "0" * digits).distinct()
 
 
-def sketch_edges(sketches: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) of items with at least that Jaccard index. A pair qualifies only if the sizes allow it, so that the bound prunes pairs right after the join."""
-    size = sketches.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    t = sketches.select(F.lit(0).alias("bin"), F.col("item").alias("record_id"), F.col("item").alias("container_id"), "token")
-    p = candidate_pairs(t, bins=())
-    side = lambda s: size.select(F.col("item").alias(s), F.col("n").alias(f"n_{s}"))
-    p = p.join(side("a"), "a").join(side("b"), "b")
-    return p.select("a", "b", F.round(F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
-def representatives(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """(item, component, representative): the member most similar to all others of its component, the least of equals; an item without an edge represents itself."""
-    e = written(edges, "edges")
-    c = connected_components(e).withColumnRenamed("id", "item")
-    sums = e.select(F.col("a").alias("item"), "jaccard").unionByName(e.select(F.col("b").alias("item"), "jaccard")).groupBy("item").agg(F.round(F.sum("jaccard"), 4).alias("total"))
-    first = F.row_number().over(W.partitionBy("component").orderBy(F.desc("total"), "item"))
-    best = c.join(sums, "item").withColumn("r", first).where("r = 1").select("component", F.col("item").alias("representative"))
-    found = c.join(best, "component")
-    return items.select("item").join(found, "item", "left").select("item", F.coalesce("component", "item").alias("component"), F.coalesce("representative", "item").alias("representative"))
+def sketch_classes(sketches: DataFrame) -> DataFrame:
+    """(key, item, members, tokens): items with equal sketches as one class, named by the least of them."""
+    each = sketches.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    keyed = each.withColumn("key", F.md5(F.array_join("tokens", "")))
+    return keyed.groupBy("key").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("members"), F.min("tokens").alias("tokens"))
+
+
+def class_of(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(item, class) of each item that has a sketch."""
+    key = F.md5(F.array_join(F.array_sort(F.collect_list("token")), ""))
+    return sketches.groupBy("item").agg(key.alias("key")).join(classes.select("key", F.col("item").alias("class")), "key").select("item", "class")
+
 
+def class_edges(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of classes with at least that Jaccard index, copies left out.
 
-def dereplicate(items: DataFrame, tokens: Column, least: float = 0.8, digits: int = 1) -> DataFrame:
-    """Sketches, edges, components and representatives of (item, ...) rows."""
-    return representatives(items, sketch_edges(written(sketch(items, tokens, digits), "sketches"), least))
+    Two sets that reach it share a token among the rarest few of each (all but as many as must be shared, and one), so that only
+    those are joined; sizes must allow it too. Survivors are verified on the whole sets.
+    """
+    n = F.size("tokens")
+    token = classes.select(F.col("item").alias("x"), n.alias("n"), F.explode("tokens").alias("token"))
+    often = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(W.partitionBy("x").orderBy("df", "token"))
+    prefix = token.join(often, "token").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    side = lambda s: prefix.select("token", F.col("x").alias(s), F.col("n").alias(f"n_{s}"))
+    near = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9))
+    pairs = near.select("a", "b").distinct()
+    whole = lambda s: classes.select(F.col("item").alias(s), F.col("tokens").alias(f"t_{s}"))
+    both = pairs.join(whole("a"), "a").join(whole("b"), "b")
+    i = F.size(F.array_intersect("t_a", "t_b"))
+    j = i / (F.size("t_a") + F.size("t_b") - i)
+    return both.select("a", "b", j.alias("j")).where(F.col("j") >= least).select("a", "b", F.round("j", 6).alias("jaccard"))
+
+
+def dereplicate(items: DataFrame, sketches: DataFrame, least: float = 0.8) -> DataFrame:
+    """(item, component, representative) of items with sketches (item, token): the member most similar to all others of its component, the least of equals.
+
+    Items with equal sketches are one class from the start: each counts in the sums, but their pairs are never made. An item that is
+    like no other represents itself, as does one without tokens.
+    """
+    s = written(sketches, "sketches")
+    c = written(sketch_classes(s), "classes")
+    e = written(class_edges(c, least), "edges")
+    links = e.select(F.col("a").alias("item"), F.col("b").alias("other"), "jaccard").unionByName(e.select(F.col("b").alias("item"), F.col("a").alias("other"), "jaccard"))
+    beyond = links.join(c.select(F.col("item").alias("other"), "members"), "other").groupBy("item").agg(F.sum(F.col("jaccard") * F.col("members")).alias("beyond"))
+    total = F.round(F.coalesce("beyond", F.lit(0.0)) + F.col("members") - 1, 4)
+    component = connected_components(e).withColumnRenamed("id", "item")
+    every = c.select("item", "members").join(beyond, "item", "left").join(component, "item", "left").select("item", F.coalesce("component", "item").alias("component"), total.alias("total"))
+    best = every.groupBy("component").agg(F.max(F.struct("total")).alias("t")).select("component", "t.total").join(every, ["component", "total"]).groupBy("component").agg(F.min("item").alias("representative"))
+    named = every.select(F.col("item").alias("class"), "component").join(best, "component")
+    found = class_of(s, c).join(named, "class").select("item", "component", "representative")
+    return items.select("item").join(found, "item", "left").select("item", F.coalesce("component", "item").alias("component"), F.coalesce("representative", "item").alias("representative"))

@@ -250,15 +250,25 @@ def query_propagation(spark, sf):
 
 SKETCH = """WITH RECURSIVE w AS (SELECT doc_id AS item, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents),
 sh AS (SELECT item, UNNEST(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS t FROM w WHERE len(ws) >= 5),
-tok AS (SELECT DISTINCT item, md5(t) AS token FROM sh WHERE md5(t)[1] = '0'), n AS (SELECT item, count(*) AS n FROM tok GROUP BY 1),
+tok AS (SELECT DISTINCT item, md5(t) AS token FROM sh WHERE md5(t)[1] = '0'), n AS (SELECT item, count(*) AS n, string_agg(token, '' ORDER BY token) AS k FROM tok GROUP BY 1),
 p AS (SELECT x.item AS a, y.item AS b, count(*) AS i FROM tok x JOIN tok y ON x.token = y.token AND x.item < y.item GROUP BY ALL),
-e AS (SELECT a, b, round(i / (x.n + y.n - i), 6) AS jaccard FROM p JOIN n x ON x.item = a JOIN n y ON y.item = b WHERE round(i / (x.n + y.n - i), 6) >= 0.8)"""
+e AS (SELECT a, b, round(i / (x.n + y.n - i), 6) AS jaccard FROM p JOIN n x ON x.item = a JOIN n y ON y.item = b WHERE i / (x.n + y.n - i) >= 0.8),
+cl AS (SELECT item, min(item) OVER (PARTITION BY k) AS class FROM n)"""
 
 
-@query(f"{SKETCH} SELECT a, b, jaccard FROM e")
+@query(f"{SKETCH} SELECT a, b, jaccard FROM e WHERE a IN (SELECT class FROM cl) AND b IN (SELECT class FROM cl)")
 def sketch_pairs(spark, sf):
+    """Pairs between the least documents of classes with equal sketches; sketch_classes has the membership."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
-    return sketches.sketch_edges(written(sketches.sketch(d, sketches.word_shingles(F.col("text"))), "sketches"), 0.8)
+    c = written(sketches.sketch_classes(sketches.sketch(d, sketches.word_shingles(F.col("text")))), "classes")
+    return sketches.class_edges(c, 0.8)
+
+
+@query(f"{SKETCH} SELECT item, class FROM cl")
+def sketch_classes(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    s = written(sketches.sketch(d, sketches.word_shingles(F.col("text"))), "sketches")
+    return sketches.class_of(s, sketches.sketch_classes(s))
 
 
 @query(f"""{SKETCH}, both_ AS (SELECT a AS x, b AS y, jaccard FROM e UNION ALL SELECT b, a, jaccard FROM e), reach AS (SELECT DISTINCT x AS item, x AS seen FROM both_ UNION SELECT r.item, y FROM reach r JOIN both_ ON x = seen),
@@ -267,7 +277,7 @@ best AS (SELECT component, item AS representative FROM (SELECT *, row_number() O
 SELECT d.doc_id AS item, coalesce(c.component, d.doc_id) AS component, coalesce(representative, d.doc_id) AS representative FROM documents d LEFT JOIN c ON c.item = d.doc_id LEFT JOIN best ON best.component = c.component""")
 def dereplicate_documents(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
-    return sketches.dereplicate(d, sketches.word_shingles(F.col("text")), 0.8)
+    return sketches.dereplicate(d, sketches.sketch(d, sketches.word_shingles(F.col("text"))), 0.8)
 
 
 LABELS = "WITH l AS (SELECT doc_id AS item, lang AS curated, source AS computed FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), c AS (SELECT *, sum(n) OVER (PARTITION BY curated) AS nr, sum(n) OVER (PARTITION BY computed) AS nc FROM (SELECT curated, computed, count(*) AS n FROM l GROUP BY curated, computed))"

@@ -169,8 +169,8 @@ def dereplicate(spark: SparkSession, folder: str, least: float = 0.8, settings:
     items = files.where(filters.within_length(F.col("nt_len"), c.min_length, c.max_length)).select(F.col("path").alias("item"), text.alias("protein"))
     hashed = items.select("item", F.explode(sketches.kmers(F.col("protein"), c.kmer)).alias("k")).select("item", F.xxhash64("k").alias("token"))
     # The least of 2**64 values over the scale; signed numbers are moved up by half the range.
-    scaled = hashed.where(F.col("token").cast("decimal(38,0)") + F.lit(2**63).cast("decimal(38,0)") < F.lit(2**64 // c.scaled).cast("decimal(38,0)")).distinct()
-    return sketches.representatives(items, sketches.sketch_edges(written(scaled, "sketches"), least))
+    scaled = hashed.where(F.col("token").cast("decimal(38,0)") + F.lit(str(2**63)).cast("decimal(38,0)") < F.lit(str(2**64 // c.scaled)).cast("decimal(38,0)")).distinct()
+    return sketches.dereplicate(items, scaled, least)
 
 
 def benchmark(spark: SparkSession, curated: str, computed: str) -> dict[str, DataFrame]:

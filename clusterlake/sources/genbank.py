@@ -115,9 +115,9 @@ def records_of(flat: dict, force: bool = False) -> list[dict]:
     features = flat["features"]
     base = {"parent_type": None, "parent_number": None, "children": [], "category": None, "kind": None}
 
-    def record(kind: str, number: int, location: str, q: dict, **more) -> dict:
+    def record(level: str, number: int, location: str, q: dict, **more) -> dict:
         start, stop, *_ = parse_location(location)
-        return base | {"record_type": kind, "number": number, "nt_start": start, "nt_stop": stop, "product": ".".join(sorted(q.get("product", ["other"]))), "contig_edge": _one(q, "contig_edge") == "True"} | more
+        return base | {"record_type": level, "number": number, "nt_start": start, "nt_stop": stop, "product": ".".join(sorted(q.get("product", ["other"]))), "contig_edge": _one(q, "contig_edge") == "True"} | more
 
     major = re.match(r"\d+", version)
     if major and int(major[0]) < 5:
