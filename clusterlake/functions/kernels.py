@@ -32,6 +32,7 @@ class Record:
     orfs: list[int] = field(default_factory=list)
     all_orfs: list[int] = field(default_factory=list)
     contig_edge: bool = False
+    protocore: set[int] = field(default_factory=set)
 
     @classmethod
     def of(cls, genes: Sequence[dict], kind: str = "region", product: str = "", contig_edge: bool = False) -> Record:
@@ -47,13 +48,15 @@ class Record:
                 r.gene.append(r.n_genes)
             if g["is_core"]:
                 r.cores.add(r.n_genes)
+            if g["in_protocore"]:
+                r.protocore.add(r.n_genes)
             r.orfs.append(g["orf"])
             r.n_genes += 1
         return r
 
     def backwards(self) -> Record:
         last = self.n_genes - 1
-        return replace(self, domains=self.domains[::-1], gene=[last - g for g in self.gene[::-1]], cores={last - g for g in self.cores}, alignments=self.alignments[::-1], orfs=self.orfs[::-1], all_orfs=self.all_orfs[::-1])
+        return replace(self, domains=self.domains[::-1], gene=[last - g for g in self.gene[::-1]], cores={last - g for g in self.cores}, protocore={last - g for g in self.protocore}, alignments=self.alignments[::-1], orfs=self.orfs[::-1], all_orfs=self.all_orfs[::-1])
 
 
 @dataclass(frozen=True)
@@ -76,7 +79,11 @@ class Region:
 
 
 def longest_match(a: Record, b: Record) -> Region:
-    """The common substring to start from, of all matching blocks forwards and backwards: the one longest with a core gene, else the most central with one; else the same without."""
+    """The common substring to start from, of all matching blocks forwards and backwards: the one longest with a core gene, else the most central with one; else the same without.
+
+    Between records below the level of candidate clusters, genes of the protocores count instead of core genes.
+    """
+    below = a.kind not in REGION_TYPES and b.kind not in REGION_TYPES
     kinds: dict[bool, list[tuple[int, float, int, int, bool]]] = {True: [], False: []}
     few, positions = (a, 0) if a.n_genes <= b.n_genes else (b, 1)
     for reverse, other in ((False, b.domains), (True, b.domains[::-1])):
@@ -84,7 +91,7 @@ def longest_match(a: Record, b: Record) -> Region:
             i, j, n = block
             if not n:
                 continue
-            core = any(r.gene[k] <= c <= r.gene[k + n - 1] for r, k in ((a, i), (b, j)) for c in r.cores)
+            core = any(r.gene[k] <= c <= r.gene[k + n - 1] for r, k in ((a, i), (b, j)) for c in (r.protocore if below else r.cores))
             k = (i, j)[positions]
             middle = few.n_genes / 2
             off = round(min(abs(middle - few.gene[k]), abs(middle - few.gene[k + n - 1])))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from clusterlake.functions import kernels as K
 from clusterlake.plans.config import Settings
 
-GENES = "array<struct<orf:int,strand:int,is_core:boolean,hsps:array<struct<accession:string,alignment:string>>>>"
 SCORE = (
     "a long, b long, distance double, jaccard double, adjacency double, dss double, a_start int, a_stop int, b_start int, b_stop int, "
     "lcs_a_start int, lcs_a_stop int, lcs_b_start int, lcs_b_stop int, reverse boolean"
@@ -20,8 +19,9 @@ SCORE = (
 
 
 def features(records: DataFrame, genes: DataFrame) -> DataFrame:
-    """(record_id, kind, product, contig_edge, genes): a record's genes in order, with their hits in order; genes without hits too."""
-    g = genes.select("record_id", F.struct("orf", "strand", "is_core", "hsps").alias("g")).groupBy("record_id").agg(F.array_sort(F.collect_list("g")).alias("genes"))
+    """(record_id, kind, product, contig_edge, genes): a record's genes in order, with their hits in order; genes without hits too. in_protocore may be missing."""
+    inner = F.col("in_protocore") if "in_protocore" in genes.columns else F.lit(False)
+    g = genes.select("record_id", F.struct("orf", "strand", "is_core", inner.alias("in_protocore"), "hsps").alias("g")).groupBy("record_id").agg(F.array_sort(F.collect_list("g")).alias("genes"))
     return records.select("record_id", "kind", "product", "contig_edge").join(g, "record_id")
 
 
@@ -65,6 +65,15 @@ def regions(pairs: DataFrame, feats: DataFrame, mode: str = "glocal", strategy:
     return _paired(pairs, feats).mapInPandas(run, schema)
 
 
+def backfill_matches(edges: DataFrame, feats: DataFrame) -> DataFrame:
+    """Edges with (a, b, lcs_a_start, lcs_a_stop, lcs_b_start, lcs_b_stop, reverse); those of no length get the match that a local comparison would start from, in domain positions."""
+    cols = ["lcs_a_start", "lcs_a_stop", "lcs_b_start", "lcs_b_stop"]
+    lacking = edges.where("lcs_a_stop <= lcs_a_start")
+    m = regions(lacking.select("a", "b"), feats, "local").select("a", "b", *(F.col(f"lcs_{x}").alias(f"_{c}") for c, x in zip(cols, ("a0", "a1", "b0", "b1"), strict=True)), F.col("reverse").alias("_reverse"))
+    filled = edges.join(m, ["a", "b"], "left")
+    return filled.select(*(F.coalesce(f"_{c}", c).alias(c) if c in (*cols, "reverse") else F.col(c) for c in edges.columns))
+
+
 def greedy_regions(pairs: DataFrame, domains: DataFrame) -> DataFrame:
     """(a, b, a0, a1, b0, b1): first and last position of domains in common, by joins alone. domains: (record_id, position, domain), positions from 0."""
     d = domains.groupBy("record_id", "domain").agg(F.min("position").alias("lo"), F.max("position").alias("hi"))

@@ -50,17 +50,21 @@ class Options:
             raise ValueError("hybrids can only be split into classes or categories")
 
 
-def record_genes(records: DataFrame, genes: DataFrame, hits: DataFrame) -> DataFrame:
-    """(record_id, orf, strand, is_core, hsps): genes within each record, of a region all of its file, with their hits in order.
+def record_genes(records: DataFrame, genes: DataFrame, hits: DataFrame, every: DataFrame) -> DataFrame:
+    """(record_id, orf, strand, is_core, in_protocore, hsps): genes within each record, of a region all of its file, with their hits in order.
+
+    every: all records; the core of a protocluster is its child there.
 
     hits: (container_id, orf, accession, env_start, env_stop, bit_score, alignment).
     """
     order = F.struct("env_start", -F.col("bit_score"), "accession", "alignment")
     h = hits.groupBy("container_id", "orf").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "accession", "alignment"))), lambda x: F.struct(filters.without_version(x["accession"]).alias("accession"), x["alignment"].alias("alignment"))).alias("hsps"))
     g = genes.join(h, ["container_id", "orf"], "left").withColumn("is_core", F.coalesce(F.col("gene_kind").isin("biosynthetic", "catabolic"), F.lit(False)))
-    r = records.select("record_id", "container_id", "record_type", F.col("nt_start").alias("_a"), F.col("nt_stop").alias("_b"))
+    core = every.where("record_type = 'proto_core'").groupBy(F.col("parent_id").alias("record_id")).agg(F.min("nt_start").alias("_c"), F.max("nt_stop").alias("_d"))
+    r = records.join(core, "record_id", "left").select("record_id", "container_id", "record_type", F.col("nt_start").alias("_a"), F.col("nt_stop").alias("_b"), F.coalesce("_c", "nt_start").alias("_c"), F.coalesce("_d", "nt_stop").alias("_d"))
+    inner = (F.col("nt_start") >= F.col("_c")) & (F.col("nt_stop") <= F.col("_d"))
     inside = (F.col("record_type") == "region") | ((F.col("nt_start") >= F.col("_a")) & (F.col("nt_stop") <= F.col("_b")))
-    return g.join(r, "container_id").where(inside).select("record_id", "orf", "strand", "is_core", F.coalesce("hsps", F.array().cast("array<struct<accession:string,alignment:string>>")).alias("hsps"))
+    return g.join(r, "container_id").where(inside).select("record_id", "orf", "strand", "is_core", inner.alias("in_protocore"), F.coalesce("hsps", F.array().cast("array<struct<accession:string,alignment:string>>")).alias("hsps"))
 
 
 def chosen_records(t: dict[str, DataFrame], o: Options) -> DataFrame:
@@ -101,7 +105,7 @@ def scored(binned_records: DataFrame, feats: DataFrame, o: Options, stored: Data
 def prepared(t: dict[str, DataFrame], hits: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Chosen records, and their features, after the filters of domains."""
     r = chosen_records(t, o)
-    g = written(record_genes(r, t["genes"], hits), "genes")
+    g = written(record_genes(r, t["genes"], hits, t["records"]), "genes")
     domains = g.select("record_id", F.explode("hsps").alias("h")).select("record_id", F.col("h.accession").alias("domain"))
     if o.include_any:
         r = filters.with_any_domain(r, domains, r.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, o.include_any))).alias("domain")))

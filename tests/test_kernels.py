@@ -34,6 +34,9 @@ def test_longest_match():
     assert (core.a0, core.a1) == (5, 7)
     central = K.longest_match(rec("AuvwxBqrstC"), rec("AabcdBefghC"))
     assert (central.a0, central.a1, central.b0, central.b1) == (5, 6, 5, 6)
+    inner = rec("ABCxyDE", {0}, "protocluster"), rec("ABCzwDE", kind="protocluster")
+    inner[0].protocore.add(5)
+    assert K.longest_match(*inner).a0 == 5
     with pytest.raises(ValueError, match="no domain"):
         K.longest_match(rec("ab"), rec("cd"))
 

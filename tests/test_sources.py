@@ -187,3 +187,11 @@ def test_stream(spark, tmp_path):
     want = candidate_pairs(spark.createDataFrame(every, schema)).select("a", "b")
     got = spark.read.parquet(f"{tmp_path}/store/edges").select("a", "b")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_command_line(spark, folder, hits, tmp_path):
+    from clusterlake.__main__ import main
+
+    hits.write.parquet(f"{tmp_path}/hits")
+    main(["cluster", "-i", folder, "-o", f"{tmp_path}/out", "--hits", f"{tmp_path}/hits", "--cutoffs", "0.3,0.7", "--record-type", "protocluster"])
+    assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/out/clustering").count() > 0
