@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,17 +12,22 @@ from clusterlake.operators.components import connected_components
 from clusterlake.plans.scratch import written
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for each row; within a lambda, an expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def word_shingles(text: Column, n: int = 5) -> Column:
     """Distinct runs of n words of a text in lower case; none for shorter texts."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(runs(w))))
 
 
 def kmers(sequence: Column, k: int = 10) -> Column:
     """Distinct substrings of k letters; none for shorter sequences."""
-    n = F.length(sequence)
-    return F.when(n < k, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(sequence, i, F.lit(k)))))
+    parts = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
+    return let(sequence, lambda s: F.when(F.length(s) < k, F.array().cast("array<string>")).otherwise(F.array_distinct(parts(s))))
 
 
 def sketch(items: DataFrame, tokens: Column, digits: int = 1) -> DataFrame:
