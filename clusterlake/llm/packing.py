@@ -231,8 +231,8 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(best_fit_plan(histogram, max_len))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    ranges = counts.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("part").agg(F.collect_list(F.struct("length", "before")).alias("starts"))
-    rows = pieces.join(ranges, "part", "left")
+    # One row for each length and task: a length that a third of all pieces have is still spread over all tasks.
+    ranges = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
@@ -246,7 +246,7 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(v, pa.int64()) for v in new.values())], names=[*kept, *new])
 
     kept = [c for c in pieces.columns if c not in ("part", "nth")]
-    rows = rows.select(*kept, "nth", F.expr("starts[array_position(transform(starts, x -> x.length), length) - 1].before").alias("before"))
+    rows = pieces.join(ranges, ["part", "length"]).select(*kept, "nth", "before")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*kept).schema) + ", sequence_id long, offset long"
     return rows.mapInArrow(run, schema)
 
