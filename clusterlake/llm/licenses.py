@@ -50,11 +50,24 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda x: ~x.isin(STOP))
 
 
+def possible(unit: Column, vocabulary: list[str]) -> Column:
+    """Whether a unit can reach the least cosine, from its number k of words that templates have and u of others.
+
+    The cosine is at most the share that the first have in the vector's length; no word weighs more than an unknown one, so that
+    their squares sum to at most k * k, and those of the others to at least u, in squares of that weight.
+    """
+    need = COSINE**2 / (1 - COSINE**2)
+    words = F.split(F.lower(unit), "[^a-z0-9]+")
+    count = lambda s, x: F.when((x == "") | x.isin(STOP), s).when(x.isin(vocabulary), F.struct((s["k"] + 1).alias("k"), s["u"].alias("u"))).otherwise(F.struct(s["k"].alias("k"), (s["u"] + 1).alias("u")))
+    zero = F.struct(F.lit(0).cast("double").alias("k"), F.lit(0).cast("double").alias("u"))
+    return F.aggregate(words, zero, count, lambda s: (s["k"] > 0) & (s["k"] * s["k"] >= need * s["u"]))
+
+
 def statements(files: DataFrame) -> DataFrame:
     """(id, license, cosine, share) of the best statement of each row of (id, text) that has one. Rows are told apart by id.
 
     Units are the lines of the text and the whole text. Inverse document frequencies are counted over all texts, for the templates'
-    words; any other word weighs as one that no text has. A unit without a word of a template has cosine 0 and is left early.
+    words; any other word weighs as one that no text has. Units that can't reach the least cosine are left early.
     """
     spark = files.sparkSession
     each = [F.struct(F.lit(f"{k}/{i}").alias("form"), F.lit(k).alias("license"), F.lit(t).alias("statement")) for k, v in TEMPLATES.items() for i, t in enumerate(v)]
@@ -79,7 +92,7 @@ def statements(files: DataFrame) -> DataFrame:
 
     lines = texts.select("id", F.length("text").alias("size"), F.explode(F.split("text", "\n")).alias("unit"))
     whole = texts.where(F.col("text").contains("\n")).select("id", F.length("text").alias("size"), F.col("text").alias("unit"))
-    units = lines.unionByName(whole).where(F.arrays_overlap(tokens(F.col("unit")), known))
+    units = lines.where(possible(F.col("unit"), vocabulary)).unionByName(whole.where(possible(F.col("unit"), vocabulary)))
     #: Units alike count once: a statement that a third of the texts carry is scored once.
     unit = F.sha2("unit", 256)
     distinct = written(units.groupBy("id", unit.alias("key")).agg(F.first("unit").alias("unit"), F.max("size").alias("size")), "units")
