@@ -380,9 +380,10 @@ def kept_parts(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, in
     return kept, len(data) - len(kept), spans
 
 
-def deduplicated(docs: DataFrame, text_col: Column, each: Callable, schema: str, min_len: int = MIN_LEN) -> DataFrame:
-    """each(row of docs' other columns, kept bytes, number of bytes, removed, spans) for each document."""
-    data = docs.withColumn("data", F.coalesce(text_col.cast("binary"), F.lit(b""))).withColumn("doc_id", F.col("doc_id").cast("long"))
+def deduplicated(docs: DataFrame, text_col: Column, keep: list[Column | str], each: Callable, schema: str, min_len: int = MIN_LEN) -> DataFrame:
+    """each(row of the columns to keep, kept bytes, number of bytes, removed, spans) for each document; a null text counts as empty. What the columns are called doesn't matter."""
+    row = F.struct(*keep)
+    data = docs.select(row.alias("row"), F.coalesce(text_col.cast("binary"), F.lit(b"")).alias("data"), F.col("doc_id").cast("long").alias("doc_id"))
     runs, n = removed(data.select("doc_id", "data"), min_len)
 
     def bucket(texts: pa.Table, blobs: list[bytes]) -> pa.Table:
@@ -397,10 +398,9 @@ def deduplicated(docs: DataFrame, text_col: Column, each: Callable, schema: str,
             else:
                 of.append((s, e))
         out = []
-        others = [c for c in texts.column_names if c not in ("data", "bucket")]
         for x in texts.to_pylist():
             kept, gone, spans = kept_parts(x["data"], found.get(x["doc_id"], []))
-            out.append(each({c: x[c] for c in others}, kept, len(x["data"]), gone, spans))
+            out.append(each(x["row"], kept, len(x["data"]), gone, spans))
         return pa.Table.from_pylist(out, schema=kinds)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -417,4 +417,4 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return {"doc_id": row["doc_id"], "n_bytes": n, "n_removed": gone, "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return deduplicated(docs, F.col("text"), each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return deduplicated(docs, F.col("text"), ["doc_id"], each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
