@@ -36,13 +36,15 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages from the texts; what a cut leaves of a character goes with it. Every row stays."""
 
     def each(row: dict, kept: bytes, n: int, gone: int, spans: int) -> dict:
+        row["text"] = None if row["text"] is None else kept.decode("utf-8", "ignore")
         if gone:
-            row["text"] = kept.decode("utf-8", "ignore")
             row["n_chars"] = len(row["text"])
         return row
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
-    return suffixes.deduplicated(docs, F.col("text"), each, schema).select(*docs.columns)
+    # The text travels once, as the bytes to cut; of the column itself only whether it is null.
+    keep = [F.when(F.col(c).isNotNull(), "").alias(c) if c == "text" else c for c in docs.columns]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return suffixes.deduplicated(docs, F.col("text"), keep, each, schema)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
