@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, search, similarity, sketches, state
-from clusterlake.operators.components import connected_components
 from clusterlake.plans import outputs
 from clusterlake.plans.model import ANCHORS, CUTOFFS, SQL_GENES, SQL_RECORDS, WEIGHTS, genes, records, table
 from clusterlake.plans.scratch import written
@@ -401,11 +400,3 @@ def network_edges(spark, sf):
 @query(f"WITH {SQL_RECORDS} SELECT x.container_id, x.record_id AS a, x.record_type AS record_type_a, y.record_id AS b, y.record_type AS record_type_b FROM rec x JOIN rec y ON x.container_id = y.container_id AND x.record_id < y.record_id")
 def topology_links(spark, sf):
     return outputs.topology(records(spark, sf))
-
-
-@query("SELECT o_custkey AS id, min(least(o_custkey, c)) AS component FROM (SELECT o_custkey, min(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE)) AS c FROM orders) GROUP BY 1 HAVING false")
-def empty_graph(spark, sf):
-    """Components of a graph without edges."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), F.col("o_custkey").alias("b"))
-    return connected_components(o)
-

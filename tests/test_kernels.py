@@ -153,6 +153,7 @@ def test_components(spark):
             p, q = sorted((find(a), find(b)))
             root[q] = p
     assert got == {x: find(x) for x in root}
+    assert connected_components(spark.createDataFrame([(5, 5), (None, 1)], "a long, b long")).count() == 0
 
 
 def test_legacy_classes(spark):
