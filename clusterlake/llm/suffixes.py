@@ -6,6 +6,9 @@ at most 2 * MIN_LEN bytes around it. Contexts meet by their anchor's hash. A con
 whole; an anchor that occurs once can't repeat. The suffixes of all other contexts go to the index family of their bucket, in the
 order of documents: each batch gets a suffix array (suffixes are as long as the strings compared), is merge-scanned against the
 levels that earlier batches left, and becomes a level; levels of about equal size merge, so that there are few.
+
+A string starts earlier if its doc_id is smaller or, of one doc_id, its start is. Rows that share a doc_id are told apart by a version
+of it; a string never covers one at the same doc_id and start, so that repeated rows leave each other whole.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _BASE = 0xC6BC279692B5CC83 | 1
 _VALUES = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)
 
-ANCHOR = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("n", "u1"), ("rel", "u1")]
-COVER = [("doc", "<i8"), ("s", "<u4"), ("e", "<u4")]
-CONTEXT = [("h", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("n", "u1"), ("rel", "u1")]
+ANCHOR = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("v", "<i8"), ("s", "<u4"), ("n", "u1"), ("rel", "u1")]
+COVER = [("doc", "<i8"), ("v", "<i8"), ("s", "<u4"), ("e", "<u4")]
+CONTEXT = [("h", "<u8"), ("doc", "<i8"), ("v", "<i8"), ("s", "<u4"), ("n", "u1"), ("rel", "u1")]
 
 
 def packed(kind: list, rows: dict[str, np.ndarray], at: np.ndarray | slice = slice(None)) -> bytes:
@@ -118,12 +121,12 @@ class Hashes:
         return x ^ x >> np.uint64(33)
 
 
-def contexts(docs: list[tuple[int, bytes]], min_len: int = MIN_LEN) -> dict[str, np.ndarray]:
-    """ANCHOR rows of documents: of each anchor, its hash h, the hash c of its context, the first start s of its n strings, and how far after s it is."""
+def contexts(docs: list[tuple[int, bytes]], min_len: int = MIN_LEN, versions: list[int] | None = None) -> dict[str, np.ndarray]:
+    """ANCHOR rows of documents, whose versions are 0 if not given: of each anchor, its hash h, the hash c of its context, the first start s of its n strings, and how far after s it is."""
     out: dict[str, list] = {n: [] for n, _ in ANCHOR}
 
-    def add(ids: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, b: np.ndarray) -> None:
-        """ids, sizes and the place of their first byte in its document, of parts that follow each other in b."""
+    def add(ids: np.ndarray, vs: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, b: np.ndarray) -> None:
+        """ids, versions, sizes and the place of their first byte in its document, of parts that follow each other in b."""
         begin = np.cumsum(sizes) - sizes
         fits = sizes >= min_len
         if not fits.any():
@@ -145,44 +148,51 @@ def contexts(docs: list[tuple[int, bytes]], min_len: int = MIN_LEN) -> dict[str,
         a, s = a[first], start[first]
         part = np.searchsorted(begin, s, "right") - 1
         c = Hashes(b).of(s, s + n + min_len - 1) + (a - s).astype(np.uint64) * _M[0] + n.astype(np.uint64) * _M[2]
-        rows = {"h": h[a], "c": c, "doc": ids[part], "s": s - begin[part] + offsets[part], "n": n, "rel": a - s}
+        rows = {"h": h[a], "c": c, "doc": ids[part], "v": vs[part], "s": s - begin[part] + offsets[part], "n": n, "rel": a - s}
         for k, v in rows.items():
             out[k].append(v)
 
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, int, int, bytes]] = []
     size = 0
 
     def flush() -> None:
         nonlocal held, size
         if held:
-            add(np.array([d for d, _, _ in held], np.int64), np.array([len(x) for _, _, x in held]), np.array([o for _, o, _ in held]), np.frombuffer(b"".join(x for _, _, x in held), np.uint8))
+            ids, vs, offsets = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3])
+            add(ids, vs, np.array([len(x) for *_, x in held]), offsets, np.frombuffer(b"".join(x for *_, x in held), np.uint8))
         held, size = [], 0
 
-    for doc, text in docs:
+    for (doc, text), v in zip(docs, versions or [0] * len(docs), strict=True):
         for at in range(0, max(0, len(text) - min_len + 1), CHUNK):  # parts overlap, so that each string is whole in one
             part = text[at : at + CHUNK + min_len - 1]
             if size + len(part) > CHUNK + min_len:
                 flush()
-            held.append((doc, at, part))
+            held.append((doc, v, at, part))
             size += len(part)
     flush()
     return {n: np.concatenate(out[n]).astype(t) if out[n] else np.zeros(0, t) for n, t in ANCHOR}
 
 
 def first_of_equal(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """An order by anchor, context, document and start, and in that order whether a row is the first of its anchor and context."""
-    order = np.lexsort((rows["s"], rows["doc"], rows["c"], rows["h"]))
-    h, c = rows["h"][order], rows["c"][order]
-    return order, np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))[: len(order)]
+    """An order by anchor, context, document and start, and in that order whether a row is a first of its anchor and context: none has a smaller document or start.
+
+    Of rows that are equal in all, the order has one. Rows that differ in the version alone are firsts together.
+    """
+    order = np.lexsort((rows["v"], rows["s"], rows["doc"], rows["c"], rows["h"]))
+    new = lambda *names: np.concatenate(([True], np.logical_or.reduce([(x := rows[n][order])[1:] != x[:-1] for n in names])))[: len(order)]
+    order = order[new("h", "c", "doc", "s", "v")]
+    begin = np.flatnonzero(new("h", "c"))
+    of = np.repeat(order[begin], np.diff(np.concatenate((begin, [len(order)]))))
+    return order, (rows["doc"][order] == rows["doc"][of]) & (rows["s"][order] == rows["s"][of])
 
 
 def covers(rows: dict[str, np.ndarray], at: np.ndarray, min_len: int) -> dict[str, np.ndarray]:
     s = rows["s"][at].astype(np.int64)
-    return {"doc": rows["doc"][at], "s": s, "e": s + rows["n"][at] + (min_len - 1)}
+    return {"doc": rows["doc"][at], "v": rows["v"][at], "s": s, "e": s + rows["n"][at] + (min_len - 1)}
 
 
 def find_anchors(docs: DataFrame, buckets: int, doc_buckets: int, min_len: int) -> DataFrame:
-    """ANCHORS rows by anchor and COVERS rows by document, of (doc_id, data binary). What repeats within one task's documents is combined there."""
+    """ANCHORS rows by anchor and COVERS rows by document, of (doc_id, version, data binary). What repeats within one task's documents is combined there."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +208,8 @@ def find_anchors(docs: DataFrame, buckets: int, doc_buckets: int, min_len: int)
             yield by_bucket(COVER, again, spread(again["doc"], doc_buckets), COVERS)
 
         for b in batches:
-            got = contexts([(d, t) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if d is not None and t is not None], min_len)
-            held.append(got)
+            some = [(d, v, t) for d, v, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if d is not None and t is not None]
+            held.append(contexts([(d, t) for d, _, t in some], min_len, [v for _, v, _ in some]))
             if sum(len(x["h"]) for x in held) >= HELD:
                 yield from flush()
                 held = []
@@ -245,7 +255,7 @@ def split_hot(rows: dict[str, np.ndarray], hot: np.ndarray) -> dict[str, np.ndar
         s1 = np.minimum(r["s"] + r["n"] - 1, r["s"] + r["rel"] - low)
         ok = s0 <= s1
         if ok.any():
-            out.append({"h": (r["h"][ok] + np.uint64(low + 1)) * _M[1], "doc": r["doc"][ok], "s": s0[ok], "n": (s1 - s0 + 1)[ok], "rel": (r["s"] + r["rel"] - s0)[ok]})
+            out.append({"h": (r["h"][ok] + np.uint64(low + 1)) * _M[1], "doc": r["doc"][ok], "v": r["v"][ok], "s": s0[ok], "n": (s1 - s0 + 1)[ok], "rel": (r["s"] + r["rel"] - s0)[ok]})
     return {n: np.concatenate([x[n] for x in out]).astype(t) for n, t in CONTEXT}
 
 
@@ -264,14 +274,14 @@ def gather(docs: DataFrame, compare: DataFrame, buckets: int, doc_buckets: int,
 
     def each(texts: pa.Table, data: list[bytes]) -> pa.Table:
         rows = unpacked(CONTEXT, data)
-        text = {d: t for d, t in zip(texts.column("doc_id").to_pylist(), texts.column("data").to_pylist(), strict=True) if d is not None and t is not None}
-        order = np.lexsort((rows["s"], rows["doc"], rows["h"] % np.uint64(buckets)))
+        text = {(d, v): t for d, v, t in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "version", "data")), strict=True) if d is not None and t is not None}
+        order = np.lexsort((rows["s"], rows["v"], rows["doc"], rows["h"] % np.uint64(buckets)))
         rows = {n: v[order] for n, v in rows.items()}
         bucket = (rows["h"] % np.uint64(buckets)).astype(np.int32)
         out = []
         for i, j in stretches(bucket):
             s = rows["s"][i:j].tolist()
-            body = b"".join(text[d][a : a + n + min_len - 1] for d, a, n in zip(rows["doc"][i:j].tolist(), s, rows["n"][i:j].tolist(), strict=True))
+            body = b"".join(text[d, v][a : a + n + min_len - 1] for d, v, a, n in zip(rows["doc"][i:j].tolist(), rows["v"][i:j].tolist(), s, rows["n"][i:j].tolist(), strict=True))
             out.append((int(bucket[i]), packed(CONTEXT, rows, slice(i, j)), body))
         return pa.Table.from_batches([record_batch(out, {"bucket": pa.int32(), "data": pa.binary(), "body": pa.binary()})])
 
@@ -293,12 +303,17 @@ class IndexFamily:
         out[some] = (b[some + 1] == b[some]).all(1)
         return out
 
-    def add(self, suffixes: np.ndarray) -> np.ndarray:
-        """Whether each suffix (in the order of documents) is equal to an earlier one, of this batch or before."""
+    def add(self, suffixes: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """Whether each suffix (in the order of documents) is equal to an earlier one, of this batch or before. Suffixes of one place, if places are given, aren't earlier than each other."""
         order = np.argsort(suffixes, kind="stable")  # the batch's suffix array
         array = suffixes[order]
         same = np.concatenate(([False], self.equal(array)))[: len(array)]
         group = np.cumsum(~same) - 1
+        if place is not None:
+            first = order[~same]
+            again = place[order] != place[first][group]
+        else:
+            again = same
         array = array[~same]
         known = np.zeros(len(array), bool)
         for level in self.levels:
@@ -311,10 +326,19 @@ class IndexFamily:
         if len(new):
             self.levels.append(new)
         out = np.empty(len(suffixes), bool)
-        out[order] = same | known[group]
+        out[order] = again | known[group]
         return out
 
 
+def overlapping(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether one of the n starts from s on, in an order by document and s, is at or before one of an earlier row of the same document."""
+    if not len(doc):
+        return np.zeros(0, bool)
+    rank = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1]))) << 33
+    end = np.maximum.accumulate(rank + s + n)
+    return np.concatenate(([False], (rank + s)[1:] < end[:-1]))
+
+
 def repeated(data: list[bytes], bodies: list[bytes], min_len: int) -> dict[str, np.ndarray]:
     """COVER rows of the contexts of one bucket."""
     rows = unpacked(CONTEXT, data)
@@ -325,31 +349,40 @@ def repeated(data: list[bytes], bodies: list[bytes], min_len: int) -> dict[str,
     order = np.lexsort((rows["s"], rows["doc"]))
     index, out = IndexFamily(), []
     done = np.cumsum(n[order])
-    cuts = np.searchsorted(done, np.arange(BATCH, done[-1] + BATCH, BATCH)) if len(done) else []
+    over = overlapping(rows["doc"][order], rows["s"][order].astype(np.int64), n[order])
+    whole = np.flatnonzero(~over)  # where a batch may begin
     i = 0
-    for j in cuts:
-        at = order[i : j + 1]
-        i = j + 1
-        if not len(at):
-            continue
+    while i < len(order):
+        full = np.searchsorted(done, (done[i - 1] if i else 0) + BATCH) + 1
+        after = np.searchsorted(whole, full)
+        j = int(whole[after]) if after < len(whole) else len(order)
+        at = order[i:j]
+        i = j
         count = n[at]
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(begin[at], count) + within
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, min_len)[start]).view(f"S{min_len}").ravel()
-        hit = np.flatnonzero(index.add(suffixes))
+        if not over[j - len(at) : j].any():
+            hit = np.flatnonzero(index.add(suffixes))
+        else:  # versions of a document
+            doc, s = np.repeat(rows["doc"][at], count), np.repeat(rows["s"][at].astype(np.int64), count) + within
+            by = np.lexsort((s, doc))
+            doc, s = doc[by], s[by]
+            place = np.cumsum(np.concatenate(([True], (doc[1:] != doc[:-1]) | (s[1:] != s[:-1]))))
+            hit = np.sort(by[index.add(suffixes[by], place)])
         if not len(hit):
             continue
         context = np.repeat(np.arange(len(at)), count)[hit]
         cut = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(context) != 0))))
         last = np.concatenate((cut[1:], [len(hit)])) - 1
         c = at[context[cut]]
-        out.append((rows["doc"][c], rows["s"][c] + within[hit[cut]], rows["s"][c] + within[hit[last]] + min_len))
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3
-    return dict(zip(("doc", "s", "e"), cols, strict=True))
+        out.append((rows["doc"][c], rows["v"][c], rows["s"][c] + within[hit[cut]], rows["s"][c] + within[hit[last]] + min_len))
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 4
+    return dict(zip(("doc", "v", "s", "e"), cols, strict=True))
 
 
 def removed(docs: DataFrame, min_len: int = MIN_LEN) -> tuple[DataFrame, int]:
-    """COVERS rows (bucket, data) of (doc_id, data binary), and the number of their buckets."""
+    """COVERS rows (bucket, data) of (doc_id, version, data binary), and the number of their buckets."""
     spark = docs.sparkSession
     buckets = doc_buckets = 4 * partitions(spark)
     found = written(meet(find_anchors(docs, buckets, doc_buckets, min_len), doc_buckets, min_len), "anchors")
@@ -381,17 +414,21 @@ def kept_parts(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, in
 
 
 def deduplicated(docs: DataFrame, text_col: Column, keep: list[Column | str], each: Callable, schema: str, min_len: int = MIN_LEN) -> DataFrame:
-    """each(row of the columns to keep, kept bytes, number of bytes, removed, spans) for each document; a null text counts as empty. What the columns are called doesn't matter."""
+    """each(row of the columns to keep, kept bytes, number of bytes, removed, spans) for each row; a null text counts as empty. What the columns are called doesn't matter."""
     row = F.struct(*keep)
     data = docs.select(row.alias("row"), F.coalesce(text_col.cast("binary"), F.lit(b"")).alias("data"), F.col("doc_id").cast("long").alias("doc_id"))
-    runs, n = removed(data.select("doc_id", "data"), min_len)
+    #: Ids of several rows, whose texts are told apart; all others have version 0, which costs nothing to send.
+    shared = written(data.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("shared")), "shared")
+    version = F.when(F.col("shared"), F.xxhash64("data")).otherwise(F.lit(0).cast("long"))
+    data = data.join(shared, "doc_id", "left").select("row", "data", "doc_id", version.alias("version"))
+    runs, n = removed(data.select("doc_id", "version", "data"), min_len)
 
     def bucket(texts: pa.Table, blobs: list[bytes]) -> pa.Table:
         rows = unpacked(COVER, blobs)
-        order = np.lexsort((rows["s"], rows["doc"]))
-        found: dict[int, list] = {}
-        for d, s, e in zip(*(rows[c][order].tolist() for c in ("doc", "s", "e")), strict=True):
-            of = found.setdefault(d, [])
+        order = np.lexsort((rows["s"], rows["v"], rows["doc"]))
+        found: dict[tuple[int, int], list] = {}
+        for d, v, s, e in zip(*(rows[c][order].tolist() for c in ("doc", "v", "s", "e")), strict=True):
+            of = found.setdefault((d, v), [])
             if of and s <= of[-1][1]:
                 if e > of[-1][1]:
                     of[-1] = (of[-1][0], e)
@@ -399,7 +436,7 @@ def deduplicated(docs: DataFrame, text_col: Column, keep: list[Column | str], ea
                 of.append((s, e))
         out = []
         for x in texts.to_pylist():
-            kept, gone, spans = kept_parts(x["data"], found.get(x["doc_id"], []))
+            kept, gone, spans = kept_parts(x["data"], found.get((x["doc_id"], x["version"]), []))
             out.append(each(x["row"], kept, len(x["data"]), gone, spans))
         return pa.Table.from_pylist(out, schema=kinds)
 
@@ -411,7 +448,7 @@ def deduplicated(docs: DataFrame, text_col: Column, keep: list[Column | str], ea
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts count as empty. Documents without an id neither lose bytes nor make others lose any; rows that share an id share their runs."""
+    """Null texts count as empty. Documents without an id neither lose bytes nor make others lose any; repeated rows lose the same bytes, none for each other's sake; of rows that share an id but not the text, the later start of a string goes."""
 
     def each(row: dict, kept: bytes, n: int, gone: int, spans: int) -> dict:
         return {"doc_id": row["doc_id"], "n_bytes": n, "n_removed": gone, "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}

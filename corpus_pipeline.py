@@ -27,9 +27,17 @@ def quality_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component."""
-    others = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document of least id of each component; of rows that share an id, each counts as a document, so that one of repeated rows stays."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count()
+    if ids.where("count > 1").isEmpty():
+        others = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    # A key of each row, in the order of ids. Rows without an id have none, as before.
+    row = F.struct(*docs.columns).alias("row")
+    ordered = docs.select(row).orderBy("row.doc_id", F.xxhash64("row.text"))
+    keyed = written(ordered.withColumn("doc_id", F.when(F.col("row.doc_id").isNotNull(), F.monotonically_increasing_id())), "keyed")
+    others = simhash.near_duplicates(keyed.select("doc_id", F.col("row.text").alias("text"))).where("doc_id <> component_id").select("doc_id")
+    return keyed.join(others, "doc_id", "left_anti").select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
