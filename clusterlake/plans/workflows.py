@@ -102,6 +102,27 @@ def scored(binned_records: DataFrame, feats: DataFrame, o: Options, stored: Data
     return out
 
 
+def genes_that_stay(genes: DataFrame, share: float) -> DataFrame:
+    """Genes without those that overlap another of their file."""
+    size = F.length(F.coalesce("aa_seq", F.lit("")))
+    g = genes.select("container_id", "orf", F.col("nt_start").alias("start"), F.col("nt_stop").alias("stop"), "strand", size.alias("length"))
+    return genes.join(alignment.without_overlapping_genes(g, share).select("container_id", "orf"), ["container_id", "orf"], "left_semi")
+
+
+def hits_that_stay(hits: DataFrame, share: float) -> DataFrame:
+    """Hits (container_id, orf, accession, env_start, env_stop, bit_score, ...) without those that overlap another of their gene."""
+    h = hits.withColumn("gene_id", F.xxhash64("container_id", "orf")).withColumn("score", F.col("bit_score").cast("double")).withColumn("start", F.col("env_start")).withColumn("stop", F.col("env_stop"))
+    keys = ["gene_id", "accession", "start", "stop", "score"]
+    return h.join(alignment.without_overlaps(h.select(*keys), share), keys, "left_semi").select(*hits.columns)
+
+
+def loaded(spark: SparkSession, folder: str, hits: DataFrame, o: Options) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of a folder, and the hits of its files, both without overlaps."""
+    t = {k: written(v, k) for k, v in tables(written(read_files(spark, folder), "files")).items()}
+    t["genes"] = written(genes_that_stay(t["genes"], o.settings.cds_overlap), "genes")
+    return t, written(hits_that_stay(hits.join(t["containers"].select("hash", "container_id"), "hash"), o.settings.domain_overlap), "hits")
+
+
 def prepared(t: dict[str, DataFrame], hits: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Chosen records, and their features, after the filters of domains."""
     r = chosen_records(t, o)
@@ -125,8 +146,8 @@ def network(b: DataFrame, edges: DataFrame, o: Options) -> dict[str, DataFrame]:
 def cluster(spark: SparkSession, folder: str, hits: DataFrame, options: Options | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
     """All records against all of their bin: edges, components, families, singletons and the result tables. Edges that are stored are not computed again."""
     o = options or Options()
-    t = {k: written(v, k) for k, v in tables(written(read_files(spark, folder), "files")).items()}
-    r, feats = prepared(t, hits.join(t["containers"].select("hash", "container_id"), "hash"), o)
+    t, h = loaded(spark, folder, hits, o)
+    r, feats = prepared(t, h, o)
     b = written(binned(r, o), "bins")
     e = scored(b, feats, o, stored)
     e = written(e if stored is None else stored.unionByName(e), "edges")
@@ -140,8 +161,8 @@ def query(spark: SparkSession, folder: str, hits: DataFrame, query_hash: str, op
     A round scores only pairs of a newly found record; what it found is written before the next one starts.
     """
     o = options or Options()
-    t = {k: written(v, k) for k, v in tables(written(read_files(spark, folder), "files")).items()}
-    r, feats = prepared(t, hits.join(t["containers"].select("hash", "container_id"), "hash"), o)
+    t, h = loaded(spark, folder, hits, o)
+    r, feats = prepared(t, h, o)
     b = bins.mix_bin(r)
     start = r.join(t["containers"].where(F.col("hash") == query_hash).select("container_id"), "container_id", "left_semi").select("record_id")
     tokens = feats.select("record_id", F.explode(F.array_distinct(F.flatten(F.transform("genes", lambda g: F.transform(g["hsps"], lambda h: h["accession"]))))).alias("token"))
@@ -169,8 +190,9 @@ def dereplicate(spark: SparkSession, folder: str, least: float = 0.8, settings:
     """(item, component, representative): files by sketches of their proteins, joined in gene order."""
     c = settings or Settings()
     files = read_files(spark, folder).where(F.size("cds") > 0)
-    text = F.array_join(F.transform(F.array_sort("cds"), lambda g: g["aa_seq"]), "")
-    items = files.where(filters.within_length(F.col("nt_len"), c.min_length, c.max_length)).select(F.col("path").alias("item"), text.alias("protein"))
+    genes = written(files.where(filters.within_length(F.col("nt_len"), c.min_length, c.max_length)).select(F.col("path").alias("container_id"), F.explode("cds").alias("g")).select("container_id", "g.*"), "genes")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("orf", "aa_seq"))), lambda g: g["aa_seq"]), "")
+    items = genes_that_stay(genes, c.cds_overlap).groupBy(F.col("container_id").alias("item")).agg(text.alias("protein"))
     hashed = items.select("item", F.explode(sketches.kmers(F.col("protein"), c.kmer)).alias("k")).select("item", F.xxhash64("k").alias("token"))
     # The least of 2**64 values over the scale; signed numbers are moved up by half the range.
     scaled = hashed.where(F.col("token").cast("decimal(38,0)") + F.lit(str(2**63)).cast("decimal(38,0)") < F.lit(str(2**64 // c.scaled)).cast("decimal(38,0)")).distinct()
