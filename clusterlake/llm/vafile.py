@@ -1,7 +1,8 @@
 """Exact top-k search by inner product over vector-approximation files.
 
-Vectors are stored in blocks. A block has the exact vectors and, for each component, a grid of at most CELLS cells between the least
-and the greatest value; the approximation of a vector is its cell numbers, one byte each. A scan of the cells bounds each score from
+Vectors are stored in blocks of exact vectors. For each pair of a query block and a data block, search() makes the block's approximation
+from them: for each component, a grid of at most CELLS cells between the least and the greatest value; the approximation of a vector is
+its cell numbers, one byte each. Cells aren't stored, so that they save exact products, but no reading. A scan of the cells bounds each score from
 both sides; exact vectors are then read in the order of their bounds until no bound left reaches the kth score found.
 """
 
