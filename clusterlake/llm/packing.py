@@ -11,12 +11,10 @@ from __future__ import annotations
 import json
 import string
 import zlib
-from collections.abc import Iterator
-from itertools import batched
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,28 +27,36 @@ from clusterlake.llm.common import small_batches, table, written
 MAX_LEN, END_ID = 4096, 1
 #: Marks the end of a word for the byte-pair encoder.
 END = "\x01"
-#: Words that one worker keeps with their ids, twice: a full store becomes the older one, from which words in use come back.
-KEPT_WORDS = 400_000
+#: Pieces that one worker keeps with their ids, twice (a full store becomes the older one, from which pieces in use come back); the longest that is kept, the longest that the byte-pair encoder gets, and the text bytes worked on at once.
+KEPT, KEPT_BYTES, LONGEST, AT_ONCE = 200_000, 64, 256, 2 << 20
+BLANK, LETTER, DIGIT, MARK, ODD = range(5)
 _TOKENIZERS: dict = {}
 
 
+def byte_classes() -> np.ndarray:
+    """The class of each byte of a text of blanks and ASCII; what begins a longer character is odd, and so is an apostrophe, which may begin a contraction."""
+    c = np.full(256, ODD, np.uint8)
+    for b in range(128):
+        x = chr(b)
+        c[b] = BLANK if x in " \t\n\v\f\r" else LETTER if x.isalpha() else DIGIT if x.isdigit() else MARK if x in string.punctuation and x != "'" else ODD
+    return c
+
+
 class WordTokenizer:
-    """ids of texts by a tokenizer file whose matches never hold white space, word by word.
+    """ids of texts by a tokenizer file whose matches never hold white space.
 
-    A word is what stands between two blanks; its ids don't depend on what stands around it. Words of plain Latin-1 letters, marks
-    after them included, go through a byte-pair encoder built from the same file, many at a time; all others go through the
-    tokenizers library.
+    A word is what stands between two blanks; its ids don't depend on what stands around it. Words of Latin-1 letters, digits and ASCII
+    marks are cut into the pattern's matches by the classes of their bytes; the distinct matches of many texts go through a byte-pair
+    encoder built from the same file. All other words, long ones included, go through the tokenizers library as they are.
     """
 
-    MARKS = string.punctuation
+    CLASS = byte_classes()
 
     def __init__(self, content: bytes):
         self.library = Tokenizer.from_str(content.decode())
         model = json.loads(content)
         vocab, suffix = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 65536 - 2 else "<u4")
-        splits = [x for x in model["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
-        self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         # In the byte-level alphabet each byte is one character; printable bytes are themselves, the others follow from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
@@ -66,47 +72,95 @@ class WordTokenizer:
         last = max(i for raw, i in ranks.items() if len(raw) == 2 and raw[1:] == END.encode())
         self.fast = last < min(i for raw, i in ranks.items() if len(raw) - raw.endswith(END.encode()) > 1)
         self.bpe = CoreBPE(ranks, {}, "[^ ]+")
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Adds what is not known yet."""
-        if len(self.words) > KEPT_WORDS:
-            self.older, self.words = self.words, {}
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces = {}
-        known, older, parts, new = self.words, self.older, {}, set()
-        for w in words:
-            if w in known:
-                continue
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            elif self.fast and (w.isascii() or max(w) < "Ā") and END not in w and "<|" not in w:
-                core = w.rstrip(self.MARKS)
-                if not core or core.isalpha():
-                    parts[w] = [x for x in (core.lower(), w[len(core) :]) if x]
-                else:
-                    parts[w] = self.pattern.findall(w.lower())
-                new.update(parts[w])
-            else:
-                known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-        new = [x for x in new if x not in self.pieces]
-        ids = np.array(self.bpe.encode_ordinary((END + " ").join(new) + END), self.dtype) if new else np.zeros(0, self.dtype)
-        raw, at = ids.tobytes(), 0
-        for piece, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist(), strict=True):
-            self.pieces[piece], at = raw[at:end], end
-        for w, p in parts.items():
-            known[w] = b"".join(map(self.pieces.__getitem__, p))
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def ids_of(self, pieces: list[bytes], encode: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct pieces, of those not known yet by encode()."""
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, {}
+        out = list(map(self.known.get, pieces))
+        lacking = [i for i, x in enumerate(out) if x is None]
+        if lacking and self.older:
+            for i in lacking:
+                out[i] = self.older.get(pieces[i])
+        new = [i for i in lacking if out[i] is None]
+        if new:
+            for i, x in zip(new, encode([pieces[i] for i in new]), strict=True):
+                out[i] = x
+        for i in lacking:
+            if len(pieces[i]) <= KEPT_BYTES:
+                self.known[pieces[i]] = out[i]
+        return out
+
+    def by_encoder(self, pieces: list[bytes]) -> list[bytes]:
+        """Of lower-cased matches of the pattern, all together: the id that ends a word parts them."""
+        ids = np.array(self.bpe.encode_ordinary(((END + " ").encode().join(pieces) + END.encode()).decode()), self.dtype)
+        raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def by_library(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes() for w in words]
+
+    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, their number for each text) of UTF-8 texts, which are data[offsets[i]:offsets[i + 1]]."""
+        n = len(data)
+        c = self.CLASS[data]
+        # Two bytes from U+00C0 on are a letter, but for the signs of multiplication and division.
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        c[lead] = c[lead + 1] = LETTER
+        c[:-1][(data[:-1] == 0x3C) & (data[1:] == 0x7C)] = ODD  # may begin a special token
+        first = np.zeros(n + 1, bool)  # of a text
+        first[offsets] = True
+        cut = first[:n].copy()
+        cut[1:] |= (c[1:] != c[:-1]) | (c[1:] == DIGIT)
+        start = np.flatnonzero(cut)
+        size = np.diff(start, append=n)
+        kind = c[start]
+        plain = kind != BLANK
+        strange = (kind == ODD) | (size > LONGEST) & plain
+        begin = end = np.zeros(0, np.int64)
+        if strange.any():  # then all of the word is
+            new = first[start] | ~plain
+            new[1:] |= ~plain[:-1]
+            word = np.cumsum(new) - 1
+            odd = np.zeros(word[-1] + 1, bool)
+            odd[word[strange]] = True
+            edge = np.append(start[new], n)
+            begin, end = edge[:-1][odd], edge[1:][odd]
+            plain &= ~odd[word]
+        low = data.copy()
+        low[(data >= 0x41) & (data <= 0x5A)] += 0x20
+        low[lead[(data[lead + 1] >= 0x80) & (data[lead + 1] <= 0x9E)] + 1] += 0x20
+        keep = np.repeat(plain, size)
+        start, size = start[plain], size[plain]
+        at = np.append(0, np.cumsum(size)).astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(low[keep].tobytes())]).dictionary_encode()
+        ids = self.ids_of(found.dictionary.to_pylist(), self.by_encoder if self.fast else self.by_library)
+        which = found.indices.to_numpy().astype(np.int64)
+        if len(begin):
+            raw = data.tobytes()
+            words = [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+            number = {w: len(ids) + i for i, w in enumerate(dict.fromkeys(words))}
+            # Apart from pieces, which are in lower case: no piece begins with a blank.
+            ids += self.ids_of([b" " + w for w in number], lambda x: self.by_library([w[1:] for w in x]))
+            which = np.concatenate((which, np.array([number[w] for w in words], np.int64)))
+            start = np.concatenate((start, begin))
+            order = np.argsort(start, kind="stable")
+            start, which = start[order], which[order]
+        pool = np.frombuffer(b"".join(ids), self.dtype)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        count = length[which]
+        total = np.append(0, np.cumsum(count))
+        out = pool[np.arange(total[-1]) + np.repeat((np.cumsum(length) - length)[which] - total[:-1], count)]
+        return out, np.diff(total[np.searchsorted(start, offsets)])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of whole texts. A special token that holds a blank would not survive the split; there are none such."""
-        out = []
-        for some in batched(texts, 100):
-            split = [t.replace("\n", " ").split(" ") for t in some]
-            self.learn(set().union(*split))
-            out += [np.frombuffer(b"".join(map(self.words.__getitem__, x)), self.dtype).astype("<u4") for x in split]
-        return out
+        """uint32 ids of each of the whole texts. A special token that holds a blank would not survive the cut; there are none such."""
+        raw = [t.encode() for t in texts]
+        ids, n = self.batch(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64))
+        return np.split(ids.astype("<u4"), np.cumsum(n)[:-1]) if raw else []
 
 
 def word_tokenizer(content: bytes) -> WordTokenizer:
@@ -117,6 +171,18 @@ def word_tokenizer(content: bytes) -> WordTokenizer:
     return _TOKENIZERS[key]
 
 
+def parts_of(texts: pa.Array, size: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole texts as (UTF-8 bytes, offsets), about size bytes at a time; a null is an empty text."""
+    t = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(t.buffers()[1], np.int64, len(t) + 1, t.offset * 8)
+    data = np.frombuffer(t.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(t):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
+
+
 def tokenized_pieces(df: DataFrame, tokenizer_file: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """Pieces of each document: doc_id, piece, start, length, ids_crc32, and part and nth, which give a piece its place among those of its length that its task made.
 
@@ -126,19 +192,27 @@ def tokenized_pieces(df: DataFrame, tokenizer_file: str, max_len: int = MAX_LEN,
     small_batches(spark)
     with open(tokenizer_file, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
-    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part = word_tokenizer(content.value), TaskContext.get().partitionId()
         seen = np.zeros(max_len + 1, np.int64)
         for b in batches:
-            rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), t.ids([x or "" for x in b.column(1).to_pylist()]), strict=True):
-                ids = np.concatenate((ids, end))
-                for piece, at in enumerate(range(0, len(ids), max_len)):
-                    x = ids[at : at + max_len]
-                    rows.append((doc, piece, at, len(x), zlib.crc32(x.tobytes()), part, int(seen[len(x)])))
-                    seen[len(x)] += 1
+            docs, rows, nth_doc = b.column(0).to_pylist(), [], 0
+            for data, offsets in parts_of(b.column(1)):
+                ids, n = t.batch(data, offsets)
+                stop = np.cumsum(n + 1)
+                every = np.full(len(ids) + len(n), end_id, "<u4")
+                ended = np.zeros(len(every), bool)
+                ended[stop - 1] = True
+                every[~ended] = ids
+                raw = every.tobytes()
+                for end, size in zip(stop.tolist(), (n + 1).tolist(), strict=True):
+                    for piece, at in enumerate(range(0, size, max_len)):
+                        k = min(max_len, size - at)
+                        i = end - size + at
+                        rows.append((docs[nth_doc], piece, at, k, zlib.crc32(raw[4 * i : 4 * (i + k)]), part, int(seen[k])))
+                        seen[k] += 1
+                    nth_doc += 1
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
