@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterlake.plans.scratch import written
+from clusterlake.plans.scratch import released, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tup
 
     before = state(e)
     while before[0]:
-        e = written(small(large(e).where("u <> v").distinct()), "edges")
+        last, e = e, written(small(large(e).where("u <> v").distinct()), "edges")
+        released(last)
         now = state(e)
         if now == before:
             break

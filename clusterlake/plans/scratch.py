@@ -8,11 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a write go when it is done; nothing reads them after that.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of this process where it is unset, as in tests."""
+    """spark.checkpoint.dir as the session has it. Where it is unset, a folder of this process on a local master, as in tests; elsewhere the executors could not see that, so that it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="clusterlake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,12 +35,24 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again.
 
-    This cuts the lineage, survives lost executors, and lets two consumers share one computation. Removed at exit.
+    This cuts the lineage, survives lost executors, and lets two consumers share one computation. Removed by released(), or at exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    # Shuffle files of a write go when it is done; nothing reads them after that.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes tables that written() made and nothing reads any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            remove(t.sparkSession, path)
