@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlake.llm.common import crc_mod, small_batches, table
+from clusterlake.llm.common import crc_mod, kept_rows, small_batches, table
 
 BUCKETS, GRAM, SWITCH, SMOOTH = 1 << 15, 3, 12.0, 0.5
+#: Letters of texts that are labelled together, so that memory is bounded.
+AT_ONCE = 4 << 20
 #: A language keeps the scripts of at least this share of its words.
 SCRIPT_SHARE = 0.01
 #: First code points of script ranges (Unicode blocks), and the script from there on.
@@ -157,6 +159,28 @@ def spans(model: Model, texts: list[str], switch: float = SWITCH) -> list[list[t
     return out
 
 
+def labelled(model: Model, texts: list[str | None], switch: float = SWITCH) -> tuple[list[str], list[float], list[list]]:
+    """(language, score, spans) of each text; of equals, the language that comes first in the alphabet. About AT_ONCE letters are worked on at a time."""
+    pred, score, every = [], [], []
+    i = 0
+    while i < len(texts):
+        some, size = [], 0
+        while i < len(texts) and (not some or size < AT_ONCE):
+            some.append(texts[i] if has_letter(texts[i]) and model.languages else "")
+            size += len(some[-1])
+            i += 1
+        found = spans(model, some, switch) if model.languages else [[] for _ in some]
+        for t, s in zip(some, found, strict=True):
+            share: dict[str, int] = {}
+            for lang, _, n in s:
+                share[lang] = share.get(lang, 0) + n
+            best = max(sorted(share), key=share.get) if share and t else "und"
+            pred.append(best)
+            score.append(share.get(best, 0) / max(1, sum(share.values())))
+        every += found
+    return pred, score, every
+
+
 def predict(df: DataFrame, model: Model, switch: float = SWITCH, with_spans: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of whole texts: the language of most bytes of words, and its share of them.
 
@@ -166,18 +190,8 @@ def predict(df: DataFrame, model: Model, switch: float = SWITCH, with_spans: boo
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            texts = [t if has_letter(t) and m.languages else "" for t in b.column(1).to_pylist()]
-            found = spans(m, texts, switch) if m.languages else [[] for _ in texts]
-            pred, score = [], []
-            for t, s in zip(texts, found, strict=True):
-                size: dict[str, int] = {}
-                for lang, _, n in s:
-                    size[lang] = size.get(lang, 0) + n
-                best = max(sorted(size), key=size.get) if size and t else "und"
-                pred.append(best)
-                score.append(size.get(best, 0) / max(1, sum(size.values())))
+            pred, score, found = labelled(sent.value, b.column(1).to_pylist(), switch)
             cols = [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             if with_spans:
                 cols.append(pa.array([[{"lang": a, "words": n, "bytes": z} for a, n, z in s] for s in found], pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64()), ("bytes", pa.int64())]))))
@@ -192,6 +206,13 @@ def held_out() -> F.Column:
     return F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
 
 
+def with_language(docs: DataFrame) -> DataFrame:
+    """Rows of docs that language_of() doesn't call `und`, with all columns as they are; rows without an id are judged like others."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out())))
+    return kept_rows(docs, "text", lambda texts: np.array([x != "und" for x in labelled(sent.value, texts.to_pylist())[0]], bool))
+
+
 def language_of(docs: DataFrame) -> DataFrame:
     """predict() with a model of the documents that are not held out."""
     return predict(docs, fit(docs.where(~held_out())))

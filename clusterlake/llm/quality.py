@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlake.llm.common import crc_mod, small_batches, table
+from clusterlake.llm.common import crc_mod, kept_rows, small_batches, table
 
 #: Labelled rows to learn from, at most: those of least hash.
 SAMPLE = 20_000
@@ -188,6 +188,13 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def good_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs whose score reaches the threshold, with all columns as they are; rows without an id are judged like others."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, "text", lambda texts: sent.value.score(np.array([features(t) for t in texts.to_pylist()], float).reshape(-1, len(NAMES))) >= threshold)
+
+
 def held_out() -> F.Column:
     return F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
 

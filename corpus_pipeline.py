@@ -10,34 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlake.llm import langid, packing, quality, simhash, suffixes
-from clusterlake.llm.common import table, written
+from clusterlake.llm.common import released, table, without, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts and texts with no letter."""
-    rejected = langid.language_of(docs).where("lang_pred = 'und'").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Rejects documents without a language: null texts and texts with no letter. Each row is judged by its text alone, repeated rows and rows without an id too; an empty table stays empty."""
+    return langid.with_language(docs)
 
 
 def quality_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose quality score is below the threshold of the query."""
-    scores = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    rejected = scores.where(F.col("score") < quality.THRESHOLD).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Rejects documents whose quality score is below the threshold of the query. Each row is judged by its text alone, as in language()."""
+    return quality.good_rows(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component; of rows that share an id, each counts as a document, so that one of repeated rows stays."""
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count()
-    if ids.where("count > 1").isEmpty():
-        others = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    # A key of each row, in the order of ids. Rows without an id have none, as before.
+    """Keeps the document of least id of each component. Where ids repeat or are null, each row counts as a document, rows without an id last, so that one of repeated rows stays."""
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("count > 1 OR doc_id IS NULL").isEmpty():
+        return without(docs, "doc_id", rejected(docs))
+    # A key of each row, in the order of ids.
     row = F.struct(*docs.columns).alias("row")
-    ordered = docs.select(row).orderBy("row.doc_id", F.xxhash64("row.text"))
-    keyed = written(ordered.withColumn("doc_id", F.when(F.col("row.doc_id").isNotNull(), F.monotonically_increasing_id())), "keyed")
-    others = simhash.near_duplicates(keyed.select("doc_id", F.col("row.text").alias("text"))).where("doc_id <> component_id").select("doc_id")
-    return keyed.join(others, "doc_id", "left_anti").select("row.*")
+    ordered = docs.select(row).orderBy(F.col("row.doc_id").asc_nulls_last(), F.xxhash64("row.text"))
+    keyed = written(ordered.withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
+    return without(keyed, "doc_id", rejected(keyed.select("doc_id", F.col("row.text").alias("text")))).select("row.*")
+
+
+def rejected(docs: DataFrame) -> DataFrame:
+    """(doc_id) of all but the least of each component."""
+    return written(simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "rejected")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs every text into sequences, as op1 does; a null text is an empty one, repeated rows are packed each, and an empty table gives an empty result."""
     import public_tokenizers as tokenizers
 
     return packing.pack_documents(docs, tokenizers.path("word_bpe_49k.json"))
@@ -68,10 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each result written to the shared folder."""
+    """Applies the stages to documents, each result written to the shared folder and removed when the next one is."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            released(before)
     return docs

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from clusterlake.llm import quality
+from clusterlake.llm import common, quality
 from tests.llm.test_llm import AWKWARD, DOCS, EXTRA, awkward, check_packing, fingerprint_by_force, removed_by_force  # noqa: F401
 
 
@@ -71,6 +71,29 @@ def test_stages(spark, sf, awkward, where, tmp_path):  # noqa: F811
     check_packing([r.asDict() for r in out.collect()], sorted((d, r["text"]) for d, r in before.items()))
 
 
+def test_rows_without_an_id(spark):
+    """Are judged like all others; a row repeated without an id stays once."""
+    good = "This is a plain sentence about the sea and the ships on it. " * 8
+    rows = [(None, "12 34 !!", None, None, None), (None, None, "en", "x", 3), (None, good, "en", None, 5), (None, good, "en", None, 5), (7, good + "More.", None, None, None), (8, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language"](spark, docs, "")
+    assert sorted((r["doc_id"] is None, r["text"]) for r in kept.collect()) == sorted([(True, good), (True, good), (False, good + "More.")])
+    assert stages["near_duplicates"](spark, kept.where("doc_id IS NULL"), "").count() == 1
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_without(spark, monkeypatch, most):
+    """Few ids are broadcast, many go by a filter that may err; both leave out the same rows."""
+    monkeypatch.setattr(common, "BROADCAST_IDS", most)
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 11)
+    df = spark.range(3000).selectExpr("CASE WHEN id % 50 = 49 THEN NULL ELSE id END AS doc_id", "CAST(id AS STRING) AS text")
+    gone = common.written(spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id"), "gone")
+    left = common.without(df, "doc_id", gone)
+    assert left.columns == ["doc_id", "text"]
+    assert sorted(int(r["text"]) for r in left.collect()) == [k for k in range(3000) if k % 50 == 49 or k % 3]
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
