@@ -1,9 +1,10 @@
-"""Exact top-k search by inner product over vector-approximation files.
+"""Exact top-k search by inner product over a vector-approximation file.
 
-Vectors are stored in blocks of exact vectors. For each pair of a query block and a data block, search() makes the block's approximation
-from them: for each component, a grid of at most CELLS cells between the least and the greatest value; the approximation of a vector is
-its cell numbers, one byte each. Cells aren't stored, so that they save exact products, but no reading. A scan of the cells bounds each score from
-both sides; exact vectors are then read in the order of their bounds until no bound left reaches the kth score found.
+The file has two tables in the shared folder. One holds the exact vectors, a row each. The other holds their approximations in blocks:
+for each component, a grid of at most CELLS cells between the block's least and greatest value, and of each vector its cell numbers, a
+byte a component. A search scans the cells alone, twice: once for lower bounds of scores, of which the kth best of each query is a
+score that its results must reach, and once for the vectors whose upper bound does. Exact vectors are then read in the order of their
+upper bounds: the first k of each query, and of the others those whose bound reaches the kth score found.
 """
 
 from __future__ import annotations
@@ -13,19 +14,49 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clusterlake.llm.common import small_batches, table, written
+from clusterlake.llm.common import partitions, released, small_batches, table, written
 
-CELLS, BLOCK, QUERY_BLOCK, GROUP = 64, 1024, 256, 16
-#: Exact vectors read at once for one query.
-STEP = 64
+CELLS, BLOCK, QUERY_BLOCK = 64, 1024, 256
+#: Vectors whose cells one task holds at a time.
+GROUP = 1 << 18
+NEVER = -(2.0**62)
+BLOCKS = "block long, n int, dim int, rows binary, ids binary, vectors binary, low binary, width binary, cells binary, least binary"
 
 
-def blocks(df: DataFrame, rows: int) -> DataFrame:
-    """(block, n, dim, ids, vectors): rows of (id long, v array<long>) packed by the tasks that read them. Shorter vectors are filled up with zeros."""
+class Approximation:
+    """The cells of a block and their bounds."""
+
+    def __init__(self, low: np.ndarray, width: np.ndarray, cell: np.ndarray):
+        self.low, self.width, self.cell = low, width, cell
+
+    @classmethod
+    def of(cls, v: np.ndarray, cells: int = CELLS) -> Approximation:
+        low = v.min(0)
+        width = np.maximum(1, -(-(v.max(0) - low + 1) // cells))
+        return cls(low, width, ((v - low) // width).astype(np.uint8))
+
+    def bounds(self, q: np.ndarray, upper: bool) -> np.ndarray:
+        """Lower or upper bounds of the scores of queries (rows of q) with all vectors; components that one side lacks are zero."""
+        d = min(q.shape[1], len(self.low))
+        q, low, width = q[:, :d], self.low[:d], self.width[:d]
+        kind = np.float64 if exact_in_float(q, np.maximum(np.abs(low), np.abs(low + 2 * CELLS * width))) else np.int64
+        low = (low + self.cell[:, :d] * width).astype(kind)
+        high = low + (width - 1).astype(kind)
+        plus, minus = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+        return plus @ high.T + minus @ low.T if upper else plus @ low.T + minus @ high.T
+
+
+def exact_in_float(q: np.ndarray, most: np.ndarray) -> bool:
+    """Whether sums of products stay below 2**52, so that a float product is exact."""
+    return float(np.abs(q).max(initial=0)) * float(most.max(initial=0)) * max(1, q.shape[-1]) < 2**52
+
+
+def blocks(df: DataFrame, rows: int, approximate: bool) -> DataFrame:
+    """BLOCKS of rows of (row long, id long, v array<long>), packed by the tasks that read them: with approximate their grids and cells, else their vectors. Shorter vectors are filled up with zeros."""
     small_batches(df.sparkSession, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,108 +64,138 @@ def blocks(df: DataFrame, rows: int) -> DataFrame:
         for nth, b in enumerate(batches):
             if not b.num_rows:
                 continue
-            size = np.diff(b.column(1).offsets.to_numpy())
-            out = np.zeros((b.num_rows, max(1, size.max())), np.int64)
-            out[np.arange(out.shape[1]) < size[:, None]] = b.column(1).flatten().to_numpy()
-            cols = [pa.array([(part << 32) + nth], pa.int64()), pa.array([b.num_rows], pa.int32()), pa.array([out.shape[1]], pa.int32()), pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "n", "dim", "ids", "vectors"])
-
-    return df.mapInArrow(run, "block long, n int, dim int, ids binary, vectors binary")
+            size = np.diff(b.column(2).offsets.to_numpy())
+            v = np.zeros((b.num_rows, max(1, size.max())), np.int64)
+            v[np.arange(v.shape[1]) < size[:, None]] = b.column(2).flatten().to_numpy()
+            a = Approximation.of(v) if approximate else None
+            blobs = [b.column(0).to_numpy(), b.column(1).to_numpy(), None if a else v, *((a.low, a.width, a.cell) if a else (None,) * 3), None]
+            cols = [pa.array([(part << 32) + nth], pa.int64()), pa.array([b.num_rows], pa.int32()), pa.array([v.shape[1]], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in blobs)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    return df.select("row", "id", "v").mapInArrow(run, BLOCKS)
+
+
+def meeting(cells: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
+    """All blocks of cells, dealt to groups, each followed by all blocks of queries: cells move once, and a task holds those of one group."""
+    left = cells.withColumns({"deal": F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"), "asks": F.lit(False)})
+    right = asked.withColumns({"deal": F.explode(F.sequence(F.lit(0), F.lit(groups - 1))), "asks": F.lit(True)})
+    both = left.unionByName(right.select(left.columns))
+    return both.repartition(max(groups, 1), "deal").sortWithinPartitions("deal", "asks", "block")
+
+
+def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, list]]:
+    """(row of a query block, its ids, its vectors, [(rows, ids, Approximation)] of its group) in the order of meeting()."""
+    now, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if now != r["deal"]:
+                now, held = r["deal"], []
+            ids = np.frombuffer(r["ids"], np.int64)
+            if r["asks"]:
+                yield r, ids, np.frombuffer(r["vectors"], np.int64).reshape(r["n"], r["dim"]), held
+            else:
+                a = Approximation(np.frombuffer(r["low"], np.int64), np.frombuffer(r["width"], np.int64), np.frombuffer(r["cells"], np.uint8).reshape(r["n"], r["dim"]))
+                held.append((np.frombuffer(r["rows"], np.int64), ids, a))
+
+
+def best_of(x: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest of each row, or all, in any order."""
+    return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k :] if x.shape[1] > k else x
+
+
+def least_scores(cells: DataFrame, asked: DataFrame, groups: int, k: int) -> DataFrame:
+    """asked with `least`: for each query, the kth best lower bound, which is NEVER if there are fewer vectors."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, qids, q, held in pairs_of(batches):
+            best = np.full((len(q), k), NEVER)
+            for _, ids, a in held:
+                low = a.bounds(q, False).astype(float)
+                low[qids[:, None] == ids[None, :]] = NEVER
+                best = best_of(np.concatenate((best, low), axis=1), k)
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["n"]], pa.int32()), pa.array([best.tobytes()], pa.binary())], names=["block", "n", "best"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([best.min(1).tobytes()], pa.binary())], names=["block", "least"])
+        for b in batches:
+            for r in b.to_pylist():
+                x = np.frombuffer(r["best"]).reshape(r["n"], k)
+                if now == r["block"]:
+                    best = best_of(np.concatenate((best, x), axis=1), k)
+                    continue
+                if now is not None:
+                    yield out()
+                now, best = r["block"], x
+        if now is not None:
+            yield out()
 
+    found = meeting(cells, asked, groups).mapInArrow(scan, "block long, n int, best binary")
+    least = found.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, least binary")
+    return asked.drop("least").join(least, "block")
 
-def unpacked(n: int, dim: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(n, dim)
 
+def candidates(cells: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
+    """(q_row, row, upper): of each query the vectors whose upper bound reaches its least score."""
 
-class Approximation:
-    """The cells of a block and their bounds."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, qids, q, held in pairs_of(batches):
+            least, q_rows = np.frombuffer(r["least"])[:, None], np.frombuffer(r["rows"], np.int64)
+            for rows, ids, a in held:
+                high = a.bounds(q, True).astype(float)
+                i, j = np.nonzero((high >= least) & (qids[:, None] != ids[None, :]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(q_rows[i]), pa.array(rows[j]), pa.array(high[i, j])], names=["q_row", "row", "upper"])
 
-    def __init__(self, v: np.ndarray, cells: int = CELLS):
-        self.low = v.min(0)
-        self.width = np.maximum(1, -(-(v.max(0) - self.low + 1) // cells))
-        self.cell = ((v - self.low) // self.width).astype(np.uint8)
+    return meeting(cells, asked, groups).mapInArrow(scan, "q_row long, row long, upper double")
 
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the scores of queries (rows of q) with all vectors."""
-        kind = np.float64 if exact_in_float(q, np.maximum(np.abs(self.low), np.abs(self.low + 2 * CELLS * self.width))) else np.int64
-        low = (self.low + self.cell * self.width).astype(kind)
-        high = low + (self.width - 1).astype(kind)
-        plus, minus = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-        return plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
 
+def product(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, z: s + z)
 
-def exact_in_float(q: np.ndarray, most: np.ndarray) -> bool:
-    """Whether sums of products stay below 2**53, so that a float product is exact."""
-    return float(np.abs(q).max(initial=0)) * float(most.max(initial=0)) * max(1, q.shape[-1]) < 2**52
 
+def approximation_file(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(exact, cells) of (id, v): exact is (row, id, copies, v), cells are BLOCKS.
 
-def search(qids: np.ndarray, q: np.ndarray, found: list[tuple[int, ...]], ids: np.ndarray, v: np.ndarray, k: int) -> int:
-    """Improves found (for each query a list of (-score, id), best first) with one block; returns how many exact vectors were read."""
-    low, high = Approximation(v).bounds(q)
-    own = qids[:, None] == ids[None, :]
-    low[own], high[own] = np.iinfo(np.int64).min // 2, np.iinfo(np.int64).min // 2
-    read = 0
-    kth = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), np.iinfo(np.int64).min // 2)
-    for i in range(len(q)):
-        best = found[i]
-        least = max(kth[i], -best[-1][0]) if len(best) == k else kth[i]
-        c = np.flatnonzero((high[i] >= least) & ~own[i])
-        c = c[np.argsort(-high[i, c], kind="stable")]
-        for at in range(0, len(c), STEP):
-            some = c[at : at + STEP]
-            if len(best) == k and high[i, some[0]] < -best[-1][0]:
-                break
-            read += len(some)
-            scores = v[some] @ q[i]
-            best = sorted(best + list(zip((-scores).tolist(), ids[some].tolist(), strict=True)))[:k]
-        found[i] = best
-    return read
+    Of equal vectors only those with the k + 1 least ids can be a result, whatever the query; a common vector is cut down to them by the
+    tasks that read it, before it is shuffled. Repeated rows count as copies.
+    """
+    few = vectors.withColumn("r", F.dense_rank().over(W.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    exact = few.groupBy("v", "id").agg(F.count(F.lit(1)).alias("copies")).select(F.monotonically_increasing_id().alias("row"), "id", "copies", "v")
+    exact = written(exact, "vectors")
+    return exact, written(blocks(exact, BLOCK, True), "cells")
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of (id long, v array<long>) rows; equal scores by the smaller id; a row with the query's own id takes no part.
+    """(query_id, rank, vec_id, score) of (id long, v array<long>) rows; equal scores by the smaller id; rows with the query's own id take no part.
 
-    Every query is held against every vector, as asked for, block by block: a task gets one block of queries and GROUP blocks of
-    vectors, one after the other, and keeps k results for each query. Vectors that all share one score are still read, all of them,
-    since the smaller id decides. An empty side gives an empty result.
+    Every query is held against the cells of every vector, as asked for. Each of repeated query rows is a query with ranks of its own;
+    each of repeated vector rows is a result of its own. Vectors of different lengths end in zeros; an empty side gives an empty result.
     """
-    spark = vectors.sparkSession
-    data = written(blocks(vectors, BLOCK), "vectors")
-    asked = written(blocks(queries, QUERY_BLOCK), "queries")
-    groups = max(1, -(-data.count() // GROUP))
-    left = data.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    right = asked.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("deal"))
-    pairs = left.join(right, "deal").repartition("deal", "q_block").sortWithinPartitions("deal", "q_block", "block")
-    small_batches(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ()
-
-        def out() -> pa.RecordBatch:
-            rows = [(int(i), x, -s) for i, best in zip(held[0], held[2], strict=True) for s, x in best]
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-        for b in batches:
-            for r in b.to_pylist():
-                if now != (r["deal"], r["q_block"]):
-                    if held:
-                        yield out()
-                    now, qs = (r["deal"], r["q_block"]), unpacked(r["q_n"], r["q_dim"], r["q_ids"], r["q_vectors"])
-                    held = (*qs, [[] for _ in range(r["q_n"])])
-                ids, v = unpacked(r["n"], r["dim"], r["ids"], r["vectors"])
-                d = min(v.shape[1], held[1].shape[1])  # what one side lacks is zero
-                search(held[0], held[1][:, :d], held[2], ids, v[:, :d], k)
-        if held:
-            yield out()
-
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    exact, cells = approximation_file(vectors, k)
+    asks = written(queries.select(F.monotonically_increasing_id().alias("row"), "id", "v"), "asks")
+    asked = written(blocks(asks, QUERY_BLOCK, False), "queries")
+    small_batches(vectors.sparkSession)
+    count = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    groups = max(1, min(cells.count(), max(partitions(vectors.sparkSession), -(-count // GROUP))))
+    bounded = written(least_scores(cells, asked, groups, k), "bounded")
+    found = written(candidates(cells, bounded, groups), "candidates")
+    released(asked, bounded, cells)
+
+    q = asks.select(F.col("row").alias("q_row"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    read = lambda some: some.join(exact, "row").join(q, "q_row").select("q_row", "query_id", "row", F.col("id").alias("vec_id"), "copies", product("v", "q").alias("score"))
+    nth = F.row_number().over(W.partitionBy("q_row").orderBy(F.desc("upper"), "row"))
+    first = written(read(found.withColumn("nth", nth).where(F.col("nth") <= k)), "first")
+    sure = first.groupBy("q_row").agg(F.min("score").alias("least"))
+    rest = found.join(first.select("q_row", "row"), ["q_row", "row"], "left_anti").join(sure, "q_row").where("upper >= least")
+    each = first.unionByName(read(rest)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
+    rank = F.row_number().over(W.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of vectors become floor(64 x); vectors that are null or hold a null or a number that isn't finite take no part."""
+    """Components of vectors become floor(64 x); vectors that are null or hold a null or a number that isn't finite take no part, nor do rows without an id; an empty vector has score 0 with all."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = e.where(F.col("id").isNotNull() & F.col("e").isNotNull() & fine).select("id", F.transform("e", lambda x: F.floor(x.cast("double") * 64).cast("long")).alias("v"))
@@ -144,10 +205,11 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT row_number() OVER () AS q_row, * FROM v WHERE vec_id % 20 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.q_row, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
