@@ -273,6 +273,19 @@ def aligned_distance(x: str, y: str) -> float:
     return 1 - same / (len(x) - both) if len(x) > both else 0.0
 
 
+def aligned_distances(texts: Sequence[str]) -> np.ndarray:
+    """aligned_distance() of each text with each, a row of bytes at a time."""
+    n = len(texts)
+    x = np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).reshape(n, -1)
+    gap = x == ord("-")
+    out = np.zeros((n, n))
+    for i in range(n):
+        columns = x.shape[1] - (gap[i] & gap).sum(1)
+        same = ((x[i] == x) & ~gap[i]).sum(1)
+        out[i] = np.where(columns > 0, 1 - same / np.maximum(columns, 1), 0.0)
+    return out
+
+
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, as many as the lesser side has: shortest augmenting paths with potentials."""
     cost = np.asarray(cost, float)
@@ -380,6 +393,24 @@ def without_overlapping_genes(genes: Sequence[dict], share: float = 0.1) -> list
     return kept
 
 
+def longest_of_overlapping_genes(genes: Sequence[dict], share: float = 0.1) -> list[dict]:
+    """Genes as above, but compared with all that are kept: each overlap with a gene that isn't longer takes its place at the end of the list, of which the comparison passes over the gene that moves up. One that took several places is listed as often."""
+    kept: list[dict] = []
+    for new in genes:
+        overlaps, k = False, 0
+        while k < len(kept):
+            old = kept[k]
+            common = min(old["stop"], new["stop"]) - max(old["start"], new["start"])
+            if old["strand"] == new["strand"] and common > 0 and common / 3 > share * min(old["length"], new["length"]):
+                overlaps = True
+                if new["length"] >= old["length"]:
+                    kept = kept[:k] + kept[k + 1 :] + [new]
+            k += 1
+        if not overlaps:
+            kept.append(new)
+    return kept
+
+
 def neighbour_joining(names: Sequence[str], distance: np.ndarray) -> str:
     """A Newick tree, rooted in the middle of its longest path; fewer than three members are joined at one point."""
     if len(names) < 3:

@@ -1,16 +1,23 @@
-"""The pair kernels on tables: Arrow batches of candidate pairs with both records' genes."""
+"""The pair kernels on tables: blocks of candidate pairs of one record."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from clusterlake.functions import kernels as K
 from clusterlake.plans.config import Settings
+from clusterlake.plans.model import WEIGHTS
+
+#: Records that one record meets in a block.
+BLOCK = 256
 
 SCORE = (
     "a long, b long, distance double, jaccard double, adjacency double, dss double, a_start int, a_stop int, b_start int, b_stop int, "
@@ -25,25 +32,50 @@ def features(records: DataFrame, genes: DataFrame) -> DataFrame:
     return records.select("record_id", "kind", "product", "contig_edge").join(g, "record_id")
 
 
-def _paired(pairs: DataFrame, feats: DataFrame) -> DataFrame:
-    side = lambda s: feats.select(F.col("record_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "product", "contig_edge", "genes")))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+def _side(feats: DataFrame, s: str) -> DataFrame:
+    return feats.select(F.col("record_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "product", "contig_edge", "genes")))
+
+
+def _paired(pairs: DataFrame, feats: DataFrame, *more: str) -> DataFrame:
+    """(a, its features, others): each record with the records b that it is paired with, at most BLOCK of them, and their features.
+
+    A record's features are sent once for each block and not for each pair; records of many pairs are dealt out over blocks.
+    """
+    several = pairs.select("a", "b", *more).withColumn("block", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(W.partitionBy("a")) / BLOCK))))
+    other = F.struct("b", *more, *(f"{c}_b" for c in ("kind", "product", "contig_edge", "genes")))
+    grouped = several.join(_side(feats, "b"), "b").groupBy("a", "block").agg(F.collect_list(other).alias("others"))
+    return grouped.join(_side(feats, "a"), "a").select("a", "kind_a", "product_a", "contig_edge_a", "genes_a", "others")
+
+
+def _record(row: dict, s: str) -> K.Record:
+    return K.Record.of(row[f"genes_{s}"], row[f"kind_{s}"], row[f"product_{s}"], row[f"contig_edge_{s}"])
+
+
+def _scored(pairs: DataFrame, feats: DataFrame, more: tuple[str, ...], each: Callable, schema: str) -> DataFrame:
+    """each(a, b, record a, record b, row of more) for each pair, with each record of a block made once; what it returns are rows of schema, or None."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a block at a time
+                row = b.slice(i, 1).to_pylist()[0]
+                a = _record(row, "a")
+                rows = [x for o in row["others"] if (x := each(row["a"], o["b"], a, _record(o, "b"), o)) is not None]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-def _records(row) -> tuple[K.Record, K.Record]:
-    return tuple(K.Record.of(getattr(row, f"genes_{s}"), getattr(row, f"kind_{s}"), getattr(row, f"product_{s}"), getattr(row, f"contig_edge_{s}")) for s in "ab")
+    return _paired(pairs, feats, *more).mapInArrow(run, schema)
 
 
-def score_pairs(pairs: DataFrame, feats: DataFrame, weights: tuple[float, float, float, float], mode: str = "glocal", strategy: str = "legacy", settings: Settings | None = None) -> DataFrame:
-    """Scores pairs (a, b) by content, order and sequence over their comparable region. Rows come in Arrow batches; nothing is held beyond one."""
+def score_pairs(pairs: DataFrame, feats: DataFrame, weights: tuple[float, float, float, float] | None = None, mode: str = "glocal", strategy: str = "legacy", settings: Settings | None = None) -> DataFrame:
+    """Scores pairs (a, b) by content, order and sequence over their comparable region. Without weights, pairs have a column weights that names those of each, which the result keeps."""
     c = settings or Settings()
-    names = [x.split()[0] for x in SCORE.split(", ")]
+    more = () if weights else ("weights",)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([{"a": r.a, "b": r.b} | K.pair_score(*_records(r), weights, mode, strategy, c) for r in f.itertuples()], columns=names)
+    def each(a: int, b: int, x: K.Record, y: K.Record, o: dict) -> dict:
+        return {"a": a, "b": b, **K.pair_score(x, y, weights or WEIGHTS.get(o["weights"], WEIGHTS["mix"]), mode, strategy, c), **{m: o[m] for m in more}}
 
-    return _paired(pairs, feats).mapInPandas(run, SCORE)
+    return _scored(pairs, feats, more, each, SCORE if weights else f"{SCORE}, weights string")
 
 
 def regions(pairs: DataFrame, feats: DataFrame, mode: str = "glocal", strategy: str = "legacy", settings: Settings | None = None) -> DataFrame:
@@ -52,17 +84,13 @@ def regions(pairs: DataFrame, feats: DataFrame, mode: str = "glocal", strategy:
     cols = ["a0", "a1", "b0", "b1"]
     schema = "a long, b long, " + ", ".join(f"{k}{x} int" for k in ("lcs_", "") for x in cols) + ", reverse boolean"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                a, b = _records(r)
-                if set(a.domains) & set(b.domains):
-                    region, match, _ = K.comparable_region(a, b, mode, strategy, c)
-                    rows.append((r.a, r.b, *(getattr(match, x) for x in cols), *(getattr(region, x) for x in cols), region.reverse))
-            yield pd.DataFrame(rows, columns=["a", "b", *(f"lcs_{x}" for x in cols), *cols, "reverse"])
+    def each(a: int, b: int, x: K.Record, y: K.Record, o: dict) -> dict | None:
+        if not set(x.domains) & set(y.domains):
+            return None
+        region, match, _ = K.comparable_region(x, y, mode, strategy, c)
+        return {"a": a, "b": b, **{f"lcs_{k}": getattr(match, k) for k in cols}, **{k: getattr(region, k) for k in cols}, "reverse": region.reverse}
 
-    return _paired(pairs, feats).mapInPandas(run, schema)
+    return _scored(pairs, feats, (), each, schema)
 
 
 def backfill_matches(edges: DataFrame, feats: DataFrame) -> DataFrame:
@@ -91,10 +119,12 @@ def without_overlaps(hits: DataFrame, share: float = 0.1) -> DataFrame:
     return hits.groupBy("gene_id").applyInPandas(lambda f: run(f), hits.schema)
 
 
-def without_overlapping_genes(genes: DataFrame, share: float = 0.1) -> DataFrame:
-    """Genes (container_id, orf, start, stop, strand, length) that stay, taken by orf."""
+def without_overlapping_genes(genes: DataFrame, share: float = 0.1, again: bool = False) -> DataFrame:
+    """Genes (container_id, orf, start, stop, strand, length) that stay, taken by orf. With again, by the rules of dereplication: a gene goes on to be compared after its first overlap."""
+    stay = K.longest_of_overlapping_genes if again else K.without_overlapping_genes
+
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(K.without_overlapping_genes(f.sort_values(["orf", "start", "stop"]).to_dict("records"), share), columns=f.columns)
+        return pd.DataFrame(stay(f.sort_values(["orf", "start", "stop"]).to_dict("records"), share), columns=f.columns)
 
     return genes.groupBy("container_id").applyInPandas(lambda f: run(f), genes.schema)
 
@@ -108,27 +138,35 @@ def tree_domains(members: DataFrame, domains: DataFrame, top: int = 3) -> DataFr
     return often.join(centre, ["family", "domain"], "left_semi").select("family", "domain", "n")
 
 
+#: Members of a family whose distances one task holds: a matrix of 200 MB.
+MOST_MEMBERS = 5_000
+
+
 def trees(members: DataFrame, aligned: DataFrame) -> DataFrame:
-    """(family, newick) of (family, record_id) and (family, record_id, domain, alignment): a tree by neighbour joining of the members' joined alignments.
+    """(family, newick, fasta) of (family, record_id), with a column centre if that isn't the family itself, and (family, record_id, domain, alignment): a tree by neighbour joining of the members' joined alignments, and these.
 
     Several copies of a domain are matched to the centre's by least distance; a domain that a member lacks is gaps. One family is one
-    task's work, as a tree is of all its members.
+    task's work, as a tree is of all its members; one of more than MOST_MEMBERS is an error.
     """
     import numpy as np
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        family = int(f["family"].iloc[0])
+        family, centre = int(f["family"].iloc[0]), int(f["centre"].iloc[0])
         ids = sorted(set(f["record_id"]))
+        if len(ids) > MOST_MEMBERS:
+            raise ValueError(f"family {family} has {len(ids)} members, more than a tree is made of")
         text = dict.fromkeys(ids, "")
         for _, part in f.dropna(subset=["domain"]).groupby("domain"):
-            own = {r: list(g["alignment"]) for r, g in part.groupby("record_id")}
-            for k, copy in enumerate(own.get(family, [])):
+            own = {r: sorted(g["alignment"]) for r, g in part.groupby("record_id")}
+            for k, copy in enumerate(own.get(centre, [])):
                 for r in ids:
-                    cost = np.array([[K.aligned_distance(x, y) for y in own.get(r, [])] for x in own[family]]).reshape(len(own[family]), -1)
+                    cost = np.array([[K.aligned_distance(x, y) for y in own.get(r, [])] for x in own[centre]]).reshape(len(own[centre]), -1)
                     match = dict(K.assignment(cost)) if cost.size else {}
                     text[r] += own[r][match[k]] if k in match else "-" * len(copy)
-        d = np.array([[K.aligned_distance(text[x], text[y]) for y in ids] for x in ids])
-        return pd.DataFrame({"family": [family], "newick": [K.neighbour_joining(ids, d)]})
+        d = K.aligned_distances([text[x] for x in ids])
+        fasta = "".join(f">{x}\n{text[x]}\n" for x in ids)
+        return pd.DataFrame({"family": [family], "newick": [K.neighbour_joining(ids, d)], "fasta": [fasta]})
 
-    rows = members.join(aligned, ["family", "record_id"], "left").select("family", "record_id", "domain", "alignment")
-    return rows.groupBy("family").applyInPandas(lambda f: run(f), "family long, newick string")
+    m = members if "centre" in members.columns else members.withColumn("centre", F.col("family"))
+    rows = m.join(aligned, ["family", "record_id"], "left").select("family", "centre", "record_id", "domain", "alignment")
+    return rows.groupBy("family").applyInPandas(lambda f: run(f), "family long, newick string, fasta string")

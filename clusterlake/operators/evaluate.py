@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clusterlake.plans.scratch import written
+
 
 def paired(curated: DataFrame, computed: DataFrame) -> DataFrame:
     """Items that have both labels."""
@@ -50,10 +53,26 @@ def confusion(labels: DataFrame) -> DataFrame:
     top = c.groupBy("computed").agg(F.max("n").alias("top"))
     # Every curated label comes up at some column, or at none: those come last, unlike in a table that leaves them out.
     first = c.join(top, "computed").where("n = top").groupBy("curated").agg(F.min("computed").alias("first"))
-    from pyspark.sql import Window as W
-
-    order = c.select("curated").distinct().join(first, "curated", "left").withColumn("row", F.row_number().over(W.orderBy(F.col("first").asc_nulls_last(), "curated")))
-    return c.join(F.broadcast(order.select("curated", "row")), "curated").select("row", "curated", "computed", "n")
+    order = numbered(c.select("curated").distinct().join(first, "curated", "left"), [F.col("first").asc_nulls_last(), F.col("curated")], "row")
+    return c.join(order.select("curated", "row"), "curated").select("row", "curated", "computed", "n")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their number from 1 in an order, as an int. Ranges are sorted apart; only their sizes, one for each partition, meet in one task."""
+    nth = F.monotonically_increasing_id()
+    parts = written(rows.orderBy(*order).withColumns({"_part": F.shiftright(nth, 33), "_nth": nth.bitwiseAND((1 << 33) - 1)}), "sorted")
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    return parts.join(F.broadcast(sizes), "_part").select(*rows.columns, (F.col("_before") + F.col("_nth") + 1).cast("int").alias(name))
+
+
+def by_cutoff(labels: DataFrame) -> DataFrame:
+    """(cutoff, families, purity, entropy): of rows (cutoff, curated, computed), the means over each cutoff's computed labels."""
+    cell = labels.groupBy("cutoff", "curated", "computed").agg(F.count(F.lit(1)).alias("n"))
+    total = cell.groupBy("cutoff", "computed").agg(F.sum("n").alias("k"))
+    p = F.col("n") / F.col("k")
+    each = cell.join(total, ["cutoff", "computed"]).groupBy("cutoff", "computed").agg(F.max(p).alias("purity"), F.abs(F.sum(-p * F.log2(p))).alias("entropy"))
+    return each.groupBy("cutoff").agg(F.count(F.lit(1)).alias("families"), F.round(F.avg("purity"), 6).alias("purity"), F.round(F.avg("entropy"), 6).alias("entropy"))
 
 
 def summary(labels: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -65,6 +66,42 @@ def without_version(accession: Column) -> Column:
     return F.when(F.substring(accession, 8, 1) == ".", F.substring(accession, 1, 7)).otherwise(accession)
 
 
+def accession(name: Column) -> Column:
+    """without_version() of a name that may not be longer than a versioned accession: of ten letters."""
+    return F.when(F.length(name) > 10, F.raise_error(F.concat(F.lit("no accession: "), name))).otherwise(without_version(name))
+
+
+def aligned_columns(row: Column) -> Column:
+    """A row of an alignment without its insertions, which are in lower case or dots: as long as the profile."""
+    return F.regexp_replace(row, "[a-z.]", "")
+
+
+def envelope(protein: Column, start: Column, stop: Column) -> Column:
+    """The part of a protein from start to before stop, counted from 0."""
+    return F.substring(protein, start + 1, stop - start)
+
+
+def same_translation(given: Column, made: Column) -> Column:
+    """Whether a translation is the one made from the sequence, but for the first residue, which may stand for another start codon."""
+    rest = lambda x: F.substring(x, F.lit(2), F.length(x))
+    return (given == made) | (rest(given) == rest(made))
+
+
+def valid_hits(hits: DataFrame, score: str = "score", trusted: str = "trusted") -> DataFrame:
+    """Hits that reach their profile's trusted cutoff; where it has none, those of no negative score."""
+    return hits.where(F.col(score) >= F.coalesce(trusted, F.lit(0.0)))
+
+
+def with_number(records: DataFrame, number: int | None) -> DataFrame:
+    """Records of a number; all if none is asked for."""
+    return records if number is None else records.where(F.col("number") == number)
+
+
+def by_position(domains: DataFrame, key: str, *order: str) -> DataFrame:
+    """Domains with their place, from 1, among those of a key by absolute position."""
+    return domains.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long"))
+
+
 def family_name(number: Column) -> Column:
     """FAM_ and at least five digits."""
     digits = number.cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterlake.operators.pairs import candidate_pairs
+from clusterlake.plans.scratch import written
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -35,29 +36,36 @@ def sequence_score(da: Column, na: Column, dn: Column, nn: Column, boost: float)
     return F.when(na == 0, 1 - dn / nn).when(nn == 0, 1 - da / na).otherwise(both)
 
 
+def record_tokens(records: DataFrame, genes: DataFrame, anchors: tuple[str, ...]) -> DataFrame:
+    """(bin, record_id, container_id, token, domain, gene, anchor, other, gram): what a record has, its domains and neighbouring pairs of them, once each, with what each counts for.
+
+    Genes are ordered once; each gives its domain and the pair with the next one, which are counted where they are.
+    """
+    ordered = genes.select("record_id", "domain", F.lead("domain").over(W.partitionBy("record_id").orderBy("orf")).alias("next"))
+    gram = F.when(F.col("next").isNotNull(), F.concat_ws("\t", F.least("domain", "next"), F.greatest("domain", "next")))
+    each = ordered.select("record_id", F.explode(F.array(F.struct(F.lit(1).alias("domain"), F.col("domain").alias("token")), F.struct(F.lit(0).alias("domain"), gram.alias("token")))).alias("t")).select("record_id", "t.*").where("token IS NOT NULL")
+    n = each.groupBy("record_id", "token", "domain").agg(F.count(F.lit(1)).alias("n"))
+    gene = F.when(F.col("domain") == 1, F.col("n")).otherwise(0)
+    anchor = F.col("token").isin(*anchors)
+    counts = [gene.alias("gene"), F.when(anchor, gene).otherwise(0).alias("anchor"), F.when(anchor, 0).otherwise(gene).alias("other"), (1 - F.col("domain")).alias("gram")]
+    return records.select("bin", "record_id", "container_id").join(n.select("record_id", "token", "domain", *counts), "record_id")
+
+
 def scored_pairs(records: DataFrame, genes: DataFrame, anchors: tuple[str, ...], weights: tuple[float, float, float, float]) -> DataFrame:
     """(bin, a, b, jaccard, adjacency, dss, distance), rounded to six places, of all pairs with a common domain; any other pair has distance 1.
 
     Whole records are compared (no region is chosen), and copies of a domain count as alike, so that everything is a join of tokens.
     """
     wj, wa, wd, boost = weights
-    own = records.select("bin", "record_id", "container_id")
-    copies = genes.groupBy("record_id", "domain").agg(F.count(F.lit(1)).alias("n"))
-    anchor = F.col("domain").isin(*anchors)
-    copies = copies.withColumn("anchor", F.when(anchor, F.col("n")).otherwise(0)).withColumn("other", F.when(anchor, 0).otherwise(F.col("n")))
-    per = copies.groupBy("record_id").agg(F.count(F.lit(1)).alias("domains"), F.sum("n").alias("genes"), F.sum("anchor").alias("anchors"), F.sum("other").alias("others"))
-    pairs = candidate_pairs(own.join(copies.withColumnRenamed("domain", "token"), "record_id"), ("anchor", "other"))
-
-    nxt = genes.withColumn("next", F.lead("domain").over(W.partitionBy("record_id").orderBy("orf"))).where("next IS NOT NULL")
-    grams = nxt.select("record_id", F.concat_ws("\t", F.least("domain", "next"), F.greatest("domain", "next")).alias("token")).distinct()
-    n_grams = grams.groupBy("record_id").agg(F.count(F.lit(1)).alias("grams"))
-    near = candidate_pairs(own.join(grams, "record_id")).withColumnRenamed("inter", "common")
-
-    side = lambda s: per.join(n_grams, "record_id", "left").select(F.col("record_id").alias(s), *(F.coalesce(c, F.lit(0)).alias(f"{c}_{s}") for c in ("domains", "genes", "anchors", "others", "grams")))
-    p = pairs.join(near, ["bin", "a", "b"], "left").join(side("a"), "a").join(side("b"), "b")
+    tokens = written(record_tokens(records, genes, anchors), "tokens")
+    per = tokens.groupBy("record_id").agg(*(F.sum(x).alias(f"{x}s") for x in ("domain", "gene", "anchor", "other", "gram")))
+    # Records that share neighbouring pairs share domains, so that one join finds both.
+    pairs = candidate_pairs(tokens, ("domain", "gram", "anchor", "other")).drop("inter").withColumnsRenamed({"least_domain": "inter", "least_gram": "common"})
+    side = lambda s: per.select(F.col("record_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("domains", "genes", "anchors", "others", "grams")))
+    p = pairs.join(side("a"), "a").join(side("b"), "b")
     c = F.col
     j = c("inter") / (c("domains_a") + c("domains_b") - c("inter"))
-    common = F.coalesce(c("common"), F.lit(0))
+    common = c("common")
     ai = F.when((c("genes_a") == 1) & (c("genes_b") == 1), F.lit(1.0)).when((c("genes_a") < 2) | (c("genes_b") < 2), F.lit(0.0)).otherwise(common / (c("grams_a") + c("grams_b") - common))
     da, na = c("anchors_a") + c("anchors_b") - 2 * c("least_anchor"), c("anchors_a") + c("anchors_b") - c("least_anchor")
     dn, nn = c("others_a") + c("others_b") - 2 * c("least_other"), c("others_a") + c("others_b") - c("least_other")

@@ -59,6 +59,17 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as source files: path, organism by nation, taxonomy by region and nation, description by segment."""
+    c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    of = c.join(F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey)), c.c_nationkey == n.n_nationkey)
+    path = F.concat(F.lit("/in/"), "c_name", F.lit(".region001.gbk"))
+    return of.select(F.col("c_custkey").alias("container_id"), path.alias("path"), F.col("n_name").alias("organism"), F.concat_ws(";", "r_name", "n_name").alias("taxonomy"), F.col("c_mktsegment").alias("description"))
+
+
+SQL_CONTAINERS = """con AS (
+  SELECT c_custkey AS container_id, c_name || '.region001.gbk' AS file, c_name || '.region001' AS gbk, n_name AS organism, r_name || ';' || n_name AS taxonomy, c_mktsegment AS description
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 SQL_RECORDS = """rec AS (
   SELECT o_orderkey AS record_id, o_custkey AS container_id, CAST(o_orderdate AS DATE) AS bin, c_mktsegment AS product,
     o_orderpriority AS category, o_orderstatus AS record_type, o_totalprice AS size

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, search, similarity, sketches, state
 from clusterlake.plans import outputs
-from clusterlake.plans.model import ANCHORS, CUTOFFS, SQL_GENES, SQL_RECORDS, WEIGHTS, genes, records, table
+from clusterlake.plans.model import ANCHORS, CUTOFFS, SQL_CONTAINERS, SQL_GENES, SQL_RECORDS, WEIGHTS, containers, genes, records, table
 from clusterlake.plans.scratch import written
 
 MIX = WEIGHTS["mix"]
@@ -65,10 +65,28 @@ def same_container_pairs(spark, sf):
     return pairs.same_container_count(r.where("category = '1-URGENT'"), r.where("category <> '1-URGENT'"))
 
 
-@query(f"{EDGES} SELECT p.bin, p.a, p.b FROM (SELECT x.bin, x.record_id AS a, y.record_id AS b FROM rec x JOIN rec y ON x.bin = y.bin AND x.record_id < y.record_id AND x.container_id <> y.container_id) p ANTI JOIN (SELECT * FROM edge WHERE distance < 0.5) e ON e.a = p.a AND e.b = p.b")
+@query(f"""{EDGES}, part_of AS (SELECT x.bin, x.record_id AS a, y.record_id AS b FROM rec x JOIN rec y ON x.bin = y.bin AND x.record_id < y.record_id AND x.container_id <> y.container_id)
+SELECT p.bin, p.a, p.b FROM part_of p JOIN edge USING (a, b) ANTI JOIN (SELECT * FROM edge WHERE distance < 0.5) e ON e.a = p.a AND e.b = p.b""")
 def missing_pairs(spark, sf):
-    known = edges(spark, sf).where("distance < 0.5").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return pairs.missing_pairs(pairs.all_pairs(records(spark, sf)), known).select("bin", "a", "b")
+    """Pairs with a common token that have no stored edge; pairs without one have distance 1 and are never asked for."""
+    e = written(edges(spark, sf).select("bin", "a", "b", "distance"), "edges")
+    known = e.where("distance < 0.5").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.missing_pairs(e.select("bin", "a", "b"), known).select("bin", "a", "b")
+
+
+@query(f"{EDGES} SELECT count(*) AS edges FROM edge WHERE distance < 0.5 AND (a + b) % 3 = 0")
+def existing_edge_count(spark, sf):
+    e = written(edges(spark, sf).select("bin", "a", "b", "distance"), "edges")
+    stored = e.where("distance < 0.5").select("bin", F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.existing_edges(e.where("(a + b) % 3 = 0"), stored)
+
+
+@query(f"{EDGES} SELECT e.bin, e.a, e.b FROM edge e JOIN rec x ON x.record_id = e.a JOIN rec y ON y.record_id = e.b WHERE '1-URGENT' IN (x.category, y.category) AND 'MACHINERY' IN (x.product, y.product) AND (x.category = '1-URGENT' AND x.product = 'MACHINERY' OR y.category = '1-URGENT' AND y.product = 'MACHINERY')")
+def pairs_of_a_front(spark, sf):
+    """Candidate pairs of the records that a query found last, by their tokens alone."""
+    t = written(similarity.record_tokens(records(spark, sf), genes(spark, sf), ANCHORS).where("domain = 1"), "tokens")
+    front = records(spark, sf).where("category = '1-URGENT' AND product = 'MACHINERY'").select("record_id")
+    return pairs.pairs_with(t.join(front, "record_id", "left_semi"), t)
 
 
 @query(f"WITH {SQL_RECORDS} SELECT record_id, category || '.' || product AS labels FROM rec WHERE NOT list_has_any([category, product], ['5-LOW', 'FURNITURE']) AND list_has_any([category, product], ['1-URGENT', 'MACHINERY'])")
@@ -100,8 +118,8 @@ def record_level_fallback(spark, sf):
 
 @query(f"WITH {SQL_RECORDS}, {SQL_GENES} SELECT g.record_id, orf, domain FROM gene g JOIN rec r ON g.record_id = r.record_id WHERE (orf - 1) * 100 >= 50 AND (orf - 1) * 100 + 2 * width <= 60 * length(product)")
 def gene_containment(spark, sf):
-    g = genes(spark, sf).select("record_id", "orf", "domain", ((F.col("orf") - 1) * 100).alias("nt_start")).join(genes(spark, sf).select("record_id", "orf", "width"), ["record_id", "orf"])
-    g = g.withColumn("nt_stop", F.col("nt_start") + 2 * F.col("width"))
+    start = (F.col("orf") - 1) * 100
+    g = genes(spark, sf).select("record_id", "orf", "domain", start.alias("nt_start"), (start + 2 * F.col("width")).alias("nt_stop"))
     r = records(spark, sf).select("record_id", F.lit(50).alias("nt_start"), (60 * F.length("product")).alias("nt_stop"))
     return filters.contained(g, r).select("record_id", "orf", "domain")
 
@@ -117,13 +135,13 @@ def merge_groups(spark, sf):
 SEGMENT_CLASSES = {"PKSI": ("AUTOMOBILE",), "PKSother": ("BUILDING",), "NRPS": ("FURNITURE",), "RiPP": ("HOUSEHOLD",), "saccharide": ("SUGAR",)}
 
 
-@query("""WITH p AS (SELECT c_nationkey AS container_id, list_sort(list(DISTINCT c_mktsegment)) AS parts FROM customer WHERE c_acctbal > 9500 GROUP BY 1)
+@query("""WITH p AS (SELECT c_nationkey * 20 + c_custkey % 20 AS container_id, list_sort(list(DISTINCT c_mktsegment)) AS parts FROM customer GROUP BY 1)
 SELECT container_id, array_to_string(parts, '.') AS product, CASE
   WHEN len(parts) = 1 THEN CASE parts[1] WHEN 'AUTOMOBILE' THEN 'PKSI' WHEN 'BUILDING' THEN 'PKSother' WHEN 'FURNITURE' THEN 'NRPS' WHEN 'HOUSEHOLD' THEN 'RiPP' ELSE 'other' END
   WHEN list_has_all(['AUTOMOBILE', 'BUILDING'], parts) THEN 'PKSother' WHEN list_has_all(['AUTOMOBILE', 'BUILDING', 'FURNITURE'], parts) THEN 'PKS-NRP_Hybrids' ELSE 'other' END AS bin FROM p""")
 def legacy_class_bins(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 9500")
-    p = c.groupBy(F.col("c_nationkey").alias("container_id")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ".").alias("product"))
+    c = table(spark, sf, "customer")
+    p = c.groupBy((F.col("c_nationkey") * 20 + F.col("c_custkey") % 20).alias("container_id")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ".").alias("product"))
     return bins.legacy_bins(p, classes=SEGMENT_CLASSES).select("container_id", "product", "bin")
 
 
@@ -375,26 +393,48 @@ def latest_run(spark, sf):
     return state.latest(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query(f"{COMPONENTS} SELECT DISTINCT c.cutoff, c.record_id, container_id, record_type, product, category FROM component c JOIN rec r ON r.record_id = c.record_id")
+NAMED = f"{SQL_CONTAINERS}, named AS (SELECT record_id, r.container_id, file || '_' || record_type || '_' || CAST(record_id AS VARCHAR) AS record, gbk, record_type, record_id AS record_number, product AS class, category, organism, taxonomy, description FROM rec r JOIN con ON con.container_id = r.container_id)"
+
+
+def names(spark, sf):
+    return outputs.named(records(spark, sf).withColumn("number", F.col("record_id")), containers(spark, sf))
+
+
+@query(f"{COMPONENTS}, {NAMED} SELECT DISTINCT c.cutoff, record, gbk, record_type, record_number, class, category, organism, taxonomy, description FROM component c JOIN named r ON r.record_id = c.record_id")
 def record_annotations(spark, sf):
-    return outputs.record_annotations(records(spark, sf), network(spark, sf)[1])
+    return outputs.record_annotations(names(spark, sf), network(spark, sf)[1])
 
 
-@query(f"""{COMPONENTS}, f AS (SELECT cutoff, component, row_number() OVER (PARTITION BY cutoff ORDER BY component) AS k FROM (SELECT DISTINCT cutoff, component FROM component))
-SELECT c.cutoff, c.bin, c.record_id, container_id, c.component, 'FAM_' || lpad(CAST(k AS VARCHAR), CAST(greatest(5, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS family FROM component c JOIN f ON f.cutoff = c.cutoff AND f.component = c.component JOIN rec r ON r.record_id = c.record_id""")
+@query(f"""{COMPONENTS}, {NAMED}, f AS (SELECT cutoff, component, row_number() OVER (PARTITION BY cutoff ORDER BY component) AS k FROM (SELECT DISTINCT cutoff, component FROM component))
+SELECT c.cutoff, c.bin, record, gbk, record_type, record_number, c.component AS cc, 'FAM_' || lpad(CAST(k AS VARCHAR), CAST(greatest(5, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS family FROM component c JOIN f ON f.cutoff = c.cutoff AND f.component = c.component JOIN named r ON r.record_id = c.record_id""")
 def clustering_report(spark, sf):
     """Families are the components here, so that SQL can follow."""
     c = written(network(spark, sf)[1], "components")
-    return outputs.clustering(c, c.select("cutoff", "bin", "record_id", F.col("component").alias("family")), records(spark, sf))
+    return outputs.clustering(c, c.select("cutoff", "bin", "record_id", F.col("component").alias("family")), names(spark, sf))
+
+
+SHOWN = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))::VARCHAR AS {c}" for c in ("distance", "jaccard", "adjacency", "dss"))
+NETWORK = f"""{EDGES}, {NAMED}, size_ AS (SELECT record_id, '0:' || CAST(count(*) AS VARCHAR) AS orfs FROM gene GROUP BY 1)
+SELECT e.bin, x.record AS record_a, x.gbk AS gbk_a, x.record_type AS record_type_a, x.record_number AS record_number_a, p.orfs AS orf_coords_a, y.record AS record_b, y.gbk AS gbk_b, y.record_type AS record_type_b, y.record_number AS record_number_b, q.orfs AS orf_coords_b,
+  {SHOWN}, 'mix' AS weights, 'global' AS alignment_mode, 'legacy' AS extend_strategy FROM edge e JOIN named x ON x.record_id = a JOIN named y ON y.record_id = b JOIN size_ p ON p.record_id = a JOIN size_ q ON q.record_id = b WHERE distance < """
+
 
+def whole_edges(spark, sf, below):
+    """Edges whose region is the whole of both records."""
+    n = genes(spark, sf).groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda s: n.select(F.col("record_id").alias(s), F.lit(0).alias(f"{s}_start"), F.col("n").alias(f"{s}_stop"))
+    return edges(spark, sf).where(F.col("distance") < below).join(side("a"), "a").join(side("b"), "b")
 
-@query(f"""{EDGES} SELECT e.bin, a, x.container_id AS container_id_a, x.record_type AS record_type_a, x.product AS product_a, b, y.container_id AS container_id_b, y.record_type AS record_type_b, y.product AS product_b,
-  round(distance, 4) AS distance, round(jaccard, 4) AS jaccard, round(adjacency, 4) AS adjacency, round(dss, 4) AS dss FROM edge e JOIN rec x ON x.record_id = a JOIN rec y ON y.record_id = b WHERE distance < 0.5""")
+
+@query(f"{NETWORK} 0.5")
 def network_edges(spark, sf):
-    """Numbers are left as such here; outputs.network writes them with two decimals."""
-    e = edges(spark, sf)
-    keep = ["distance", "jaccard", "adjacency", "dss"]
-    return outputs.network(e, records(spark, sf), 0.5).drop(*keep).join(e.select("a", "b", *(F.round(c, 4).alias(c) for c in keep)), ["a", "b"])
+    return outputs.network(whole_edges(spark, sf, 0.5), names(spark, sf), 0.5, mode="global")
+
+
+@query(f"{NETWORK} 1")
+def full_network(spark, sf):
+    """All edges but those of distance 1."""
+    return outputs.network(whole_edges(spark, sf, 2.0), names(spark, sf), mode="global")
 
 
 @query(f"WITH {SQL_RECORDS} SELECT x.container_id, x.record_id AS a, x.record_type AS record_type_a, y.record_id AS b, y.record_type AS record_type_b FROM rec x JOIN rec y ON x.container_id = y.container_id AND x.record_id < y.record_id")

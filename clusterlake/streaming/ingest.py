@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from clusterlake.operators.pairs import candidate_pairs, missing_pairs
+from clusterlake.operators.pairs import missing_pairs, pairs_with
 
 
 def stream_tokens(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -18,8 +18,8 @@ def stream_tokens(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def keep_scoring(tokens: DataFrame, store: str, score: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Appends each batch's tokens to store/tokens and the scores of pairs that are new to store/edges.
 
-    tokens: (bin, record_id, container_id, token). A batch's records meet each other and all before; score is given (bin, a, b, inter)
-    of pairs with a common token, inter counting the tokens that occur in the batch. A batch that is run again after
+    tokens: (bin, record_id, container_id, token). A batch's records meet each other and all before; score is given (bin, a, b)
+    of pairs with a common token; only the batch's tokens are joined with the stored ones. A batch that is run again after
     a failure finds its own tokens and edges there, so that nothing is written twice.
     """
     spark = tokens.sparkSession
@@ -34,10 +34,7 @@ def keep_scoring(tokens: DataFrame, store: str, score: Callable[[DataFrame], Dat
         new = rows.dropDuplicates(["record_id", "token"]).join(old.select("record_id").distinct(), "record_id", "left_anti")
         new.write.mode("append").parquet(f"{store}/tokens")
         every = stored("tokens", tokens.schema)
-        of = rows.select("record_id").distinct()
-        near = every.join(rows.select("bin", "token").distinct(), ["bin", "token"], "left_semi")
-        pairs = candidate_pairs(near)
-        pairs = pairs.join(of.withColumnRenamed("record_id", "a"), "a", "left_semi").unionByName(pairs.join(of.withColumnRenamed("record_id", "b"), "b", "left_semi")).distinct()
+        pairs = pairs_with(rows.dropDuplicates(["record_id", "token"]), every)
         edges = stored("edges", score(pairs.limit(0)).schema)
         score(missing_pairs(pairs, edges)).write.mode("append").parquet(f"{store}/edges")
 
