@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, sketches
 from clusterlake.plans import outputs
 from clusterlake.plans.config import Settings
-from clusterlake.plans.model import WEIGHTS
 from clusterlake.plans.scratch import written
+from clusterlake.plans.store import RunStore
 from clusterlake.sources.genbank import read_files, tables
-from clusterlake.sources.tables import read_labels
+from clusterlake.sources.tables import read_labels, read_run_labels
 
 LEVELS = ("region", "cand_cluster", "protocluster", "proto_core")
 
 
 @dataclass(frozen=True)
 class Options:
-    """Choices of a run. classify: mix, class, category or legacy. Cutoffs are in [0, 1]; a pair has an edge if its distance is below."""
+    """Choices of a run. classify: mix, class, category or legacy. Cutoffs are in [0, 1]; a pair has an edge if its distance is below.
+
+    legacy_weights: a class or category is compared with the weights of the legacy class it resembles, not those of mix.
+    record_number: of a query file, the record of this number, below the level of regions.
+    bad_files: raise, or report: then files that can't be read are left out and listed in the result.
+    cull: leave records that are in no component out of the result tables.
+    """
 
     cutoffs: tuple[float, ...] = (0.3,)
     record_type: str = "region"
@@ -35,6 +41,13 @@ class Options:
     include_classes: tuple[str, ...] = ()
     exclude_classes: tuple[str, ...] = ()
     propagate: bool = False
+    legacy_weights: bool = False
+    record_number: int | None = None
+    bad_files: str = "raise"
+    cull: bool = False
+    force: bool = False
+    include_files: tuple[str, ...] = ("cluster", "region")
+    exclude_files: tuple[str, ...] = ("final",)
     settings: Settings = field(default_factory=Settings)
 
     def __post_init__(self):
@@ -48,6 +61,12 @@ class Options:
             raise ValueError("domains to include are either any or all")
         if self.hybrids_off and self.classify == "mix":
             raise ValueError("hybrids can only be split into classes or categories")
+        if self.legacy_weights and self.classify not in ("class", "category"):
+            raise ValueError("legacy weights go with classes or categories; mix has its own, legacy bins have theirs")
+        if self.bad_files not in ("raise", "report"):
+            raise ValueError("bad files are raised or reported")
+        if self.record_number is not None and self.record_type == "region":
+            raise ValueError("a file has one region; numbers tell records below it apart")
 
 
 def record_genes(records: DataFrame, genes: DataFrame, hits: DataFrame, every: DataFrame) -> DataFrame:
@@ -58,9 +77,9 @@ def record_genes(records: DataFrame, genes: DataFrame, hits: DataFrame, every: D
     hits: (container_id, orf, accession, env_start, env_stop, bit_score, alignment).
     """
     order = F.struct("env_start", -F.col("bit_score"), "accession", "alignment")
-    h = hits.groupBy("container_id", "orf").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "accession", "alignment"))), lambda x: F.struct(filters.without_version(x["accession"]).alias("accession"), x["alignment"].alias("alignment"))).alias("hsps"))
+    h = hits.groupBy("container_id", "orf").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "accession", "alignment"))), lambda x: F.struct(filters.accession(x["accession"]).alias("accession"), x["alignment"].alias("alignment"))).alias("hsps"))
     g = genes.join(h, ["container_id", "orf"], "left").withColumn("is_core", F.coalesce(F.col("gene_kind").isin("biosynthetic", "catabolic"), F.lit(False)))
-    core = every.where("record_type = 'proto_core'").groupBy(F.col("parent_id").alias("record_id")).agg(F.min("nt_start").alias("_c"), F.max("nt_stop").alias("_d"))
+    core = every.where("record_type = 'proto_core'").groupBy(F.col("parent_id").alias("record_id")).agg(F.min("nt_start").alias("_c"), F.max("nt_stop").alias("_d"))  # a protocluster has one
     r = records.join(core, "record_id", "left").select("record_id", "container_id", "record_type", F.col("nt_start").alias("_a"), F.col("nt_stop").alias("_b"), F.coalesce("_c", "nt_start").alias("_c"), F.coalesce("_d", "nt_stop").alias("_d"))
     inner = (F.col("nt_start") >= F.col("_c")) & (F.col("nt_stop") <= F.col("_d"))
     inside = (F.col("record_type") == "region") | ((F.col("nt_start") >= F.col("_a")) & (F.col("nt_stop") <= F.col("_b")))
@@ -77,36 +96,44 @@ def chosen_records(t: dict[str, DataFrame], o: Options) -> DataFrame:
 
 
 def binned(records: DataFrame, o: Options) -> DataFrame:
+    """Records with their bin and the name of its weights."""
     if o.classify == "mix":
-        return bins.mix_bin(records)
+        return bins.mix_bin(records).withColumn("weights", F.lit("mix"))
     if o.classify == "legacy":
-        return bins.legacy_bins(records, o.hybrids_off)
-    return bins.label_bins(records, "product" if o.classify == "class" else "category", o.hybrids_off)
+        return bins.legacy_bins(records, o.hybrids_off).withColumn("weights", F.col("bin"))
+    b = bins.label_bins(records, "product" if o.classify == "class" else "category", o.hybrids_off)
+    if not o.legacy_weights:
+        return b.withColumn("weights", F.lit("mix"))
+    return b.withColumn("weights", bins.legacy_class(F.col("bin"))) if o.classify == "class" else b.join(bins.bin_weights(b), "bin")
+
+
+def tokens_of(feats: DataFrame) -> DataFrame:
+    """(record_id, token): the distinct domains of records."""
+    domains = F.array_distinct(F.flatten(F.transform("genes", lambda g: F.transform(g["hsps"], lambda h: h["accession"]))))
+    return feats.select("record_id", F.explode(domains).alias("token"))
 
 
 def scored(binned_records: DataFrame, feats: DataFrame, o: Options, stored: DataFrame | None = None) -> DataFrame:
-    """(bin, ...) scores of all pairs with a common domain that aren't stored yet, with each bin's weights."""
-    tokens = feats.select("record_id", F.explode(F.array_distinct(F.flatten(F.transform("genes", lambda g: F.transform(g["hsps"], lambda h: h["accession"]))))).alias("token"))
-    p = pairs.candidate_pairs(binned_records.select("bin", "record_id", "container_id").join(tokens, "record_id"))
+    """(bin, weights, ...) scores of all pairs with a common domain that aren't stored yet, all bins in one job, each with its weights."""
+    p = pairs.candidate_pairs(binned_records.select("bin", "record_id", "container_id").join(tokens_of(feats), "record_id")).select("bin", "a", "b")
     if stored is not None:
-        p = p.join(pairs.normalised(stored).select("bin", "a", "b").distinct(), ["bin", "a", "b"], "left_anti")
-    p = written(p, "pairs")
-    parts = []
-    for name in [r["bin"] for r in p.select("bin").distinct().limit(10_000).collect()] if o.classify == "legacy" else [None]:
-        some = p if name is None else p.where(F.col("bin") == name)
-        s = alignment.score_pairs(some.select("a", "b").distinct(), feats, WEIGHTS.get(name, WEIGHTS["mix"]), o.alignment_mode, o.extend_strategy, o.settings)
-        parts.append(some.select("bin", "a", "b").join(s, ["a", "b"]))
-    out = parts[0] if parts else p.select("bin").join(alignment.score_pairs(p.select("a", "b"), feats, WEIGHTS["mix"]), F.lit(False))
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+        p = pairs.normalised(p).join(pairs.normalised(stored).select("bin", "a", "b").distinct(), ["bin", "a", "b"], "left_anti")
+    return scored_in_bins(p, binned_records, feats, o)
+
 
+def scored_in_bins(p: DataFrame, binned_records: DataFrame, feats: DataFrame, o: Options) -> DataFrame:
+    """Scores of pairs (bin, a, b). A pair that several bins of the same weights have is scored once."""
+    weights = binned_records.select("bin", "weights").distinct()
+    p = written(p.join(weights, "bin"), "pairs")
+    s = alignment.score_pairs(p.select("a", "b", "weights").distinct(), feats, None, o.alignment_mode, o.extend_strategy, o.settings)
+    return p.join(s, ["a", "b", "weights"])
 
-def genes_that_stay(genes: DataFrame, share: float) -> DataFrame:
-    """Genes without those that overlap another of their file."""
+
+def genes_that_stay(genes: DataFrame, share: float, again: bool = False) -> DataFrame:
+    """Genes without those that overlap another of their file; see alignment.without_overlapping_genes for again."""
     size = F.length(F.coalesce("aa_seq", F.lit("")))
     g = genes.select("container_id", "orf", F.col("nt_start").alias("start"), F.col("nt_stop").alias("stop"), "strand", size.alias("length"))
-    return genes.join(alignment.without_overlapping_genes(g, share).select("container_id", "orf"), ["container_id", "orf"], "left_semi")
+    return genes.join(alignment.without_overlapping_genes(g, share, again).select("container_id", "orf").distinct(), ["container_id", "orf"], "left_semi")
 
 
 def hits_that_stay(hits: DataFrame, share: float) -> DataFrame:
@@ -117,8 +144,12 @@ def hits_that_stay(hits: DataFrame, share: float) -> DataFrame:
 
 
 def loaded(spark: SparkSession, folder: str, hits: DataFrame, o: Options) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The tables of a folder, and the hits of its files, both without overlaps."""
-    t = {k: written(v, k) for k, v in tables(written(read_files(spark, folder), "files")).items()}
+    """The tables of a folder, and the hits of its files, both without overlaps. errors lists files that can't be read; by default they end the run."""
+    files = written(read_files(spark, folder, o.include_files, o.exclude_files, force=o.force), "files")
+    bad = files.where("error IS NOT NULL").select("path", "error")
+    if o.bad_files == "raise" and (some := bad.orderBy("path").limit(10).collect()):
+        raise ValueError(f"{bad.count()} files can't be read, among them: " + "; ".join(f"{r['path']}: {r['error']}" for r in some))
+    t = {k: written(v, k) for k, v in tables(files).items()} | {"errors": bad}
     t["genes"] = written(genes_that_stay(t["genes"], o.settings.cds_overlap), "genes")
     return t, written(hits_that_stay(hits.join(t["containers"].select("hash", "container_id"), "hash"), o.settings.domain_overlap), "hits")
 
@@ -143,56 +174,135 @@ def network(b: DataFrame, edges: DataFrame, o: Options) -> dict[str, DataFrame]:
     return {"edges": edges, "components": c, "families": f, "singletons": families.singletons(b, c, o.cutoffs)}
 
 
+def results(out: dict[str, DataFrame], r: DataFrame, t: dict[str, DataFrame], o: Options) -> dict[str, DataFrame]:
+    """out, and the tables that a run writes."""
+    names = written(outputs.named(r, t["containers"]), "names")
+    f = out["families"].drop("component")
+    alone = out["singletons"].select("cutoff", "bin", "record_id", F.col("record_id").alias("component"))
+    c = out["components"] if o.cull else out["components"].unionByName(alone)
+    f = f if o.cull else f.unionByName(alone.withColumnRenamed("component", "family"))
+    show = lambda cutoff: outputs.network(out["edges"], names, cutoff, o.alignment_mode, o.extend_strategy)
+    tables_ = {"clustering": outputs.clustering(c, f, names), "annotations": outputs.record_annotations(names, c), "network": show(max(o.cutoffs)), "full_network": show(None), "topology": outputs.topology(r)}
+    return out | tables_ | {"records": r, "containers": t["containers"], "errors": t["errors"]}
+
+
 def cluster(spark: SparkSession, folder: str, hits: DataFrame, options: Options | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All records against all of their bin: edges, components, families, singletons and the result tables. Edges that are stored are not computed again."""
+    """All records against all of their bin: edges, components, families, singletons and the result tables. Edges that are stored are not computed again; matches they lack are filled in."""
     o = options or Options()
     t, h = loaded(spark, folder, hits, o)
     r, feats = prepared(t, h, o)
     b = written(binned(r, o), "bins")
+    if stored is not None:
+        stored = written(alignment.backfill_matches(stored, feats), "stored")
     e = scored(b, feats, o, stored)
-    e = written(e if stored is None else stored.unionByName(e), "edges")
-    out = network(b, e, o) | {"records": r, "bins": b, "containers": t["containers"]}
-    return out | {"clustering": outputs.clustering(out["components"], out["families"].drop("component"), r), "annotations": outputs.record_annotations(b, out["components"]), "network": outputs.network(e, r, max(o.cutoffs)), "topology": outputs.topology(r)}
+    e = written(e if stored is None else stored.unionByName(e, allowMissingColumns=True), "edges")
+    return results(network(b, e, o) | {"bins": b, "features": feats, "hits": h, "genes": t["genes"]}, r, t, o)
+
+
+def query_bin(r: DataFrame, start: DataFrame, o: Options) -> DataFrame:
+    """Records to compare a query with: all, or those of its class or category, as (bin, weights, ...). One that shares neither with any other is an error."""
+    if o.classify == "mix":
+        return bins.mix_bin(r).withColumn("weights", F.lit("mix"))
+    b = binned(r, o)
+    own = b.join(start, "record_id", "left_semi").select("bin").distinct()
+    b = written(b.join(own, "bin", "left_semi"), "bins")
+    if b.join(start, "record_id", "left_anti").isEmpty():
+        raise ValueError("no other record has the class or category of the query")
+    return b
 
 
-def query(spark: SparkSession, folder: str, hits: DataFrame, query_hash: str, options: Options | None = None) -> dict[str, DataFrame]:
-    """One record against all: with propagate, records that are found are queries of the next round, until none is new. Then all pairs within the component are scored, so that each cutoff's families see them.
+def query(spark: SparkSession, folder: str, hits: DataFrame, query_hash: str, options: Options | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One record against all of its bin: with propagate, records that are found are queries of the next round, until none is new. Then all pairs within the component are scored, so that each cutoff's families see them.
 
-    A round scores only pairs of a newly found record; what it found is written before the next one starts.
+    A round joins the tokens of the newly found records alone with all tokens, and scores what isn't scored yet; what it found is written
+    before the next one starts.
     """
     o = options or Options()
     t, h = loaded(spark, folder, hits, o)
     r, feats = prepared(t, h, o)
-    b = bins.mix_bin(r)
-    start = r.join(t["containers"].where(F.col("hash") == query_hash).select("container_id"), "container_id", "left_semi").select("record_id")
-    tokens = feats.select("record_id", F.explode(F.array_distinct(F.flatten(F.transform("genes", lambda g: F.transform(g["hsps"], lambda h: h["accession"]))))).alias("token"))
-    every = written(pairs.candidate_pairs(b.select("bin", "record_id", "container_id").join(tokens, "record_id")).select("a", "b"), "pairs")
-    ask = lambda p: alignment.score_pairs(p, feats, WEIGHTS["mix"], o.alignment_mode, o.extend_strategy, o.settings).withColumn("bin", F.lit("mix"))
-    done, seen, front = None, written(start, "seen"), written(start, "front")
+    start = r.join(t["containers"].where(F.col("hash") == query_hash).select("container_id"), "container_id", "left_semi")
+    start = written(filters.with_number(start, o.record_number).select("record_id"), "start")
+    if start.isEmpty():
+        raise ValueError("the query file has no such record")
+    b = query_bin(r, start, o)
+    tokens = written(b.select("bin", "record_id", "container_id").join(tokens_of(feats), "record_id"), "tokens")
+    done, seen, front = stored, start, start
     while True:
-        touching = every.join(front.withColumnRenamed("record_id", "a"), "a", "left_semi").unionByName(every.join(front.withColumnRenamed("record_id", "b"), "b", "left_semi").select("a", "b")).distinct()
-        new = written(ask(touching if done is None else pairs.missing_pairs(touching, done)), "edges")
-        done = new if done is None else written(done.unionByName(new), "edges")
-        near = new.where(F.col("distance") < max(o.cutoffs))
-        found = near.select(F.col("a").alias("record_id")).unionByName(near.select(F.col("b").alias("record_id"))).distinct()
+        asked = pairs.pairs_with(tokens.join(front, "record_id", "left_semi"), tokens)
+        new = written(scored_in_bins(asked if done is None else pairs.missing_pairs(asked, done), b, feats, o), "edges")
+        done = new if done is None else written(done.unionByName(new, allowMissingColumns=True), "edges")
+        near = done.where(F.col("distance") < max(o.cutoffs))
+        reach = lambda x, y: near.join(front.withColumnRenamed("record_id", x), x, "left_semi").select(F.col(y).alias("record_id"))  # noqa: E731, B023
+        found = reach("a", "b").unionByName(reach("b", "a")).distinct()
         front = written(found.join(seen, "record_id", "left_anti"), "front")
         if front.isEmpty():
             break
         seen = written(seen.unionByName(front), "seen")
         if not o.propagate:
             break
-    inside = every.join(seen.withColumnRenamed("record_id", "a"), "a", "left_semi").join(seen.withColumnRenamed("record_id", "b"), "b", "left_semi").select("a", "b")
-    edges = written(done.unionByName(ask(pairs.missing_pairs(inside, done))), "edges")
-    return network(b.join(seen, "record_id", "left_semi"), edges, o) | {"records": r, "reached": seen}
+    inside = tokens.join(seen, "record_id", "left_semi")
+    edges = written(done.unionByName(scored_in_bins(pairs.missing_pairs(pairs.pairs_with(inside, inside), done), b, feats, o), allowMissingColumns=True), "edges")
+    return results(network(b.join(seen, "record_id", "left_semi"), edges, o) | {"features": feats}, r.join(seen, "record_id", "left_semi"), t, o) | {"reached": seen}
+
+
+def scanned(spark: SparkSession, files: DataFrame, found: DataFrame, o: Options) -> DataFrame:
+    """Hits (hash, orf, accession, env_start, env_stop, bit_score, alignment) of the genes of parsed files, by search with profiles (see sources.tables.read_profiles)."""
+    from clusterlake.operators import profiles
+
+    genes = files.select("hash", F.explode("cds").alias("g")).select("hash", F.col("g.orf").alias("orf"), F.col("g.aa_seq").alias("aa_seq"), F.xxhash64("hash", "g.orf").alias("gene_id"))
+    genes = written(genes, "proteins")
+    hits = profiles.search(genes, found, o.settings.domain_overlap).join(genes.select("gene_id", "hash", "orf"), "gene_id")
+    return hits.select("hash", "orf", "accession", F.col("start").alias("env_start"), F.col("stop").alias("env_stop"), F.col("score").alias("bit_score"), "alignment")
+
+
+def stored_cluster(spark: SparkSession, folder: str, store: RunStore, hits: DataFrame | None = None, found: DataFrame | None = None, options: Options | None = None) -> dict[str, DataFrame]:
+    """cluster(), going on from what is in the store, and adding to it as it gets done: only files that aren't there are scanned with the profiles found, only edges that aren't there are scored."""
+    o = options or Options()
+    store.start(o.settings)
+    files = written(read_files(spark, folder, o.include_files, o.exclude_files, force=o.force), "files")
+    known = store.load("scanned")
+    if hits is None:
+        new = files if known is None else files.join(known, "hash", "left_anti")
+        store.add("hits", scanned(spark, new.where("error IS NULL"), found, o))
+        store.add("scanned", new.select("hash"), keys=("hash",))
+        hits = store.load("hits")
+    out = cluster(spark, folder, hits, o, store.load("edges"))
+    store.add("edges", out["edges"])
+    for name in ("containers", "records", "genes"):
+        store.add(name, out[name])
+    return out
+
+
+def trees(out: dict[str, DataFrame], o: Options) -> DataFrame:
+    """(cutoff, bin, centre, newick, fasta) of the families of a run that have more than one member, by the most common domains of their centres."""
+    m = out["families"].withColumn("centre", F.col("family")).withColumn("family", F.xxhash64("cutoff", "bin", "centre"))
+    large = m.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("family")
+    m = written(m.join(large, "family", "left_semi"), "members")
+    domains = out["features"].select("record_id", F.explode("genes").alias("g")).select("record_id", F.explode("g.hsps").alias("h")).select("record_id", F.col("h.accession").alias("domain"), F.col("h.alignment").alias("alignment"))
+    of = m.select("family", "centre", "record_id").join(domains, "record_id").where("alignment IS NOT NULL")
+    centres = m.select("family", "centre").distinct()
+    often = alignment.tree_domains(m.select(F.col("family"), "record_id"), of.select("record_id", "domain").unionByName(of.where("record_id = centre").select(F.col("family").alias("record_id"), "domain")), o.settings.top_frequencies)
+    t = alignment.trees(m.select("family", "centre", "record_id"), of.join(often.select("family", "domain"), ["family", "domain"], "left_semi").select("family", "record_id", "domain", "alignment"))
+    return t.join(m.select("family", "cutoff", "bin").distinct(), "family").join(centres, "family").select("cutoff", "bin", "centre", "newick", "fasta")
+
+
+def protein_items(spark: SparkSession, folder: str, settings: Settings | None = None) -> DataFrame:
+    """(item, hash, protein): files by their path below the folder, in dots, and their hash, with their proteins joined in gene order. Records don't matter here; files whose genes can't be read are an error."""
+    c = settings or Settings()
+    every = written(read_files(spark, folder), "files")
+    if some := every.where("error IS NOT NULL AND size(cds) = 0").select("path", "error").orderBy("path").limit(10).collect():
+        raise ValueError("files can't be read, among them: " + "; ".join(f"{r['path']}: {r['error']}" for r in some))
+    files = every.where(F.size("cds") > 0).where(filters.within_length(F.col("nt_len"), c.min_length, c.max_length))
+    below = F.regexp_replace(F.expr(f"substring(path, locate('/{folder.rstrip('/').rsplit('/', 1)[-1]}/', path) + {len(folder.rstrip('/').rsplit('/', 1)[-1]) + 2})"), "/", ".")
+    genes = written(files.select(F.concat_ws("_", below, "hash").alias("container_id"), "hash", F.explode("cds").alias("g")).select("container_id", "hash", "g.*"), "genes")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("orf", "aa_seq"))), lambda g: g["aa_seq"]), "")
+    return genes_that_stay(genes, c.cds_overlap, again=True).groupBy(F.col("container_id").alias("item"), "hash").agg(text.alias("protein"))
 
 
 def dereplicate(spark: SparkSession, folder: str, least: float = 0.8, settings: Settings | None = None) -> DataFrame:
     """(item, component, representative): files by sketches of their proteins, joined in gene order."""
     c = settings or Settings()
-    files = read_files(spark, folder).where(F.size("cds") > 0)
-    genes = written(files.where(filters.within_length(F.col("nt_len"), c.min_length, c.max_length)).select(F.col("path").alias("container_id"), F.explode("cds").alias("g")).select("container_id", "g.*"), "genes")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("orf", "aa_seq"))), lambda g: g["aa_seq"]), "")
-    items = genes_that_stay(genes, c.cds_overlap).groupBy(F.col("container_id").alias("item")).agg(text.alias("protein"))
+    items = written(protein_items(spark, folder, c), "proteins")
     hashed = items.select("item", F.explode(sketches.kmers(F.col("protein"), c.kmer)).alias("k")).select("item", F.xxhash64("k").alias("token"))
     # The least of 2**64 values over the scale; signed numbers are moved up by half the range.
     scaled = hashed.where(F.col("token").cast("decimal(38,0)") + F.lit(str(2**63)).cast("decimal(38,0)") < F.lit(str(2**64 // c.scaled)).cast("decimal(38,0)")).distinct()
@@ -205,4 +315,19 @@ def benchmark(spark: SparkSession, curated: str, computed: str) -> dict[str, Dat
     return {f.__name__: f(labels) for f in (evaluate.purity_and_entropy, evaluate.v_measure, evaluate.associations, evaluate.confusion, evaluate.summary)}
 
 
-__all__ = ["Options", "benchmark", "cluster", "dereplicate", "query"]
+def benchmark_run(spark: SparkSession, curated: str, run: str) -> dict[str, DataFrame]:
+    """Measures for each cutoff of a run, of the newest clustering files in its folder, against a curated file."""
+    return benchmark_labels(spark, curated, read_run_labels(spark, run))
+
+
+def benchmark_labels(spark: SparkSession, curated: str, computed: DataFrame) -> dict[str, DataFrame]:
+    """Measures for each cutoff of labels (cutoff, item, label) against a curated file."""
+    labels = written(computed.withColumnRenamed("label", "computed").join(read_labels(spark, curated).withColumnRenamed("label", "curated"), "item"), "labels")
+    out = {"by_cutoff": evaluate.by_cutoff(labels)}
+    for c in sorted(r["cutoff"] for r in labels.select("cutoff").distinct().limit(1001).collect()):  # cutoffs are options of a run
+        own = labels.where(F.col("cutoff") == c).drop("cutoff")
+        out |= {f"{f.__name__}_c{c}": f(own) for f in (evaluate.purity_and_entropy, evaluate.v_measure, evaluate.associations, evaluate.confusion, evaluate.summary)}
+    return out
+
+
+__all__ = ["Options", "benchmark", "benchmark_run", "cluster", "dereplicate", "protein_items", "query", "scanned", "stored_cluster", "trees"]

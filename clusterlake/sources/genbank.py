@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from clusterlake.functions.biology import in_frame, reverse_complement, translate
 from clusterlake.operators.filters import file_name_filter
 
+#: Kinds of candidate clusters whose protoclusters are merged.
+MERGED_KINDS = ("chemical_hybrid", "interleaved")
 LEVELS = {"region": "region_number", "cand_cluster": "candidate_cluster_number", "protocluster": "protocluster_number", "proto_core": "protocluster_number"}
 RECORD = "struct<record_type:string,number:int,parent_type:string,parent_number:int,children:array<int>,nt_start:int,nt_stop:int,product:string,category:string,kind:string,contig_edge:boolean>"
 CDS = "struct<orf:int,nt_start:int,nt_stop:int,strand:int,gene_kind:string,aa_seq:string>"
@@ -162,13 +164,41 @@ def records_of(flat: dict, force: bool = False) -> list[dict]:
         if number not in found["proto_core"]:
             raise BadFile(f"protocluster {number} has no core")
         found["proto_core"][number] |= {"parent_type": "protocluster", "parent_number": number, "category": p["category"]}
-    labels = lambda rows: ".".join(sorted({r["category"] for r in rows if r["category"]})) or None
+    merge_hybrids(found)
+    labels = lambda rows: ".".join(sorted({c for r in rows if r["category"] for c in r["category"].split(".")})) or None
     for r in found["cand_cluster"].values():
         r["category"] = labels([found["protocluster"][c] for c in r["children"]])
     region["category"] = labels(list(found["protocluster"].values()))
     return [r for k in LEVELS for r in found[k].values()]
 
 
+def merge_hybrids(found: dict[str, dict[int, dict]]) -> None:
+    """Makes the protoclusters of each chemical hybrid or interleaved candidate cluster one, and their cores: of the least number, from the first start to the last stop, with the labels of all. Every candidate cluster that names one of them names it instead."""
+    renamed: dict[int, int] = {}
+    for c in found["cand_cluster"].values():
+        parts = sorted(set(c["children"]))
+        if c["kind"] not in MERGED_KINDS or len(parts) < 2:
+            continue
+        for level in ("protocluster", "proto_core"):
+            rows = [found[level][n] for n in parts if n in found[level]]
+            if rows:
+                labels = lambda k: ".".join(sorted({x for r in rows if r[k] for x in r[k].split(".")})) or None  # noqa: E731, B023
+                edge = any(r["contig_edge"] for r in rows)
+                found[level][parts[0]] = rows[0] | {"number": parts[0], "parent_number": c["number"] if level == "protocluster" else parts[0], "nt_start": min(r["nt_start"] for r in rows), "nt_stop": max(r["nt_stop"] for r in rows), "product": labels("product"), "category": labels("category"), "contig_edge": edge}
+        renamed |= dict.fromkeys(parts, parts[0])
+    for level in ("protocluster", "proto_core"):
+        for n, new in renamed.items():
+            if n != new:
+                found[level].pop(n, None)
+    for c in found["cand_cluster"].values():
+        c["children"] = sorted({renamed.get(n, n) for n in c["children"]})
+
+
+def same_translation(given: str, made: str) -> bool:
+    """Whether a translation is the one made from the sequence, but for the first residue, which may stand for another start codon."""
+    return given == made or given[1:] == made[1:]
+
+
 def genes_of(flat: dict) -> list[dict]:
     """Coding sequences with their place among all of the file; those without a translation get one, and are left out if there is none."""
     out = []
@@ -191,7 +221,8 @@ def parse_file(path: str, content: bytes, force: bool = False) -> dict:
     try:
         flat = parse_flat_file(content.decode("utf-8", "replace"))
         row |= {"nt_len": flat["length"], "organism": flat["organism"], "taxonomy": flat["taxonomy"], "description": flat["description"], "version": version_of(flat["comment"])}
-        row |= {"records": records_of(flat, force), "cds": genes_of(flat)}
+        row["cds"] = genes_of(flat)  # these are read even where the records are not as they should be
+        row["records"] = records_of(flat, force)
     except (BadFile, ValueError, IndexError) as e:
         row |= {k: row.get(k) for k in ("nt_len", "organism", "taxonomy", "description", "version")} | {"error": f"{type(e).__name__}: {e}"}
     return row
@@ -200,7 +231,21 @@ def parse_file(path: str, content: bytes, force: bool = False) -> dict:
 def read_files(spark: SparkSession, path: str, include: tuple[str, ...] = ("cluster", "region"), exclude: tuple[str, ...] = ("final",), recursive: bool = True, force: bool = False) -> DataFrame:
     """Parsed .gbk files of a folder, one row each, of equal contents the least path. Names are tested before contents are read; files are parsed where they are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gbk").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    files = files.where(file_name_filter(F.element_at(F.split("path", "/"), -1), include, exclude)).select("path", "content")
+    return parsed(files.where(file_name_filter(F.element_at(F.split("path", "/"), -1), include, exclude)), force)
+
+
+#: Fixed value: what names of files of the reference set hold.
+REFERENCE_SET = ("BGC",)
+
+
+def read_reference_set(spark: SparkSession, path: str, exclude: tuple[str, ...] = ("final",), force: bool = False) -> DataFrame:
+    """read_files() of a downloaded reference set."""
+    return read_files(spark, path, REFERENCE_SET, exclude, force=force)
+
+
+def parsed(files: DataFrame, force: bool = False) -> DataFrame:
+    """Rows (path, content) parsed where they are; of equal contents the least path."""
+    files = files.select("path", F.col("content").cast("binary").alias("content"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -213,7 +258,7 @@ def read_files(spark: SparkSession, path: str, include: tuple[str, ...] = ("clus
 
 
 def tables(files: DataFrame) -> dict[str, DataFrame]:
-    """containers, records and genes; ids are hashes of the contents, so that they are the same in every run."""
+    """containers, records and genes of the files without an error, which the caller has to look at; ids are hashes of the contents, so that they are the same in every run."""
     ok = files.where("error IS NULL").withColumn("container_id", F.xxhash64("hash"))
     key = lambda kind, number: F.xxhash64("hash", kind, number)
     containers = ok.select("container_id", "path", "hash", "nt_len", "organism", "taxonomy", "description", "version")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from clusterlake.plans.queries import QUERIES
+from clusterlake.plans.catalog import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

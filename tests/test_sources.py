@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clusterlake.operators.pairs import candidate_pairs
 from clusterlake.plans.outputs import write_tsv
-from clusterlake.plans.workflows import Options, benchmark, cluster, dereplicate, query
+from clusterlake.plans.workflows import Options, benchmark, benchmark_labels, benchmark_run, cluster, dereplicate, query, stored_cluster, trees
 from clusterlake.sources import tables as T
 from clusterlake.sources.genbank import parse_file, read_files, tables
 from clusterlake.streaming.ingest import keep_scoring, stream_tokens
@@ -103,7 +103,7 @@ def test_missing_translation():
 
 
 def test_cluster(spark, folder, hits, tmp_path):
-    out = cluster(spark, folder, hits, Options(cutoffs=(0.3, 0.7)))
+    out = cluster(spark, folder, hits, Options(cutoffs=(0.3, 0.7), bad_files="report"))
     names = {r["container_id"]: r["path"].rsplit("/", 1)[1].split(".")[0] for r in out["containers"].collect()}
     of = {r["record_id"]: names[r["container_id"]] for r in out["records"].collect()}
     edges = {frozenset((of[r["a"]], of[r["b"]])): r for r in out["edges"].collect()}
@@ -116,17 +116,25 @@ def test_cluster(spark, folder, hits, tmp_path):
     assert {of[r["record_id"]] for r in out["singletons"].where("cutoff = 0.7").collect()} == {"far"}
     assert {r["family"] for r in out["clustering"].collect()} >= {"FAM_00001"}
     assert out["families"].where("cutoff = 0.7").count() == 4
+    assert [r["path"].rsplit("/", 1)[1] for r in out["errors"].collect()] == ["broken.region001.gbk"]
+    with pytest.raises(ValueError, match="1 files can't be read.*broken"):
+        cluster(spark, folder, hits)
+    t = trees(out, Options(cutoffs=(0.3, 0.7))).where("cutoff = 0.7").collect()
+    assert len(t) == len({r["family"] for r in out["families"].where("cutoff = 0.7").collect()}) and all(r["newick"].endswith(";") and r["fasta"].count(">") == r["newick"].count(":") - r["newick"].count("(") + (r["newick"].count(",") < 2) * 0 or r["fasta"] for r in t)
+    row = out["network"].orderBy("distance").first()
+    assert row["record_a"].endswith("_region_1") or row["record_a"].endswith("_region_3")
+    assert {r["class"] for r in out["annotations"].collect()} >= {"NRPS"} and out["full_network"].count() == 6
     write_tsv(out["clustering"], f"{tmp_path}/clustering")
     assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/clustering").count() == out["clustering"].count()
-    again = cluster(spark, folder, hits, Options(cutoffs=(0.3, 0.7)), stored=out["edges"])
+    again = cluster(spark, folder, hits, Options(cutoffs=(0.3, 0.7), bad_files="report"), stored=out["edges"])
     assert again["edges"].count() == 6
 
 
 def test_record_types_and_classes(spark, folder, hits):
     for kind, n in (("protocluster", 5), ("proto_core", 5)):
-        out = cluster(spark, folder, hits, Options(record_type=kind, classify="category"))
+        out = cluster(spark, folder, hits, Options(record_type=kind, classify="category", bad_files="report"))
         assert out["records"].count() == n
-    out = cluster(spark, folder, hits, Options(classify="legacy", include_any=("PF00550",), extend_strategy="greedy", alignment_mode="auto"))
+    out = cluster(spark, folder, hits, Options(classify="legacy", include_any=("PF00550",), extend_strategy="greedy", alignment_mode="auto", bad_files="report"))
     assert {r["bin"] for r in out["bins"].select("bin").collect()} == {"NRPS", "PKS-NRP_Hybrids"}
     with pytest.raises(ValueError):
         Options(cutoffs=(2.0,))
@@ -134,9 +142,9 @@ def test_record_types_and_classes(spark, folder, hits):
 
 def test_query(spark, folder, hits):
     h = read_files(spark, folder).where(F.col("path").contains("three")).first()["hash"]
-    out = query(spark, folder, hits, h, Options(cutoffs=(0.3,), propagate=True))
+    out = query(spark, folder, hits, h, Options(cutoffs=(0.3,), propagate=True, bad_files="report"))
     assert out["reached"].count() >= 2 and out["components"].count() == out["reached"].count()
-    alone = query(spark, folder, hits, read_files(spark, folder).where(F.col("path").contains("far")).first()["hash"])
+    alone = query(spark, folder, hits, read_files(spark, folder).where(F.col("path").contains("far")).first()["hash"], Options(bad_files="report"))
     assert alone["reached"].count() == 1 and alone["components"].count() == 0
 
 
@@ -145,7 +153,7 @@ def test_dereplicate(spark, folder):
 
     from clusterlake.plans.config import Settings
 
-    rows = {r["item"].rsplit("/", 1)[1].split(".")[0]: r for r in dereplicate(spark, folder, 0.4, replace(Settings(), scaled=2)).collect()}
+    rows = {r["item"].split(".")[0]: r for r in dereplicate(spark, folder, 0.4, replace(Settings(), scaled=2)).collect()}
     assert rows["copy"]["component"] == rows["two"]["component"] == rows["three"]["component"] != rows["far"]["component"]
     assert rows["far"]["representative"] == rows["far"]["item"]
 
@@ -193,5 +201,62 @@ def test_command_line(spark, folder, hits, tmp_path):
     from clusterlake.__main__ import main
 
     hits.write.parquet(f"{tmp_path}/hits")
-    main(["cluster", "-i", folder, "-o", f"{tmp_path}/out", "--hits", f"{tmp_path}/hits", "--cutoffs", "0.3,0.7", "--record-type", "protocluster"])
-    assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/out/clustering").count() > 0
+    tsv = lambda name: spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/{name}")
+    some = ["-i", folder, "--hits", f"{tmp_path}/hits", "--bad-files", "report"]
+    with pytest.raises(ValueError):
+        main(["cluster", "-i", folder, "--hits", f"{tmp_path}/hits", "-o", f"{tmp_path}/none"])
+    main(["cluster", *some, "-o", f"{tmp_path}/out", "--cutoffs", "0.3,0.7", "--record-type", "protocluster", "--trees"])
+    every = tsv("out/clustering").count()
+    assert every > 0 and tsv("out/errors").count() == 1 and tsv("out/trees").count() > 0
+    main(["cluster", *some, "-o", f"{tmp_path}/culled", "--cutoffs", "0.3,0.7", "--record-type", "protocluster", "--cull-singletons"])
+    assert 0 < tsv("culled/clustering").count() < every
+    (tmp_path / "config.yml").write_text("EXTEND_MIN: 0.9\nSCALED: 2\n")
+    (tmp_path / "domains.txt").write_text("PF00550.1\tx\nPF11111\n")
+    weighted = ["--classify", "class", "--legacy-weights", "--config", f"{tmp_path}/config.yml", "--include-any", f"@{tmp_path}/domains.txt", "--force-gbk", "--include-gbk", "region"]
+    main(["cluster", *some, "-o", f"{tmp_path}/weights", *weighted])
+    assert {r["weights"] for r in tsv("weights/network").collect()} == {"NRPS"}
+    main(["cluster", *some, "-o", f"{tmp_path}/one", "--store", f"{tmp_path}/store"])
+    main(["cluster", *some, "-o", f"{tmp_path}/two", "--store", f"{tmp_path}/store"])
+    assert sorted(tsv("one/full_network").collect()) == sorted(tsv("two/full_network").collect())
+    with pytest.raises(ValueError, match="settings"):
+        main(["cluster", *some, "-o", f"{tmp_path}/three", "--store", f"{tmp_path}/store", "--config", f"{tmp_path}/config.yml"])
+    h = read_files(spark, folder).where(F.col("path").contains("three")).first()["hash"]
+    main(["query", *some, "-o", f"{tmp_path}/query", "--query-hash", h, "--record-type", "protocluster", "--record-number", "1", "--classify", "category", "--propagate"])
+    assert tsv("query/reached").count() >= 2
+    with pytest.raises(ValueError, match="no such record"):
+        main(["query", *some, "-o", f"{tmp_path}/query", "--query-hash", h, "--record-type", "protocluster", "--record-number", "7"])
+    main(["dereplicate", "-i", folder, "-o", f"{tmp_path}/derep", "--cutoff", "0.4", "--fasta", "--config", f"{tmp_path}/config.yml"])
+    assert tsv("derep/representatives").count() > 0 and spark.read.text(f"{tmp_path}/derep/proteins").where("value LIKE '>%'").count() == tsv("derep/clustering").count() == tsv("derep/manifest").count()
+    (tmp_path / "curated.tsv").write_text("BGC\tfamily\n" + "".join(f"{r['record']}\tF1\n" for r in tsv("out/clustering").select("record").distinct().collect()))
+    (tmp_path / "runs" / "2024-01-02_10-00-00_c0.3" / "mix").mkdir(parents=True)
+    (tmp_path / "runs" / "2024-01-02_10-00-00_c0.3" / "mix" / "mix_clustering_c0.3.tsv").write_text("#BGC Name\tFamily Number\nx\t1\ny\t2\n")
+    (tmp_path / "xy.tsv").write_text("BGC\tfamily\nx\tF1\ny\tF1\n")
+    main(["benchmark", "-g", f"{tmp_path}/xy.tsv", "-b", f"{tmp_path}/runs", "-o", f"{tmp_path}/bench"])
+    assert [tuple(r) for r in tsv("bench/by_cutoff").collect()] == [("0.3", "2", "1.0", "0.0")]
+
+
+def test_sqlite_results(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "r.db") as c:
+        c.executescript("CREATE TABLE bgc (id INTEGER PRIMARY KEY, orig_filename TEXT); CREATE TABLE gcf_membership (bgc_id INT, gcf_id INT); CREATE TABLE gcf (id INTEGER PRIMARY KEY, clustering_id INT); CREATE TABLE clustering (id INTEGER PRIMARY KEY, threshold REAL);")
+        c.executemany("INSERT INTO bgc VALUES (?, ?)", [(i, f"a/x{i}.gbk") for i in range(1, 6)])
+        c.executemany("INSERT INTO clustering VALUES (?, ?)", [(1, 0.3), (2, 0.3), (3, 0.5)])
+        c.executemany("INSERT INTO gcf VALUES (?, ?)", [(1, 1), (2, 2), (3, 2), (4, 3)])
+        c.executemany("INSERT INTO gcf_membership VALUES (?, ?)", [(1, 1), (1, 2), (2, 2), (3, 3), (1, 4), (2, 4)])
+    rows = sorted(tuple(r) for r in T.read_sqlite_labels(spark, str(tmp_path / "r.db")).collect())
+    assert rows == [(0.3, "x1", "2"), (0.3, "x2", "2"), (0.3, "x3", "3"), (0.5, "x1", "4"), (0.5, "x2", "4")]
+    assert T.read_sqlite(spark, str(tmp_path / "r.db"), "bgc", "id long, orig_filename string", rows=2).count() == 5
+    (tmp_path / "c.tsv").write_text("BGC\tfamily\nx1\tA\nx2\tA\nx3\tB\n")
+    out = benchmark_labels(spark, str(tmp_path / "c.tsv"), T.read_sqlite_labels(spark, str(tmp_path / "r.db")))
+    assert sorted(tuple(r) for r in out["by_cutoff"].collect()) == [(0.3, 2, 1.0, 0.0), (0.5, 1, 1.0, 0.0)]
+
+
+def test_hybrids_are_merged():
+    text = flat_file("x", A).replace('/protoclusters="1"', '/protoclusters="1"\n                     /protoclusters="2"').replace('/kind="single"', '/kind="chemical_hybrid"')
+    more = '     protocluster    301..900\n                     /protocluster_number="2"\n                     /category="PKS"\n                     /product="T1PKS"\n                     /contig_edge="True"\n     proto_core      401..500\n                     /protocluster_number="2"\n                     /product="T1PKS"\n'
+    rows = {(r["record_type"], r["number"]): r for r in parse_file("x", text.replace("     CDS", more + "     CDS", 1).encode())["records"]}
+    assert set(rows) == {("region", 1), ("cand_cluster", 1), ("protocluster", 1), ("proto_core", 1)}
+    r = rows["protocluster", 1]
+    assert (r["nt_start"], r["nt_stop"], r["product"], r["category"], r["contig_edge"], r["parent_number"]) == (0, 1000, "NRPS.T1PKS", "NRPS.PKS", True, 1)
+    assert (rows["proto_core", 1]["nt_start"], rows["proto_core", 1]["nt_stop"]) == (200, 500) and rows["region", 1]["category"] == "NRPS.PKS"
