@@ -462,5 +462,6 @@ def neighbour_joining(names: Sequence[str], distance: np.ndarray) -> str:
         return (f"({','.join(below)})" if below else str(names[x])) + f":{w:.6g}"
 
     if up < 0:
-        return f"({','.join(write(y, at, z) for y, z in links[at].items())}):0.01;"
+        own = [f"{names[at]}:0"] if at < len(names) else []  # the path has no length: its end is a member itself
+        return f"({','.join(own + [write(y, at, z) for y, z in links[at].items()])}):0.01;"
     return f"({write(at, up, left)},{write(up, at, links[at][up] - left)}):0.01;"

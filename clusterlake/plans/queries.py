@@ -212,16 +212,34 @@ def extend_greedy(spark, sf):
     return alignment.greedy_regions(edges(spark, sf), d)
 
 
-@query()
+SHARED = "least(o.stop, x.stop) - greatest(o.start, x.start)"
+OVER = f"({SHARED} > 0 AND (({SHARED}) / (o.stop - o.start) >= 0.1::DOUBLE OR ({SHARED}) / (x.stop - x.start) >= 0.1::DOUBLE))"
+
+
+@query(f"""WITH RECURSIVE {SQL_GENES}, h AS (SELECT record_id AS gene_id, domain AS accession, CAST(orf * 15 AS INTEGER) AS start, CAST(orf * 15 + width + 1 AS INTEGER) AS stop, CAST(score AS DOUBLE) AS score,
+  row_number() OVER (PARTITION BY record_id ORDER BY domain, orf * 15, orf * 15 + width, score) AS n FROM gene),
+w AS (SELECT DISTINCT gene_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(accession VARCHAR, start INTEGER, stop INTEGER, score DOUBLE)[]) AS kept FROM h UNION ALL
+  SELECT w.gene_id, x.n, CASE WHEN len(list_filter(kept, lambda o: {OVER} AND round(o.score, 1) > round(x.score, 1))) > 0 THEN kept
+    ELSE list_append(list_filter(kept, lambda o: NOT ({OVER} AND (round(o.score, 1) < round(x.score, 1) OR x.start < o.start))), {{'accession': x.accession, 'start': x.start, 'stop': x.stop, 'score': x.score}}) END
+  FROM w JOIN h x ON x.gene_id = w.gene_id AND x.n = w.n + 1),
+l AS (SELECT gene_id, kept FROM w QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY n DESC) = 1), u AS (SELECT gene_id, UNNEST(kept) AS k FROM l)
+SELECT gene_id, k.accession, k.start, k.stop, k.score FROM u""")
 def overlap_filter_hits(spark, sf):
     """Line items of an order as hits on one gene: position by part, length by size, score by quantity."""
     g = genes(spark, sf)
     start = (F.col("orf") * 15).cast("int")
-    hits = g.select(F.col("record_id").alias("gene_id"), F.col("domain").alias("accession"), start.alias("start"), (start + F.col("width").cast("int") + 1).alias("stop"), "score")
+    hits = g.select(F.col("record_id").alias("gene_id"), F.col("domain").alias("accession"), start.alias("start"), (start + F.col("width").cast("int") + 1).alias("stop"), F.col("score").cast("double").alias("score"))
     return alignment.without_overlaps(hits)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_GENES}, g AS (SELECT record_id AS container_id, orf, CAST(orf * 15 AS INTEGER) AS start, CAST(orf * 15 + width AS INTEGER) AS stop, strand, CAST(width AS INTEGER) AS length FROM gene),
+w AS (SELECT DISTINCT container_id, 0 AS n, CAST([] AS STRUCT(orf INTEGER, start INTEGER, stop INTEGER, strand INTEGER, length INTEGER)[]) AS kept FROM g UNION ALL
+  SELECT container_id, n, CASE WHEN coalesce(spot, 0) = 0 THEN list_append(kept, new) WHEN new.length >= kept[spot].length THEN list_append(list_concat(kept[1:spot - 1], kept[spot + 1:]), new) ELSE kept END FROM (
+    SELECT w.container_id, x.orf AS n, kept, {{'orf': x.orf, 'start': x.start, 'stop': x.stop, 'strand': x.strand, 'length': x.length}} AS new,
+      list_position(list_transform(kept, lambda o: o.strand = x.strand AND {SHARED} > 0 AND ({SHARED}) / 3 > 0.1::DOUBLE * least(o.length, x.length)), true) AS spot
+    FROM w JOIN g x ON x.container_id = w.container_id AND x.orf = w.n + 1)),
+l AS (SELECT container_id, kept FROM w QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY n DESC) = 1), u AS (SELECT container_id, UNNEST(kept) AS k FROM l)
+SELECT container_id, k.orf, k.start, k.stop, k.strand, k.length FROM u""")
 def overlap_filter_genes(spark, sf):
     g = genes(spark, sf)
     start = (F.col("orf") * 15).cast("int")
