@@ -2,10 +2,15 @@
 
 The suffixes to compare are dealt out so that equal strings meet. Each string of MIN_LEN bytes has one anchor: the GRAM bytes in it
 with the least hash, the leftmost of equals; it is a function of the string alone. The strings that share an anchor form a context,
-at most 2 * MIN_LEN bytes around it. Contexts meet by their anchor's hash. A context that is equal to an earlier one is covered as a
-whole; an anchor that occurs once can't repeat. The suffixes of all other contexts go to the index family of their bucket, in the
-order of documents: each batch gets a suffix array (suffixes are as long as the strings compared), is merge-scanned against the
-levels that earlier batches left, and becomes a level; levels of about equal size merge, so that there are few.
+at most 2 * MIN_LEN bytes around it. Contexts are dealt out by their anchor's hash; an anchor that occurs once can't repeat and goes no
+further. The suffixes of all other contexts go to the index family of their bucket, in the order of documents: each batch gets a suffix
+array (suffixes are as long as the strings compared), is merge-scanned against the levels that earlier batches left, and becomes a
+level; levels of about equal size merge, so that there are few. The family alone decides what repeats, byte by byte. Only copies of a
+context within one task's documents are left out before, after their bytes were compared, so that hot passages don't pile up.
+
+Anchors that are frequent all over are known from a sample of documents (SAMPLE of them, by the hash of their ids, whatever the size of
+the corpus); their strings are dealt out by the place of the anchor in the string and the hash of most of the string, in place of meeting
+at their anchor. The sample decides only which way a string goes, never whether it is compared.
 
 A string starts earlier if its doc_id is smaller or, of one doc_id, its start is. Rows that share a doc_id are told apart by a version
 of it; a string never covers one at the same doc_id and start, so that repeated rows leave each other whole.
@@ -25,9 +30,13 @@ from clusterlake.llm.common import partitions, small_batches, table, written
 
 MIN_LEN, GRAM = 100, 32
 #: Bytes hashed at once, anchors that a task holds before it sends them on, suffixes in a batch of the index.
-CHUNK, HELD, BATCH = 1 << 20, 1 << 19, 1 << 17
-#: An anchor with more different contexts than this is dealt out by the place of the string around it, too.
-HOT, PLACES = 4096, 4
+CHUNK, HELD, BATCH = 1 << 20, 300_000, 1 << 17
+#: An anchor with HOT different contexts among SAMPLE documents or so is hot; its strings are dealt out together for PLACES starts.
+HOT, SAMPLE, PLACES = 16, 8192, 16
+#: Strings whose suffixes are compared together: contexts of different anchors have none in common.
+TOGETHER = 200_000
+#: Bytes of input for each bucket.
+BUCKET_BYTES = 4 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _BASE = 0xC6BC279692B5CC83 | 1
 _VALUES = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)
@@ -89,6 +98,8 @@ def record_batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordB
 
 ROWS = "kind int, bucket int, data binary"
 ANCHORS, COVERS, COMPARE = 0, 1, 2
+#: The bucket of covers that aren't sorted by document yet, and bytes of them that a task holds.
+UNSORTED, COVERS_HELD = -1, 16 << 20
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -173,8 +184,8 @@ def contexts(docs: list[tuple[int, bytes]], min_len: int = MIN_LEN, versions: li
     return {n: np.concatenate(out[n]).astype(t) if out[n] else np.zeros(0, t) for n, t in ANCHOR}
 
 
-def first_of_equal(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """An order by anchor, context, document and start, and in that order whether a row is a first of its anchor and context: none has a smaller document or start.
+def first_of_equal(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by anchor, context, document and start; in that order, whether a row is a first of its anchor and context (none has a smaller document or start), and which row is one.
 
     Of rows that are equal in all, the order has one. Rows that differ in the version alone are firsts together.
     """
@@ -183,7 +194,21 @@ def first_of_equal(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]
     order = order[new("h", "c", "doc", "s", "v")]
     begin = np.flatnonzero(new("h", "c"))
     of = np.repeat(order[begin], np.diff(np.concatenate((begin, [len(order)]))))
-    return order, (rows["doc"][order] == rows["doc"][of]) & (rows["s"][order] == rows["s"][of])
+    return order, (rows["doc"][order] == rows["doc"][of]) & (rows["s"][order] == rows["s"][of]), of
+
+
+def same_bytes(data: bytes, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[x:x + size] and data[y:y + size] are equal, for each of x, y and size. Parts that overlap and go on alike are compared as one."""
+    out = np.ones(len(x), bool)
+    order = np.argsort(x, kind="stable")
+    x, y, end = x[order], y[order], (x + size)[order]
+    cut = np.concatenate(([True], (x[1:] - y[1:] != x[:-1] - y[:-1]) | (x[1:] > end[:-1])))[: len(x)]
+    for i, j in stretches(np.cumsum(cut)):
+        p, q, stop = int(x[i]), int(y[i]), int(end[j - 1])
+        if data[p:stop] != data[q : q + stop - p]:
+            for k in range(i, j):
+                out[order[k]] = data[x[k] : end[k]] == data[y[k] : y[k] + end[k] - x[k]]
+    return out
 
 
 def covers(rows: dict[str, np.ndarray], at: np.ndarray, min_len: int) -> dict[str, np.ndarray]:
@@ -191,74 +216,90 @@ def covers(rows: dict[str, np.ndarray], at: np.ndarray, min_len: int) -> dict[st
     return {"doc": rows["doc"][at], "v": rows["v"][at], "s": s, "e": s + rows["n"][at] + (min_len - 1)}
 
 
-def find_anchors(docs: DataFrame, buckets: int, doc_buckets: int, min_len: int) -> DataFrame:
-    """ANCHORS rows by anchor and COVERS rows by document, of (doc_id, version, data binary). What repeats within one task's documents is combined there."""
+def combined(rows: dict[str, np.ndarray], texts: list[bytes], min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that go on, and rows whose context has the bytes of an earlier one of these texts. rows have the text's number in `text`."""
+    order, first, of = first_of_equal(rows)
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1].astype(np.int64)
+    place = begin[rows["text"]] + rows["s"]
+    x, y = order[~first], of[~first]
+    same = same_bytes(b"".join(texts), place[x], place[y], rows["n"][x].astype(np.int64) + (min_len - 1))
+    return np.sort(np.concatenate((order[first], x[~same]))), np.sort(x[same])
+
+
+def find_anchors(docs: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int, min_len: int) -> DataFrame:
+    """ANCHORS rows by anchor, and COVERS rows and the COMPARE rows of hot anchors by document, of (doc_id, version, data binary). What repeats within one task's documents is combined there."""
     small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        texts: list[bytes] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = {n: np.concatenate([x[n] for x in held]) for n, _ in ANCHOR}
-            order, first = first_of_equal(rows)
-            keep = np.sort(order[first])  # by document, as read
-            kept = {n: v[keep] for n, v in rows.items()}
-            yield by_bucket(ANCHOR, kept, (kept["h"] % np.uint64(buckets)).astype(np.int64), ANCHORS)
-            again = covers(rows, np.sort(order[~first]), min_len)
-            yield by_bucket(COVER, again, spread(again["doc"], doc_buckets), COVERS)
-
-        for b in batches:
-            some = [(d, v, t) for d, v, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if d is not None and t is not None]
-            held.append(contexts([(d, t) for d, _, t in some], min_len, [v for _, v, _ in some]))
+            rows = {n: np.concatenate([x[n] for x in held]) for n in held[0]}
+            keep, again = combined(rows, texts, min_len)
+            is_hot = np.isin(rows["h"][keep], sent.value)
+            few = {n: rows[n][keep[~is_hot]] for n, _ in ANCHOR}
+            yield by_bucket(ANCHOR, few, (few["h"] % np.uint64(buckets)).astype(np.int64), ANCHORS)
+            if is_hot.any():
+                many = {n: rows[n][keep[is_hot]] for n, _ in CONTEXT}
+                yield by_bucket(CONTEXT, many, spread(many["doc"], doc_buckets), COMPARE)
+            gone = covers(rows, again, min_len)
+            yield by_bucket(COVER, gone, spread(gone["doc"], doc_buckets), COVERS)
+
+        for ids, vs, some in long_texts(batches, min_len):
+            rows = contexts(list(enumerate(some)), min_len)
+            held.append(rows | {"doc": ids[rows["doc"]], "v": vs[rows["doc"]], "text": rows["doc"] + len(texts)})
+            texts += some
             if sum(len(x["h"]) for x in held) >= HELD:
                 yield from flush()
-                held = []
+                held, texts = [], []
         if held:
             yield from flush()
 
     return docs.mapInArrow(run, ROWS)
 
 
-def meet(anchors: DataFrame, doc_buckets: int, min_len: int) -> DataFrame:
-    """COVERS rows of contexts equal to an earlier one, and COMPARE rows of those whose anchor has several contexts."""
+def long_texts(batches: Iterator[pa.RecordBatch], min_len: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, versions, texts) of each batch's documents that have an id and at least min_len bytes."""
+    for b in batches:
+        some = [(d, v, t) for d, v, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if d is not None and t is not None and len(t) >= min_len]
+        if some:
+            ids, vs, texts = zip(*some, strict=True)
+            yield np.array(ids, np.int64), np.array(vs, np.int64), list(texts)
+
+
+def hot_anchors(docs: DataFrame, min_len: int) -> np.ndarray:
+    """Sorted hashes of anchors with HOT different contexts in the sample: at most SAMPLE documents' anchors over HOT."""
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in long_texts(batches, min_len):
+            rows = contexts(list(enumerate(texts)), min_len)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c].view(np.int64)) for c in ("h", "c")], names=["h", "c"])
+
+    small_batches(docs.sparkSession)
+    hot = sample.mapInArrow(run, "h long, c long").distinct().groupBy("h").count().where(F.col("count") >= HOT).select("h").toArrow()
+    return np.sort(hot.column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def meet(anchors: DataFrame, doc_buckets: int) -> DataFrame:
+    """COMPARE rows, by document, of the anchors that have several contexts; rows that are by document already go along, apart from the rest, to reach the same table."""
 
     def run(t: pa.Table) -> pa.Table:
-        kind, data = t.column("kind").to_numpy(), t.column("data").to_pylist()
-        rows = unpacked(ANCHOR, [d for k, d in zip(kind, data, strict=True) if k == ANCHORS])
-        passed = [(COVERS, int(b), d) for k, b, d in zip(kind, t.column("bucket").to_pylist(), data, strict=True) if k == COVERS]
-        order, first = first_of_equal(rows)
-        again = covers(rows, order[~first], min_len)
-        h = rows["h"][order[first]]
-        group = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]) - 1
-        several = np.bincount(group)[group] > 1 if len(h) else np.zeros(0, bool)
-        hot = np.bincount(group)[group[several]] > HOT if len(h) else several
-        at = order[first][several]
-        rest = {n: rows[n][at] for n, _ in CONTEXT}
-        rest = split_hot(rest, hot)
-        out = [by_bucket(COVER, again, spread(again["doc"], doc_buckets), COVERS), by_bucket(CONTEXT, rest, spread(rest["doc"], doc_buckets), COMPARE)]
-        out.append(record_batch(passed, {"kind": pa.int32(), "bucket": pa.int32(), "data": pa.binary()}))
-        return pa.Table.from_batches(out)
-
-    #: What a task has found covered already isn't compared; it goes along to reach the same table.
+        if t.column("kind")[0].as_py() != ANCHORS:
+            return t.select(["kind", "bucket", "data"])
+        rows = unpacked(ANCHOR, t.column("data").to_pylist())
+        _, group, n = np.unique(rows["h"], return_inverse=True, return_counts=True)
+        at = np.flatnonzero(n[group] > 1)
+        some = {n: rows[n][at] for n, _ in CONTEXT}
+        return pa.Table.from_batches([by_bucket(CONTEXT, some, spread(some["doc"], doc_buckets), COMPARE)])
+
     key = F.when(F.col("kind") == ANCHORS, F.col("bucket")).otherwise(-1 - F.col("bucket"))
     return anchors.withColumn("key", key).groupBy("key").applyInArrow(lambda t: run(t), ROWS)
 
 
-def split_hot(rows: dict[str, np.ndarray], hot: np.ndarray) -> dict[str, np.ndarray]:
-    """Rows of hot anchors become one for each PLACES starts, told apart by the anchor's place in the string, which equal strings share."""
-    if not hot.any():
-        return rows
-    out = [{n: v[~hot] for n, v in rows.items()}]
-    r = {n: v[hot].astype(np.int64) if n != "h" else v[hot] for n, v in rows.items()}
-    for low in range(0, MIN_LEN, PLACES):  # strings whose anchor is low .. low + PLACES - 1 bytes after their start
-        s0 = np.maximum(r["s"], r["s"] + r["rel"] - (low + PLACES - 1))
-        s1 = np.minimum(r["s"] + r["n"] - 1, r["s"] + r["rel"] - low)
-        ok = s0 <= s1
-        if ok.any():
-            out.append({"h": (r["h"][ok] + np.uint64(low + 1)) * _M[1], "doc": r["doc"][ok], "v": r["v"][ok], "s": s0[ok], "n": (s1 - s0 + 1)[ok], "rel": (r["s"] + r["rel"] - s0)[ok]})
-    return {n: np.concatenate([x[n] for x in out]).astype(t) for n, t in CONTEXT}
-
-
 def with_texts(docs: DataFrame, rows: DataFrame, doc_buckets: int, each: Callable, schema: str) -> DataFrame:
     """Hands each bucket's documents, as a table, and the data of rows to each()."""
     keyed = docs.withColumn("bucket", F.pmod(F.hash("doc_id"), F.lit(doc_buckets)))
@@ -269,23 +310,61 @@ def with_texts(docs: DataFrame, rows: DataFrame, doc_buckets: int, each: Callabl
     return keyed.groupBy("bucket").cogroup(rows.select("bucket", "data").groupBy("bucket")).applyInArrow(run, schema)
 
 
-def gather(docs: DataFrame, compare: DataFrame, buckets: int, doc_buckets: int, min_len: int) -> DataFrame:
-    """The bytes of contexts to compare, by anchor."""
+def by_place(rows: dict[str, np.ndarray], body: list[bytes], min_len: int) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    """Contexts as rows of at most PLACES strings each, whose anchor is low .. low + PLACES - 1 bytes after their start, by low and the hash of the bytes that all such strings have. Equal strings have their anchor at the same place, so that they meet."""
+    size = np.array([len(x) for x in body], np.int64)
+    begin = np.cumsum(size) - size
+    joined = b"".join(body)
+    hashes = Hashes(np.frombuffer(joined, np.uint8))
+    first, n, rel = (rows[c].astype(np.int64) for c in ("s", "n", "rel"))
+    out: dict[str, list] = {c: [] for c, _ in CONTEXT}
+    parts: list[bytes] = []
+    for low in range(0, min_len, PLACES):
+        s0 = np.maximum(0, rel - (low + PLACES - 1))  # starts, from the context's first on
+        s1 = np.minimum(n - 1, rel - low)
+        ok = np.flatnonzero(s0 <= s1)
+        common = begin[ok] + rel[ok] - low
+        h = hashes.of(common, common + min_len - (PLACES - 1)) + np.uint64((low + 1) * int(_M[1]) & 2**64 - 1)
+        new = {"h": h, "doc": rows["doc"][ok], "v": rows["v"][ok], "s": first[ok] + s0[ok], "n": (s1 - s0 + 1)[ok], "rel": (rel - s0)[ok]}
+        for c, x in new.items():
+            out[c].append(x)
+        parts += [joined[i:j] for i, j in zip((begin + s0)[ok].tolist(), (begin + s1 + min_len)[ok].tolist(), strict=True)]
+    return {c: np.concatenate(out[c]).astype(t) for c, t in CONTEXT}, parts
+
+
+def gather(docs: DataFrame, compare: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int, min_len: int) -> DataFrame:
+    """COMPARE rows by anchor, with the bytes of contexts, and COVERS rows by document of contexts whose bytes an earlier one of the same bucket of documents has."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def bodies(rows: dict[str, np.ndarray], text: dict) -> list[bytes]:
+        return [text[d, v][a : a + n + min_len - 1] for d, v, a, n in zip(*(rows[c].tolist() for c in ("doc", "v", "s", "n")), strict=True)]
 
     def each(texts: pa.Table, data: list[bytes]) -> pa.Table:
         rows = unpacked(CONTEXT, data)
         text = {(d, v): t for d, v, t in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "version", "data")), strict=True) if d is not None and t is not None}
-        order = np.lexsort((rows["s"], rows["v"], rows["doc"], rows["h"] % np.uint64(buckets)))
-        rows = {n: v[order] for n, v in rows.items()}
-        bucket = (rows["h"] % np.uint64(buckets)).astype(np.int32)
-        out = []
-        for i, j in stretches(bucket):
-            s = rows["s"][i:j].tolist()
-            body = b"".join(text[d, v][a : a + n + min_len - 1] for d, v, a, n in zip(rows["doc"][i:j].tolist(), rows["v"][i:j].tolist(), s, rows["n"][i:j].tolist(), strict=True))
-            out.append((int(bucket[i]), packed(CONTEXT, rows, slice(i, j)), body))
-        return pa.Table.from_batches([record_batch(out, {"bucket": pa.int32(), "data": pa.binary(), "body": pa.binary()})])
-
-    return with_texts(docs, compare, doc_buckets, each, "bucket int, data binary, body binary")
+        is_hot = np.isin(rows["h"], sent.value)
+        body = bodies(rows, text)
+        if is_hot.any():
+            i = np.flatnonzero(is_hot).tolist()
+            more, strings = by_place({n: rows[n][is_hot] for n, _ in CONTEXT}, [body[k] for k in i], min_len)
+            body = [body[k] for k in np.flatnonzero(~is_hot).tolist()] + strings
+            rows = {n: np.concatenate((rows[n][~is_hot], more[n])).astype(t) for n, t in CONTEXT}
+        order = np.lexsort((rows["v"], rows["s"], rows["doc"]))
+        first: dict[tuple, tuple] = {}
+        keep, again = [], []
+        for k, h, rel, d, s in zip(order.tolist(), *(rows[c][order].tolist() for c in ("h", "rel", "doc", "s")), strict=True):
+            (keep if first.setdefault((h, rel, body[k]), (d, s)) == (d, s) else again).append(k)
+        keep = np.array(keep, np.int64)
+        bucket = (rows["h"][keep] % np.uint64(buckets)).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        keep, bucket = keep[by], bucket[by]
+        out = [(COMPARE, int(bucket[i]), packed(CONTEXT, rows, keep[i:j]), b"".join(body[k] for k in keep[i:j].tolist())) for i, j in stretches(bucket)]
+        gone = covers(rows, np.array(again, np.int64), min_len)
+        if len(again):
+            out.append((COVERS, int(spread(gone["doc"][:1], doc_buckets)[0]), packed(COVER, gone), None))
+        return pa.Table.from_batches([record_batch(out, {"kind": pa.int32(), "bucket": pa.int32(), "data": pa.binary(), "body": pa.binary()})])
+
+    return with_texts(docs, compare, doc_buckets, each, ROWS + ", body binary")
 
 
 class IndexFamily:
@@ -339,15 +418,48 @@ def overlapping(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate(([False], (rank + s)[1:] < end[:-1]))
 
 
+def whole_contexts(rows: dict[str, np.ndarray], body: np.ndarray, begin: np.ndarray, order: np.ndarray, min_len: int) -> np.ndarray:
+    """Of rows in an order by document and start, whether their whole context is equal to an earlier one, by an index family of contexts."""
+    size = rows["n"].astype(np.int64) + (min_len - 1)
+    width = int(size.max(initial=0)) + 2
+    place = np.cumsum(np.concatenate(([True], (np.diff(rows["doc"][order]) != 0) | (np.diff(rows["s"][order].astype(np.int64)) != 0)))[: len(order)])
+    index, out = IndexFamily(), np.zeros(len(order), bool)
+    i = 0
+    while i < len(order):
+        j = int(np.searchsorted(place, place[min(len(order), i + BATCH // 64 + 1) - 1], "right"))  # versions of a place in one batch
+        at = order[i:j]
+        n = size[at]
+        row = np.repeat(np.arange(len(at)), n)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text = np.zeros((len(at), width), np.uint8)
+        text[row, within] = body[np.repeat(begin[at], n) + within]
+        text[:, -2], text[:, -1] = rows["rel"][at] + 1, rows["n"][at]  # neither is 0
+        out[i:j] = index.add(text.view(f"S{width}").ravel(), place[i:j])
+        i = j
+    return out
+
+
 def repeated(data: list[bytes], bodies: list[bytes], min_len: int) -> dict[str, np.ndarray]:
-    """COVER rows of the contexts of one bucket."""
+    """COVER rows of the contexts of one bucket, those of TOGETHER strings or so at a time."""
     rows = unpacked(CONTEXT, data)
-    n = rows["n"].astype(np.int64)
-    size = n + min_len - 1
     body = np.frombuffer(b"".join(bodies), np.uint8)
+    size = rows["n"].astype(np.int64) + (min_len - 1)
     begin = np.cumsum(size) - size
-    order = np.lexsort((rows["s"], rows["doc"]))
-    index, out = IndexFamily(), []
+    parts = 1 + int(rows["n"].sum(dtype=np.int64)) // TOGETHER
+    part = ((rows["h"] * _M[0]) >> np.uint64(40)) % np.uint64(parts)
+    out = [repeated_in(rows, body, begin, np.flatnonzero(part == k), min_len) for k in range(parts)]
+    return {c: np.concatenate([x[c] for x in out]) for c in ("doc", "v", "s", "e")}
+
+
+def repeated_in(rows: dict[str, np.ndarray], body: np.ndarray, begin: np.ndarray, some: np.ndarray, min_len: int) -> dict[str, np.ndarray]:
+    """Of some rows, contexts that are equal to an earlier one as a whole, and what is repeated of all others."""
+    order = some[np.lexsort((rows["s"][some], rows["doc"][some]))]
+    copy = whole_contexts(rows, body, begin, order, min_len)
+    gone = covers(rows, order[copy], min_len)
+    out = [tuple(gone[c] for c in ("doc", "v", "s", "e"))]
+    order = order[~copy]
+    n = rows["n"].astype(np.int64)
+    index = IndexFamily()
     done = np.cumsum(n[order])
     over = overlapping(rows["doc"][order], rows["s"][order].astype(np.int64), n[order])
     whole = np.flatnonzero(~over)  # where a batch may begin
@@ -377,24 +489,56 @@ def repeated(data: list[bytes], bodies: list[bytes], min_len: int) -> dict[str,
         last = np.concatenate((cut[1:], [len(hit)])) - 1
         c = at[context[cut]]
         out.append((rows["doc"][c], rows["v"][c], rows["s"][c] + within[hit[cut]], rows["s"][c] + within[hit[last]] + min_len))
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 4
-    return dict(zip(("doc", "v", "s", "e"), cols, strict=True))
+    return dict(zip(("doc", "v", "s", "e"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """So many that a bucket's share of the input is BUCKET_BYTES at most, by the size of the files that docs are read from; one for each shuffle partition at least. Not more, since each bucket of documents sends a row to each of anchors."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES) if size < 1 << 52 else 0)  # more: not known
 
 
-def removed(docs: DataFrame, min_len: int = MIN_LEN) -> tuple[DataFrame, int]:
-    """COVERS rows (bucket, data) of (doc_id, version, data binary), and the number of their buckets."""
-    spark = docs.sparkSession
-    buckets = doc_buckets = 4 * partitions(spark)
-    found = written(meet(find_anchors(docs, buckets, doc_buckets, min_len), doc_buckets, min_len), "anchors")
-    contexts_ = gather(docs, found.where(F.col("kind") == COMPARE), buckets, doc_buckets, min_len)
+def removed(docs: DataFrame, n: int, min_len: int = MIN_LEN) -> DataFrame:
+    """COVERS rows (bucket, data) of (doc_id, version, data binary), in n buckets of documents."""
+    hot = hot_anchors(docs, min_len)
+    found = written(meet(find_anchors(docs, hot, n, n, min_len), n), "contexts")
+    contexts_ = gather(docs, found.where(F.col("kind") == COMPARE), hot, n, n, min_len)
 
     def run(t: pa.Table) -> pa.Table:
+        passed = [(COVERS, b, d) for k, b, d in zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True) if k == COVERS]
+        if passed:
+            return pa.Table.from_batches([record_batch(passed, {"kind": pa.int32(), "bucket": pa.int32(), "data": pa.binary()})])
         rows = repeated(t.column("data").to_pylist(), t.column("body").to_pylist(), min_len)
-        return pa.Table.from_batches([by_bucket(COVER, rows, spread(rows["doc"], doc_buckets), COVERS)])
+        return pa.Table.from_batches([record_batch([(COVERS, UNSORTED, packed(COVER, rows))] if len(rows["doc"]) else [], {"kind": pa.int32(), "bucket": pa.int32(), "data": pa.binary()})])
+
+    # What is found covered already goes along, apart from the rest, to reach the same table.
+    key = F.when(F.col("kind") == COMPARE, F.col("bucket")).otherwise(-1 - F.col("bucket"))
+    more = written(contexts_.withColumn("key", key).groupBy("key").applyInArrow(lambda t: run(t), ROWS), "repeats")
+    sorted_ = more.where(F.col("bucket") != UNSORTED).unionByName(more.where(F.col("bucket") == UNSORTED).mapInArrow(by_document(n), ROWS))
+    return found.where(F.col("kind") == COVERS).unionByName(sorted_).select("bucket", "data")
+
+
+def by_document(n: int) -> Callable:
+    """Deals rows of covers of any documents out to the buckets of these; what a task reads goes there together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = unpacked(COVER, held)
+            return by_bucket(COVER, rows, spread(rows["doc"], n), COVERS)
+
+        for b in batches:
+            for data in b.column(2).to_pylist():
+                held.append(data)
+                size += len(data)
+                if size > COVERS_HELD:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-    more = written(contexts_.groupBy("bucket").applyInArrow(lambda t: run(t), ROWS), "repeats")
-    both = found.where(F.col("kind") == COVERS).unionByName(more)
-    return both.select("bucket", "data"), doc_buckets
+    return run
 
 
 def kept_parts(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -421,7 +565,8 @@ def deduplicated(docs: DataFrame, text_col: Column, keep: list[Column | str], ea
     shared = written(data.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("shared")), "shared")
     version = F.when(F.col("shared"), F.xxhash64("data")).otherwise(F.lit(0).cast("long"))
     data = data.join(shared, "doc_id", "left").select("row", "data", "doc_id", version.alias("version"))
-    runs, n = removed(data.select("doc_id", "version", "data"), min_len)
+    n = bucket_count(docs)
+    runs = removed(data.select("doc_id", "version", "data"), n, min_len)
 
     def bucket(texts: pa.Table, blobs: list[bytes]) -> pa.Table:
         rows = unpacked(COVER, blobs)
