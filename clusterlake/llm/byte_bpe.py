@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -15,9 +14,10 @@ from clusterlake.llm.common import small_batches, table
 
 #: Texts beyond this many characters are split before the pattern runs over them.
 SPLIT_AT = 65_536
-#: Longer unbroken runs go through the heap below: the library's merge takes time by the square of a piece's length.
-LONG_RUN = 4_096
-_RUN = re.compile(rf"\S{{{LONG_RUN},}}")
+#: Runs of white space from this length on are cut by rule: the library's pattern engine keeps a state for each of their characters, and gives up at a million.
+BLANKS = 65_536
+#: The white space of the pattern's engine (Unicode's property of that name).
+_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space after a visible character and before a letter: with ` ?\p{L}+` and white space matched by `\s+(?!\S)|\s+`, no match crosses the point before it.
 _SAFE = re.compile(r"(?<=\S) (?=[^\W\d_])")
 _BUILT: dict = {}
@@ -32,12 +32,9 @@ class Codec:
     """encode() and decode() by the tiktoken library. Null is the caller's affair; an empty text has no ids."""
 
     def __init__(self, content: bytes, pattern: str):
-        import regex
         import tiktoken
 
-        self.ranks = parse_ranks(content)
-        self.pieces = regex.compile(pattern)
-        self.library = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.library = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=parse_ranks(content), special_tokens={})
 
     @staticmethod
     def segments(text: str, size: int = SPLIT_AT) -> Iterator[str]:
@@ -51,47 +48,16 @@ class Codec:
             start = m.start()
         yield text[start:]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """BPE of one long piece by a heap of pairs over a linked list: n log n."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        n, ranks = len(piece), self.ranks
-        end = list(range(1, n + 1))  # where the part that starts here ends; 0: it is gone
-        before = list(range(-1, n - 1))
-        heap = []
-
-        def push(i: int) -> None:
-            j = end[i]
-            if j < n and (r := ranks.get(piece[i : end[j]])) is not None:
-                heapq.heappush(heap, (r, i, j, end[j]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, j, k = heapq.heappop(heap)
-            if end[i] != j or end[j] != k:
-                continue
-            end[i], end[j] = k, 0
-            if k < n:
-                before[k] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return out
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.segments(text):
-            if len(part) >= LONG_RUN and _RUN.search(part):
-                for m in self.pieces.finditer(part):
-                    b = m[0].encode()
-                    out += self.merge(b) if len(b) >= LONG_RUN else self.library._encode_single_piece(b)
-            else:
-                out += self.library.encode_ordinary(part)
+            at = 0
+            # With `\s+(?!\S)|\s+`, a run of white space is a match but for its last character, if something follows; all of it at the end.
+            for m in re.finditer(f"[{_BLANK}]{{{BLANKS},}}", part) if len(part) >= BLANKS else ():
+                stop = m.end() - (m.end() < len(part))
+                out += self.library.encode_ordinary(part[at : m.start()]) + self.library._encode_single_piece(part[m.start() : stop].encode())
+                at = stop
+            out += self.library.encode_ordinary(part[at:])
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -148,6 +114,7 @@ def digests(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text counts as empty: no ids, digests of nothing. Repeated rows and rows without an id give a row each; an empty table gives an empty result; other columns are not read."""
     import public_tokenizers as tokenizers
 
     return digests(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
