@@ -219,5 +219,6 @@ def language_of(docs: DataFrame) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and texts without a letter are `und`, with score 0; of languages with equal shares, the first in the alphabet. Texts with a null lang are not learned from; repeated rows and rows without an id (which are never held out) get a row each; an empty table gives an empty result, and without a language to learn all are `und`; lang, source and other columns are not inputs."""
     out = language_of(table(spark, sf_dir, "documents"))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -223,7 +223,12 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a source is a tree, in which a thousand ids share a directory and a hundred a directory within that."""
+    """Documents as files: a source is a tree, in which a thousand ids share a directory and a hundred a directory within that.
+
+    Null and empty texts have no licence of their own; a null source is the root. Of equal cosines the licence last in the alphabet
+    holds, of several licence files in a directory the least path. Repeated rows get a row each, with the statements of all rows of
+    their id; an empty table gives an empty result; other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     level = lambda n: (F.col("doc_id") - F.pmod(F.col("doc_id"), F.lit(n))).cast("string")
     path = F.concat_ws("/", "source", level(1000), level(100), F.col("doc_id").cast("string"))

@@ -175,4 +175,5 @@ def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are stored as empty ones: one frame of bytes 255. Equal texts have equal files, repeated rows and rows without an id a row each; an empty table gives an empty result; other columns are not read."""
     return read_media(store_texts(table(spark, sf_dir, "documents")))

@@ -331,6 +331,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, max_len: int = MAX_LEN)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have the end id only. Pieces of equal length are placed in the order of tasks and rows; repeated rows and rows without an id are packed each; an empty table gives an empty result; other columns are not read."""
     import public_tokenizers as tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))

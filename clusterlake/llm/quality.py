@@ -200,6 +200,7 @@ def held_out() -> F.Column:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have features of zero and a score like any other. Several labels of one document are averaged, 0.5 counts as 1; repeated rows and rows without an id (which are never held out) get a row each; an empty table gives an empty result, and without labels the score is a constant; labels, lang, source and other columns are not inputs."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -146,4 +146,5 @@ def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts, and texts without a word, have fingerprint zero and are linked like others. Repeated rows get a row each; rows without an id get the component of their fingerprint, null where no row of it has an id; an empty table gives an empty result; other columns are not read."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,14 +134,22 @@ def test_packing_plan():
         assert len(fill) == count
 
 
-def test_word_tokenizer_is_the_library():
+@pytest.mark.parametrize("seed", range(4))
+def test_word_tokenizer_is_the_library(seed, monkeypatch):
+    """Every class of word at random: all of Latin-1, digits with marks, letters whose case folding changes their length, marks that combine, contractions, special tokens, long runs."""
+    if seed == 3:
+        monkeypatch.setattr(packing, "KEPT", 20)  # stores that are full again and again
     t = packing.WordTokenizer(open(tokenizers.path("word_bpe_49k.json"), "rb").read())
-    r = random.Random(3)
-    parts = ["\x01", "...", "a", "The", " ", "  ", "\n", "\t", "é", "É", "9", "!", "'s", "'S", " Word", "日本", "😀", "\x1c", "\x85", "Σ", "İ", "ß", "<|endoftext|>", "²", "ª", "it's", "é"]
+    r = random.Random(seed)
+    parts = ["\x01", "...", "a", "The", " ", "  ", "\n", "\t", "é", "É", "9", "!", "'s", "'S", " Word", "日本", "😀", "\x1c", "\x85", "Σ", "İ", "ß", "ẞ", "<|endoftext|>", "<|", "|>", "²", "ª", "it's", "e\u0301", "\u00ad", "\u00b5", "×", "÷"]
+    parts += ["x" * 300, "Ab" * 130, "12", "3.14", "a1b2", "$9,99", "-", "_", "Ÿ", "Ā", "½", "'ll", "ﬀ", "ſ", "\u00a0", "\u3000", "\u2028", "ΑΣ", "ǅ", "K"] + [chr(i) for i in range(256)]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(1500)]
     assert t.fast
     for text, ids in zip(texts, t.ids(texts), strict=True):
         assert ids.tolist() == t.library.encode(text, add_special_tokens=False).ids, text
+    some = pa.array([None, *texts[:400], None, ""]).slice(1)
+    got = [x for data, offsets in packing.parts_of(some, 3000) for x in np.split(*(lambda ids, n: (ids, np.cumsum(n)[:-1]))(*t.batch(data, offsets)))]
+    assert [x.tolist() for x in got] == [t.library.encode(x or "", add_special_tokens=False).ids for x in some.to_pylist()]
 
 
 def removed_by_force(docs, n=100):
@@ -183,15 +192,22 @@ def test_suffix_kernels(seed, monkeypatch):
             parts.append(bytes(x) if r.random() < 0.6 else r.choice([b"a", b"ab", b"With "]) * r.randint(1, 150))
         docs.append((d, b"".join(parts)))
     rows = suffixes.contexts(docs)
-    order, first = suffixes.first_of_equal(rows)
-    found = [suffixes.covers(rows, order[~first], 100)]
-    at = order[first]
-    rest = suffixes.split_hot({n: rows[n][at] for n, _ in suffixes.CONTEXT}, np.full(len(at), seed % 2 == 0))
+    rows["text"] = rows["doc"]
     text = dict(docs)
+    found, rest = [], {n: rows[n] for n, _ in suffixes.CONTEXT}
+    if seed % 3:  # else the family has to find all repeats, copies of whole contexts too
+        keep, again = suffixes.combined(rows, [t for _, t in docs], 100)
+        found.append(suffixes.covers(rows, again, 100))
+        rest = {n: rows[n][keep] for n, _ in suffixes.CONTEXT}
+    bodies = lambda r: [text[d][s : s + n + 99] for d, s, n in zip(*(r[c].tolist() for c in ("doc", "s", "n")), strict=True)]
+    monkeypatch.setattr(suffixes, "TOGETHER", r.choice([100, 1 << 20]))
+    if seed % 2:
+        rest, body = suffixes.by_place(rest, bodies(rest), 100)
+        assert body == bodies(rest) and rest["n"].max() <= suffixes.PLACES
     for b in range(3):
         i = np.flatnonzero(rest["h"] % np.uint64(3) == b)
-        body = b"".join(text[d][s : s + n + 99] for d, s, n in zip(*(rest[c][i].tolist() for c in ("doc", "s", "n")), strict=True))
-        found.append(suffixes.repeated([suffixes.packed(suffixes.CONTEXT, rest, i)], [body], 100))
+        found.append(suffixes.repeated([suffixes.packed(suffixes.CONTEXT, rest, i)], [b"".join(bodies({n: rest[n][i] for n, _ in suffixes.CONTEXT}))], 100))
+        assert seed % 3 or not len(i) or len(found[-1]["doc"])  # the index finds repeats
     runs = defaultdict(list)
     for f in found:
         for d, s, e in zip(*(np.asarray(f[c]).tolist() for c in ("doc", "s", "e")), strict=True):
@@ -209,6 +225,34 @@ def test_suffix_kernels(seed, monkeypatch):
         assert spans == sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
 
 
+def test_hashes_alone_remove_nothing(monkeypatch):
+    """Contexts whose hashes are equal though their bytes differ."""
+    monkeypatch.setattr(suffixes.Hashes, "of", lambda self, start, end: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(suffixes, "gram_hashes", lambda b: np.zeros(max(0, len(b) - suffixes.GRAM + 1), np.uint64))
+    r = random.Random(1)
+    docs = [(k, bytes(r.choice(b"abcdefgh") for _ in range(150))) for k in range(20)]
+    docs.append((20, docs[3][1]))
+    rows = suffixes.contexts(docs)
+    rows["text"] = rows["doc"]
+    keep, again = suffixes.combined(rows, [t for _, t in docs], 100)
+    assert set(rows["doc"][again]) <= {20}
+    some = {n: rows[n][keep] for n, _ in suffixes.CONTEXT}
+    body = b"".join(dict(docs)[d][s : s + n + 99] for d, s, n in zip(*(some[c].tolist() for c in ("doc", "s", "n")), strict=True))
+    got = suffixes.repeated([suffixes.packed(suffixes.CONTEXT, some)], [body], 100)
+    assert set(np.asarray(got["doc"]).tolist()) <= {20}
+
+
+def test_hot_anchors(spark, sf, monkeypatch):
+    """All anchors that repeat in the sample, which is everything here, are hot."""
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 1 << 14)
+    seen = []
+    monkeypatch.setattr(suffixes, "hot_anchors", lambda docs, n, f=suffixes.hot_anchors: seen.append(f(docs, n)) or seen[-1])
+    rows = got(queries.queries()["op2_suffixes"](spark, sf))
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == removed_by_force(documents(sf))
+    assert len(seen[0]) > 10
+
+
 def test_bucket_of_a_document_is_sparks(spark):
     ids = [0, 1, -1, 7, 2**40 + 3, -(2**62), 2**63 - 1]
     want = {r["id"]: r["b"] for r in spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.pmod(F.hash("id"), F.lit(13)).alias("b")).collect()}
@@ -437,15 +481,34 @@ def test_top_k(spark, sf):
     same_as_sql(spark, sf, "op9_top_k", ["embeddings"])
 
 
-def test_approximation_reads_few_vectors():
+def test_top_k_of_repeats_and_ties(spark, tmp_path):
+    """Repeated rows, null ids, empty and short vectors, a vector that a third of the rows have, an id with many rows."""
+    g = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in g.integers(-3, 4, 4) / 2]) for i in g.integers(0, 200, 300)]
+    rows += [(1000 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(150)] + [(40, [1.0, 1.0, 1.0, 1.0])] * 30 + [(60, []), (61, []), (80, [3.0]), (None, [9.0, 9.0, 9.0, 9.0]), (20, None)] + rows[:40]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    same_as_sql(spark, str(tmp_path), "op9_top_k", ["embeddings"])
+
+
+def test_approximation_bounds():
     g = np.random.default_rng(0)
-    v = g.integers(-64, 64, (1000, 16))
-    q = g.integers(-64, 64, (20, 16))
-    found = [[] for _ in q]
-    read = vafile.search(np.arange(-20, 0), q, found, np.arange(1000), v, 5)
-    assert read < 20 * 1000 / 4
-    for x, f in zip(q, found, strict=True):
-        assert f == sorted(zip((-(v @ x)).tolist(), range(1000)))[:5]
+    for most in (3, 500, 10**6, 2**40):
+        v, q = g.integers(-most, most, (300, 16)), g.integers(-100, 100, (20, 16))
+        a = vafile.Approximation.of(v)
+        low, high, exact = a.bounds(q, False), a.bounds(q, True), q @ v.T
+        assert a.cell.dtype == np.uint8 and (a.cell < vafile.CELLS).all()
+        assert (low <= exact).all() and (exact <= high).all()
+        assert most > 3 or (low == high).all()
+
+
+def test_search_reads_few_exact_vectors(spark):
+    g = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, [int(x) for x in g.integers(-500, 500, 8)]) for i in range(3000)], "id long, v array<long>")
+    exact, cells = vafile.approximation_file(v, 5)
+    assert exact.count() == 3000 and "vectors" in cells.columns and cells.where("vectors IS NOT NULL").count() == 0
+    asked = vafile.written(vafile.blocks(v.where("id % 100 = 0").withColumn("row", F.col("id")), 8, False), "asked")
+    bounded = vafile.least_scores(cells, asked, 3, 5)
+    assert vafile.candidates(cells, bounded, 3).count() < 30 * 3000 / 20
 
 
 def test_byte_bpe(spark, sf, awkward):
@@ -462,13 +525,18 @@ def test_byte_bpe(spark, sf, awkward):
             assert r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-def test_byte_bpe_boundaries():
+def test_byte_bpe_boundaries(monkeypatch):
     c = byte_bpe.Codec(open(tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), tokenizers.PATTERN)
     r = random.Random(1)
-    for _ in range(200):
-        t = "".join(r.choice(["a", "The", " ", "  ", "\n", "é", "9", "!", "'s", " word", " über", "日本", "😀", "\x1c"]) for _ in range(r.randint(0, 2000)))
-        assert sum((c.library.encode_ordinary(s) for s in c.segments(t, 50)), []) == c.library.encode_ordinary(t)
-        b = t.replace(" ", "").encode()[:300]
-        assert not b or c.merge(b) == c.library._encode_single_piece(b)
-    t = "x" * 20000 + "ab" * 9000 + " hello"
+    for k in range(200):
+        monkeypatch.setattr(byte_bpe, "BLANKS", r.choice([2, 3, 65_536]))
+        blanks = [" " * 2, " " * 5, "\n" * 3, " \n\t ", "\u3000\xa0 ", "\x1c\x1c"] if k % 2 else []
+        t = "".join(r.choice([*blanks, "a", "The", " ", "  ", "\n", "é", "9", "!", "'s", " word", " über", "日本", "😀", "\x1c"]) for _ in range(r.randint(0, 2000)))
+        want = c.library.encode_ordinary(t)
+        assert c.encode(t) == want
+        assert sum((c.library.encode_ordinary(s) for s in c.segments(t, 50)), []) == want
+    monkeypatch.undo()
+    t = "x" * 20000 + "ab" * 9000 + " hello" + " " * 70_000 + "end" + "\n" * 70_000
     assert c.encode(t) == c.library.encode_ordinary(t)
+    for t in ("a" + " " * 1_500_000 + "b", "\n" * 1_200_000, "日本" * 500_000, "ab1!" * 300_000):  # the library alone gives up on the first two
+        assert c.decode(c.encode(t)) == t.encode()
