@@ -6,25 +6,30 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clusterlake.functions.profiles import parse_profile, viterbi
 from clusterlake.operators.alignment import without_overlaps
+from clusterlake.operators.evaluate import numbered
+from clusterlake.plans.scratch import released, written
 
 HIT = "gene_id long, accession string, start int, stop int, score double, alignment string"
-#: Profiles that a task holds at once; a database is scanned in as many passes as it has such parts.
+#: Profiles that the driver and a task hold at once, some 75 kB each; a database is scanned in as many passes as it has such parts.
 PROFILES_AT_ONCE = 2_000
 
 
 def search(genes: DataFrame, profiles: DataFrame, overlap: float = 0.1) -> DataFrame:
     """Hits of (gene_id, aa_seq) that reach a profile's trusted cutoff (0 without one), overlaps resolved, each with its aligned string of the profile's length.
 
-    Profiles (accession, trusted_domain, body) are a fixed reference, sent to the workers in parts of PROFILES_AT_ONCE.
+    Profiles (accession, trusted_domain, body) are a reference of its own size, which doesn't grow with the genes: they go to the workers
+    in parts of PROFILES_AT_ONCE, one after the other, and each part's hits are written before the next one is read.
     """
     spark = genes.sparkSession
-    rows = [(r["accession"], r["trusted_domain"], r["body"]) for r in profiles.select("accession", "trusted_domain", "body").orderBy("accession").toLocalIterator()]
+    every = written(numbered(profiles.select("accession", "trusted_domain", "body"), [F.col("accession"), F.col("body")], "nth"), "profiles")
     found = None
-    for at in range(0, max(1, len(rows)), PROFILES_AT_ONCE):
-        part = spark.sparkContext.broadcast(rows[at : at + PROFILES_AT_ONCE])
+    for at in range(0, max(1, every.count()), PROFILES_AT_ONCE):
+        rows = [(r["accession"], r["trusted_domain"], r["body"]) for r in every.where((F.col("nth") > at) & (F.col("nth") <= at + PROFILES_AT_ONCE)).collect()]
+        part = spark.sparkContext.broadcast(rows)
 
         def run(frames: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             models = [parse_profile(body, accession, trusted) for accession, trusted, body in part.value]
@@ -37,6 +42,8 @@ def search(genes: DataFrame, profiles: DataFrame, overlap: float = 0.1) -> DataF
                             out.append((gene, p.accession, start, stop, score, text))
                 yield pd.DataFrame(out, columns=["gene_id", "accession", "start", "stop", "score", "alignment"])
 
-        hits = genes.select("gene_id", "aa_seq").mapInPandas(run, HIT)
+        hits = written(genes.select("gene_id", "aa_seq").mapInPandas(run, HIT), "hits")
+        part.unpersist()
         found = hits if found is None else found.unionByName(hits)
+    released(every)
     return without_overlaps(found, overlap)

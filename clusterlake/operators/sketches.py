@@ -32,8 +32,8 @@ def kmers(sequence: Column, k: int = 10) -> Column:
 
 def sketch(items: DataFrame, tokens: Column, digits: int = 1) -> DataFrame:
     """(item, token): hashes of tokens, scaled down to those that begin with so many zero digits, the same for every item."""
-    hashed = items.select("item", F.explode(tokens).alias("t")).select("item", F.md5("t").alias("token"))
-    return hashed.where(F.substring("token", 1, digits) == "0" * digits).distinct()
+    kept = F.filter(F.transform(tokens, F.md5), lambda x: x.startswith("0" * digits))  # where they are made, so that few rows are
+    return items.select("item", F.explode(F.array_distinct(kept)).alias("token")).distinct()
 
 
 def sketch_classes(sketches: DataFrame) -> DataFrame:

@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files up to which a table may be dealt out anew.
+SMALL_INPUT = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few small files, dealt out to all cores: a file of one row group is read by one task, however costly what follows. Larger tables are left as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size <= SMALL_INPUT and len(df.inputFiles()) < n else df
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).select(

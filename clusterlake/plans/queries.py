@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, search, similarity, sketches, state
 from clusterlake.plans import outputs
-from clusterlake.plans.model import ANCHORS, CUTOFFS, SQL_CONTAINERS, SQL_GENES, SQL_RECORDS, WEIGHTS, containers, genes, records, table
+from clusterlake.plans.model import ANCHORS, CUTOFFS, SQL_CONTAINERS, SQL_GENES, SQL_RECORDS, WEIGHTS, containers, genes, records, spread, table
 from clusterlake.plans.scratch import written
 
 MIX = WEIGHTS["mix"]
@@ -294,14 +294,14 @@ cl AS (SELECT item, min(item) OVER (PARTITION BY k) AS class FROM n)"""
 @query(f"{SKETCH} SELECT a, b, jaccard FROM e WHERE a IN (SELECT class FROM cl) AND b IN (SELECT class FROM cl)")
 def sketch_pairs(spark, sf):
     """Pairs between the least documents of classes with equal sketches; sketch_classes has the membership."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text"))
     c = written(sketches.sketch_classes(sketches.sketch(d, sketches.word_shingles(F.col("text")))), "classes")
     return sketches.class_edges(c, 0.8)
 
 
 @query(f"{SKETCH} SELECT item, class FROM cl")
 def sketch_classes(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text"))
     s = written(sketches.sketch(d, sketches.word_shingles(F.col("text"))), "sketches")
     return sketches.class_of(s, sketches.sketch_classes(s))
 
@@ -311,7 +311,7 @@ c AS (SELECT item, min(seen) AS component FROM reach GROUP BY 1), s AS (SELECT x
 best AS (SELECT component, item AS representative FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY total DESC, item) AS r FROM c JOIN s USING (item)) WHERE r = 1)
 SELECT d.doc_id AS item, coalesce(c.component, d.doc_id) AS component, coalesce(representative, d.doc_id) AS representative FROM documents d LEFT JOIN c ON c.item = d.doc_id LEFT JOIN best ON best.component = c.component""")
 def dereplicate_documents(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text"))
     return sketches.dereplicate(d, sketches.sketch(d, sketches.word_shingles(F.col("text"))), 0.8)
 
 
