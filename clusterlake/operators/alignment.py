@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from clusterlake.functions import kernels as K
+from clusterlake.operators.grouped import ddl, each_group
 from clusterlake.plans.config import Settings
 from clusterlake.plans.model import WEIGHTS
 
@@ -111,22 +111,14 @@ def greedy_regions(pairs: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def without_overlaps(hits: DataFrame, share: float = 0.1) -> DataFrame:
-    """Hits (gene_id, accession, start, stop, score) that stay; arrival is by accession, start and stop."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows = f.sort_values(["accession", "start", "stop", "score"]).to_dict("records")
-        return pd.DataFrame(K.without_overlaps(rows, share), columns=f.columns)
-
-    return hits.groupBy("gene_id").applyInPandas(lambda f: run(f), hits.schema)
+    """Hits (gene_id, accession, start, stop, score, ...) that stay; arrival is by accession, start and stop."""
+    return each_group(hits, ("gene_id",), ("accession", "start", "stop", "score"), lambda rows: K.without_overlaps(rows, share), ddl(hits))
 
 
 def without_overlapping_genes(genes: DataFrame, share: float = 0.1, again: bool = False) -> DataFrame:
     """Genes (container_id, orf, start, stop, strand, length) that stay, taken by orf. With again, by the rules of dereplication: a gene goes on to be compared after its first overlap."""
     stay = K.longest_of_overlapping_genes if again else K.without_overlapping_genes
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(stay(f.sort_values(["orf", "start", "stop"]).to_dict("records"), share), columns=f.columns)
-
-    return genes.groupBy("container_id").applyInPandas(lambda f: run(f), genes.schema)
+    return each_group(genes, ("container_id",), ("orf", "start", "stop"), lambda rows: stay(rows, share), ddl(genes))
 
 
 def tree_domains(members: DataFrame, domains: DataFrame, top: int = 3) -> DataFrame:
@@ -150,23 +142,25 @@ def trees(members: DataFrame, aligned: DataFrame) -> DataFrame:
     """
     import numpy as np
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        family, centre = int(f["family"].iloc[0]), int(f["centre"].iloc[0])
-        ids = sorted(set(f["record_id"]))
+    def one(rows: list[dict]) -> list[dict]:
+        family, centre = rows[0]["family"], rows[0]["centre"]
+        ids = sorted({r["record_id"] for r in rows})
         if len(ids) > MOST_MEMBERS:
             raise ValueError(f"family {family} has {len(ids)} members, more than a tree is made of")
         text = dict.fromkeys(ids, "")
-        for _, part in f.dropna(subset=["domain"]).groupby("domain"):
-            own = {r: sorted(g["alignment"]) for r, g in part.groupby("record_id")}
+        copies: dict[str, dict[int, list[str]]] = {}
+        for r in rows:  # in the order of domains and alignments
+            if r["domain"] is not None:
+                copies.setdefault(r["domain"], {}).setdefault(r["record_id"], []).append(r["alignment"])
+        for own in copies.values():
             for k, copy in enumerate(own.get(centre, [])):
                 for r in ids:
                     cost = np.array([[K.aligned_distance(x, y) for y in own.get(r, [])] for x in own[centre]]).reshape(len(own[centre]), -1)
                     match = dict(K.assignment(cost)) if cost.size else {}
                     text[r] += own[r][match[k]] if k in match else "-" * len(copy)
         d = K.aligned_distances([text[x] for x in ids])
-        fasta = "".join(f">{x}\n{text[x]}\n" for x in ids)
-        return pd.DataFrame({"family": [family], "newick": [K.neighbour_joining(ids, d)], "fasta": [fasta]})
+        return [{"family": family, "newick": K.neighbour_joining(ids, d), "fasta": "".join(f">{x}\n{text[x]}\n" for x in ids)}]
 
     m = members if "centre" in members.columns else members.withColumn("centre", F.col("family"))
     rows = m.join(aligned, ["family", "record_id"], "left").select("family", "centre", "record_id", "domain", "alignment")
-    return rows.groupBy("family").applyInPandas(lambda f: run(f), "family long, newick string, fasta string")
+    return each_group(rows, ("family",), ("domain", "alignment"), one, "family long, newick string, fasta string")

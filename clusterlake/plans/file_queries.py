@@ -124,6 +124,33 @@ def gene_quantities(spark, sf) -> DataFrame:
     return g.select(F.concat("c_name", F.lit(".region001.gbk")).alias("file"), orf.alias("orf"), "l_quantity", "p_size")
 
 
+@query(f"WITH {SQL_FLAT} SELECT file AS item, string_agg(aa, '' ORDER BY orf) AS protein FROM gene JOIN file_ USING (k) GROUP BY 1")
+def joined_proteins(spark, sf):
+    """Proteins of each file in gene order, as dereplication sketches them; overlaps of any size are let pass here."""
+    from dataclasses import replace
+
+    from clusterlake.plans.config import Settings
+
+    files = written(genbank.parsed(flat_files(spark, sf)), "files").withColumn("item", file())
+    return workflows.joined_proteins(files, replace(Settings(), cds_overlap=10.0)).select("item", "protein")
+
+
+@query("SELECT 'p' || p_partkey || '.region1.gbk' AS file, 'M' || repeat('A', p_size) || CASE WHEN p_size % 4 = 1 THEN 'X' ELSE '' END AS aa_seq, CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE 1 END AS strand FROM part")
+def translated_genes(spark, sf):
+    """Genes without a translation get one, on both strands, up to the stop; an ambiguous codon is X, and a fuzzy start is trimmed to whole codons."""
+    p = table(spark, sf, "part")
+    coding = F.concat(F.when(F.col("p_size") % 3 == 0, F.lit("C")).otherwise(""), F.lit("ATG"), F.expr("repeat('GCT', p_size)"), F.when(F.col("p_size") % 4 == 1, "NNN").otherwise(""), F.lit("TAAGGG"))
+    back = F.col("p_partkey") % 2 == 0
+    nt = F.when(back, F.translate(F.reverse(coding), "ACGT", "TGCA")).otherwise(coding)
+    fuzzy = F.col("p_size") % 3 == 0
+    where = F.when(back, F.concat(F.lit("complement(1.."), F.when(fuzzy, ">").otherwise(""), F.length(coding).cast("string"), F.lit(")"))).otherwise(F.concat(F.when(fuzzy, "<").otherwise(""), F.lit("1.."), F.length(coding).cast("string")))
+    head = "\nCOMMENT     ##antiSMASH-Data-START##\n            Version      :: 7.0.0\n            ##antiSMASH-Data-END##\nFEATURES             Location/Qualifiers\n     region          1..9\n                     /region_number=\"1\"\n     CDS             "
+    text = F.concat(F.lit("LOCUS       p "), F.length(coding).cast("string"), F.lit(" bp    DNA" + head), where, F.lit("\nORIGIN\n        1 "), F.lower(nt), F.lit("\n//\n"))
+    files = p.select(F.concat(F.lit("/in/p"), F.col("p_partkey").cast("string"), F.lit(".region1.gbk")).alias("path"), F.concat(text, F.lit("# "), F.col("p_partkey").cast("string")).alias("content"))
+    t = genbank.tables(written(genbank.parsed(files), "files"))
+    return t["genes"].join(t["containers"].select("container_id", file()), "container_id").select("file", "aa_seq", "strand")
+
+
 def old_files(spark, sf) -> DataFrame:
     """Suppliers as files of the old layout; every fourth lacks its cluster, every ninth its number."""
     s = table(spark, sf, "supplier")

@@ -158,24 +158,30 @@ def weighted_distance(spark, sf):
 
 @query(f"""WITH {SQL_RECORDS}, {SQL_GENES}, d AS (SELECT record_id, list(domain ORDER BY orf) AS ds FROM gene GROUP BY 1)
 SELECT ra.record_id AS a, rb.record_id AS b, round(len(list_intersect(x.ds, y.ds)) / len(list_distinct(list_concat(x.ds, y.ds))), 6) AS jaccard
-FROM rec ra JOIN rec rb ON ra.bin = rb.bin AND ra.record_id < rb.record_id AND ra.container_id <> rb.container_id JOIN d x ON x.record_id = ra.record_id JOIN d y ON y.record_id = rb.record_id""")
+FROM rec ra JOIN rec rb ON ra.bin = rb.bin AND ra.record_id < rb.record_id AND ra.container_id <> rb.container_id JOIN d x ON x.record_id = ra.record_id JOIN d y ON y.record_id = rb.record_id WHERE list_has_any(x.ds, y.ds)""")
 def jaccard_pairs(spark, sf):
+    """Of pairs with a common domain; all others have 0."""
     d = domain_lists(spark, sf)
-    p = pairs.all_pairs(records(spark, sf)).join(d.select(F.col("record_id").alias("a"), F.col("ds").alias("x")), "a").join(d.select(F.col("record_id").alias("b"), F.col("ds").alias("y")), "b")
+    p = candidates(spark, sf).join(d.select(F.col("record_id").alias("a"), F.col("ds").alias("x")), "a").join(d.select(F.col("record_id").alias("b"), F.col("ds").alias("y")), "b")
     return p.select("a", "b", F.round(similarity.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
+def candidates(spark, sf) -> DataFrame:
+    """(a, b) with a common domain."""
+    tokens = written(similarity.record_tokens(records(spark, sf), genes(spark, sf), ANCHORS).where("domain = 1"), "tokens")
+    return pairs.candidate_pairs(tokens).select("a", "b")
+
+
 def domain_lists(spark, sf):
     return genes(spark, sf).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("orf", "domain"))).alias("g")).select("record_id", F.col("g.domain").alias("ds"))
 
 
 @query(f"""{EDGES}, d AS (SELECT record_id, count(*) AS n, min(domain) AS one FROM gene GROUP BY 1)
-SELECT ra.record_id AS a, rb.record_id AS b, coalesce(s.adjacency, 0.0) AS adjacency
-FROM rec ra JOIN rec rb ON ra.bin = rb.bin AND ra.record_id < rb.record_id AND ra.container_id <> rb.container_id JOIN d x ON x.record_id = ra.record_id JOIN d y ON y.record_id = rb.record_id
-LEFT JOIN score s ON s.a = ra.record_id AND s.b = rb.record_id""")
+SELECT a, b, adjacency FROM score""")
 def adjacency_pairs(spark, sf):
+    """Of pairs with a common domain; all others have 0."""
     d = domain_lists(spark, sf)
-    p = pairs.all_pairs(records(spark, sf)).join(d.select(F.col("record_id").alias("a"), F.col("ds").alias("x")), "a").join(d.select(F.col("record_id").alias("b"), F.col("ds").alias("y")), "b")
+    p = candidates(spark, sf).join(d.select(F.col("record_id").alias("a"), F.col("ds").alias("x")), "a").join(d.select(F.col("record_id").alias("b"), F.col("ds").alias("y")), "b")
     return p.select("a", "b", F.round(similarity.adjacency(F.col("x"), F.col("y")), 6).alias("adjacency"))
 
 

@@ -292,11 +292,17 @@ def protein_items(spark: SparkSession, folder: str, settings: Settings | None =
     every = written(read_files(spark, folder), "files")
     if some := every.where("error IS NOT NULL AND size(cds) = 0").select("path", "error").orderBy("path").limit(10).collect():
         raise ValueError("files can't be read, among them: " + "; ".join(f"{r['path']}: {r['error']}" for r in some))
-    files = every.where(F.size("cds") > 0).where(filters.within_length(F.col("nt_len"), c.min_length, c.max_length))
-    below = F.regexp_replace(F.expr(f"substring(path, locate('/{folder.rstrip('/').rsplit('/', 1)[-1]}/', path) + {len(folder.rstrip('/').rsplit('/', 1)[-1]) + 2})"), "/", ".")
-    genes = written(files.select(F.concat_ws("_", below, "hash").alias("container_id"), "hash", F.explode("cds").alias("g")).select("container_id", "hash", "g.*"), "genes")
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    below = F.regexp_replace(F.expr(f"substring(path, locate('/{name}/', path) + {len(name) + 2})"), "/", ".")
+    return joined_proteins(every.withColumn("item", F.concat_ws("_", below, "hash")), c)
+
+
+def joined_proteins(files: DataFrame, settings: Settings) -> DataFrame:
+    """(item, hash, protein) of parsed files (item, ...) within the limits of length: proteins in gene order, without genes that overlap another."""
+    some = files.where(F.size("cds") > 0).where(filters.within_length(F.col("nt_len"), settings.min_length, settings.max_length))
+    genes = written(some.select(F.col("item").alias("container_id"), "hash", F.explode("cds").alias("g")).select("container_id", "hash", "g.*"), "genes")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("orf", "aa_seq"))), lambda g: g["aa_seq"]), "")
-    return genes_that_stay(genes, c.cds_overlap, again=True).groupBy(F.col("container_id").alias("item"), "hash").agg(text.alias("protein"))
+    return genes_that_stay(genes, settings.cds_overlap, again=True).groupBy(F.col("container_id").alias("item"), "hash").agg(text.alias("protein"))
 
 
 def dereplicate(spark: SparkSession, folder: str, least: float = 0.8, settings: Settings | None = None) -> DataFrame:
