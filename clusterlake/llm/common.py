@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterlake.plans.model import spread
 from clusterlake.plans.scratch import released, shared_dir, written  # noqa: F401
 
 #: Ids that are broadcast at most (8 MB of them), and bits of a filter sent in their place beyond that (32 MB).
@@ -18,7 +19,7 @@ BROADCAST_IDS, FILTER_BITS = 1_000_000, 1 << 28
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; any store that Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -36,6 +37,11 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table, to be broadcast if it has no more than so many rows; the others' keys are left to adaptive joins, which split hot ones."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def kept_rows(df: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Rows of df, all columns as they are, for whose batch of values in a column keep() is true: one pass without a shuffle, whatever is null in other columns."""
     at = df.columns.index(column)

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlake.llm.common import table, written
+from clusterlake.llm.common import small, table, written
 from clusterlake.operators.sketches import let
 
 #: Usual statements of licences, by SPDX identifier.
@@ -186,12 +186,12 @@ def statements(files: DataFrame) -> DataFrame:
     unit = F.sha2("unit", 256)
     distinct = written(units.groupBy("id", unit.alias("key")).agg(F.first("unit").alias("unit"), F.max("size").alias("size")), "units")
     best = best_of(distinct.groupBy("key").agg(F.first("unit").alias("unit")), forms, {w: idf[w] for w in vocabulary}, unknown)
-    hits = distinct.join(best, "key").select("id", F.lit(False).alias("is_file"), "cosine", "license", (F.length("unit") / F.col("size")).alias("share"))
+    hits = distinct.join(small(written(best, "best")), "key").select("id", F.lit(False).alias("is_file"), "cosine", "license", (F.length("unit") / F.col("size")).alias("share"))
 
     near = texts.where(let(tokens(F.col("text")), lambda t: near_a_whole(t, wholes, idf))).select("id", F.sha2("text", 256).alias("key"), F.col("text").alias("unit"))
     near = written(near, "wholes")
     best = best_of(near.groupBy("key").agg(F.first("unit").alias("unit")), wholes, idf, unknown)
-    licences = near.join(best, "key").select("id", F.lit(True).alias("is_file"), "cosine", "license", F.lit(1.0).alias("share"))
+    licences = near.join(small(written(best, "best")), "key").select("id", F.lit(True).alias("is_file"), "cosine", "license", F.lit(1.0).alias("share"))
     both = hits.unionByName(licences)
     return both.groupBy("id").agg(F.max(F.struct("is_file", "cosine", "license", "share")).alias("b")).select("id", "b.license", "b.cosine", "b.share", "b.is_file")
 
