@@ -19,6 +19,8 @@ WORDS, SEED, RADIUS = 3, 42, 3
 PIVOTS = 16
 #: Shingles whose bits are counted at once.
 AT_ONCE = 100_000
+#: Rows that a task links at once, whole keys of them, and rows of one key that are dealt out further.
+LINKED, HOT = 200_000, 4_096
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -73,7 +75,7 @@ def linked(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     whose distances to any other pivot differ by more than radius are discarded, and the rest verified bit by bit.
     """
     n = len(fp)
-    far = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
+    far = np.stack([np.bitwise_count(fp ^ p).astype(np.int8) for p in pivots()], axis=1)
     order = np.lexsort((far[:, 0], key))
     k, f, d = key[order], fp[order], far[order]
     label, near = np.arange(n), np.arange(n)
@@ -96,6 +98,23 @@ def linked(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return out
 
 
+def dealt_further(key: np.ndarray, fp: np.ndarray, row: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, fp, row), in which rows of keys with more than HOT of them stand once for each of radius + 1 blocks of the bits, with a key of the block's bits: two rows within the radius still share a key, as at least one block is equal. The bits are dealt to blocks in another way each time, until no key is hot or after three times."""
+    for level in range(3):
+        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
+        hot = n[group] > HOT
+        if not hot.any():
+            break
+        block = np.random.default_rng(level).permutation(64) % (radius + 1)
+        parts = [(key[~hot], fp[~hot], row[~hot])]
+        for b in range(radius + 1):
+            mask = sum(1 << int(i) for i in np.flatnonzero(block == b))
+            x = (key[hot].astype(np.uint64) + np.uint64(b + 1)) * np.uint64(0x9E3779B97F4A7C15) ^ (fp[hot] & np.uint64(mask)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            parts.append(((x ^ x >> np.uint64(29)).view(np.int64), fp[hot], row[hot]))  # keys that collide cost time, no more
+        key, fp, row = map(np.concatenate, zip(*parts, strict=True))
+    return key, fp, row
+
+
 def block_keys(fp: str, radius: int = RADIUS) -> list[Column]:
     """Keys of which two fingerprints within the radius share at least one: one of radius + 1 blocks of the bits, and one of as many blocks of the remaining bits, are equal (pigeonhole)."""
     parts = radius + 1
@@ -122,18 +141,28 @@ def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     keyed = distinct.where("first is not null").select("fp", "first", F.explode(F.array(*block_keys("fp", radius))).alias("key"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
-        if not got:
-            return
-        fp, first, key = (np.concatenate(x) for x in zip(*got, strict=True))
-        label = linked(key, fp.view(np.uint64), radius)
+    def links(fp: np.ndarray, first: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        key, bits, first = dealt_further(key, fp.view(np.uint64), first, radius)
+        label = linked(key, bits, radius)
         nodes, at = np.unique(first, return_inverse=True)  # a document may be in several groups of this task
         star = least_labels(len(nodes), at, at[label])
         i = np.flatnonzero(star != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[star[i]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[star[i]])], names=["a", "b"])
 
-    dealt = keyed.repartition("key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:  # sorted by key
+            held.append([b.column(i).to_numpy() for i in range(3)])
+            if sum(len(x[0]) for x in held) >= LINKED:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(rows[2], rows[2][-1]))  # the last key may go on
+                if cut:
+                    yield links(*(x[:cut] for x in rows))
+                held = [[x[cut:] for x in rows]]
+        if held and len(held[0][0]):
+            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
     components = connected_components(dealt.mapInArrow(run, "a long, b long"))
     of = distinct.join(components.withColumnRenamed("id", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")

@@ -301,6 +301,19 @@ def test_simhash_links():
     assert (have == want).all()
 
 
+def test_simhash_of_a_hot_key(spark, monkeypatch):
+    """Thousands of fingerprints around one, which share most keys; tasks hold few rows at a time."""
+    monkeypatch.setattr(simhash, "HOT", 50)
+    monkeypatch.setattr(simhash, "LINKED", 300)
+    g = np.random.default_rng(9)
+    fp = np.unique(np.array([0x0123456789ABCDEF ^ sum(1 << int(b) for b in g.choice(64, g.integers(0, 9), replace=False)) for _ in range(1500)], np.uint64))
+    a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
+    want = simhash.least_labels(len(fp), a, b)
+    rows = simhash.near_components(spark.createDataFrame([(k, int(x)) for k, x in enumerate(fp.view(np.int64))], "doc_id long, fp long")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(want.tolist()))
+    assert 1 < len(set(want.tolist())) < len(fp)
+
+
 def test_quality(spark, awkward):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in got(queries.queries()["op4_quality"](spark, sf))}
