@@ -557,8 +557,11 @@ def kept_parts(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, in
     return kept, len(data) - len(kept), spans
 
 
-def deduplicated(docs: DataFrame, text_col: Column, keep: list[Column | str], each: Callable, schema: str, min_len: int = MIN_LEN) -> DataFrame:
-    """each(row of the columns to keep, kept bytes, number of bytes, removed, spans) for each row; a null text counts as empty. What the columns are called doesn't matter."""
+def deduplicated(docs: DataFrame, text_col: Column, keep: list[Column | str], each: Callable, schema: str, min_len: int = MIN_LEN, family=None) -> DataFrame:
+    """each(row of the columns to keep, kept bytes, number of bytes, removed, spans) for each row; a null text counts as empty. What the columns are called doesn't matter.
+
+    With a family (see suffix_levels.StoredFamily), what documents added to it before have is removed as well; docs are then added to it.
+    """
     row = F.struct(*keep)
     data = docs.select(row.alias("row"), F.coalesce(text_col.cast("binary"), F.lit(b"")).alias("data"), F.col("doc_id").cast("long").alias("doc_id"))
     #: Ids of several rows, whose texts are told apart; all others have version 0, which costs nothing to send.
@@ -566,7 +569,11 @@ def deduplicated(docs: DataFrame, text_col: Column, keep: list[Column | str], ea
     version = F.when(F.col("shared"), F.xxhash64("data")).otherwise(F.lit(0).cast("long"))
     data = data.join(shared, "doc_id", "left").select("row", "data", "doc_id", version.alias("version"))
     n = bucket_count(docs)
-    runs = removed(data.select("doc_id", "version", "data"), n, min_len)
+    plain = data.select("doc_id", "version", "data")
+    runs = removed(plain, n, min_len)
+    if family is not None:
+        runs = runs.unionByName(family.seen(plain, n))
+        family.add(plain)
 
     def bucket(texts: pa.Table, blobs: list[bytes]) -> pa.Table:
         rows = unpacked(COVER, blobs)
