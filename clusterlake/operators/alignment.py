@@ -1,4 +1,4 @@
-"""The pair kernels on tables: blocks of candidate pairs of one record."""
+"""The pair kernels on tables: cells of candidate pairs."""
 
 from __future__ import annotations
 
@@ -15,9 +15,10 @@ from clusterlake.functions import kernels as K
 from clusterlake.operators.grouped import ddl, each_group
 from clusterlake.plans.config import Settings
 from clusterlake.plans.model import WEIGHTS
+from clusterlake.plans.scratch import small_batches, written
 
-#: Records that one record meets in a block.
-BLOCK = 256
+#: Pairs in a cell.
+CELL = 4_096
 
 SCORE = (
     "a long, b long, distance double, jaccard double, adjacency double, dss double, a_start int, a_stop int, b_start int, b_stop int, "
@@ -32,39 +33,38 @@ def features(records: DataFrame, genes: DataFrame) -> DataFrame:
     return records.select("record_id", "kind", "product", "contig_edge").join(g, "record_id")
 
 
-def _side(feats: DataFrame, s: str) -> DataFrame:
-    return feats.select(F.col("record_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "product", "contig_edge", "genes")))
+def _cells(pairs: DataFrame, feats: DataFrame, *more: str) -> DataFrame:
+    """(pairs, records): pairs of one bin, where they have a column of that name, in cells of CELL or so, each with the features of the records in it.
 
-
-def _paired(pairs: DataFrame, feats: DataFrame, *more: str) -> DataFrame:
-    """(a, its features, others): each record with the records b that it is paired with, at most BLOCK of them, and their features.
-
-    A record's features are sent once for each block and not for each pair; records of many pairs are dealt out over blocks.
+    A bin is cut into as many ranges of hashes on both sides as it takes, so that a record is sent, and made, once for each of them and
+    not for each pair, and a record of many pairs is dealt out over them.
     """
-    several = pairs.select("a", "b", *more).withColumn("block", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(W.partitionBy("a")) / BLOCK))))
-    other = F.struct("b", *more, *(f"{c}_b" for c in ("kind", "product", "contig_edge", "genes")))
-    grouped = several.join(_side(feats, "b"), "b").groupBy("a", "block").agg(F.collect_list(other).alias("others"))
-    return grouped.join(_side(feats, "a"), "a").select("a", "kind_a", "product_a", "contig_edge_a", "genes_a", "others")
-
-
-def _record(row: dict, s: str) -> K.Record:
-    return K.Record.of(row[f"genes_{s}"], row[f"kind_{s}"], row[f"product_{s}"], row[f"contig_edge_{s}"])
+    at = F.col("bin") if "bin" in pairs.columns else F.lit(0).alias("bin")
+    p = written(pairs.select(at, "a", "b", *more), "pairs")
+    sizes = p.groupBy("bin").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / CELL)).alias("k"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
+    cells = p.join(sizes, "bin").select("bin", part("a").alias("i"), part("b").alias("j"), "a", "b", *more)
+    key = ["bin", "i", "j"]
+    ends = cells.select(*key, F.explode(F.array("a", "b")).alias("record_id")).distinct().join(feats, "record_id")
+    records = ends.groupBy(*key).agg(F.collect_list(F.struct("record_id", "kind", "product", "contig_edge", "genes")).alias("records"))
+    return cells.groupBy(*key).agg(F.collect_list(F.struct("a", "b", *more)).alias("pairs")).join(records, key).select("pairs", "records")
 
 
 def _scored(pairs: DataFrame, feats: DataFrame, more: tuple[str, ...], each: Callable, schema: str) -> DataFrame:
-    """each(a, b, record a, record b, row of more) for each pair, with each record of a block made once; what it returns are rows of schema, or None."""
+    """each(a, b, record a, record b, row of more) for each pair of records with features; what it returns are rows of schema, or None."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):  # a block at a time
-                row = b.slice(i, 1).to_pylist()[0]
-                a = _record(row, "a")
-                rows = [x for o in row["others"] if (x := each(row["a"], o["b"], a, _record(o, "b"), o)) is not None]
+            for i in range(b.num_rows):  # a cell at a time
+                cell = b.slice(i, 1).to_pylist()[0]
+                made = {r["record_id"]: K.Record.of(r["genes"], r["kind"], r["product"], r["contig_edge"]) for r in cell["records"]}
+                rows = [x for o in cell["pairs"] if o["a"] in made and o["b"] in made and (x := each(o["a"], o["b"], made[o["a"]], made[o["b"]], o)) is not None]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return _paired(pairs, feats, *more).mapInArrow(run, schema)
+    small_batches(feats.sparkSession)
+    return _cells(pairs, feats, *more).mapInArrow(run, schema)
 
 
 def score_pairs(pairs: DataFrame, feats: DataFrame, weights: tuple[float, float, float, float] | None = None, mode: str = "glocal", strategy: str = "legacy", settings: Settings | None = None) -> DataFrame:
@@ -97,7 +97,7 @@ def backfill_matches(edges: DataFrame, feats: DataFrame) -> DataFrame:
     """Edges with (a, b, lcs_a_start, lcs_a_stop, lcs_b_start, lcs_b_stop, reverse); those of no length get the match that a local comparison would start from, in domain positions."""
     cols = ["lcs_a_start", "lcs_a_stop", "lcs_b_start", "lcs_b_stop"]
     lacking = edges.where("lcs_a_stop <= lcs_a_start")
-    m = regions(lacking.select("a", "b"), feats, "local").select("a", "b", *(F.col(f"lcs_{x}").alias(f"_{c}") for c, x in zip(cols, ("a0", "a1", "b0", "b1"), strict=True)), F.col("reverse").alias("_reverse"))
+    m = regions(lacking.select("bin", "a", "b").dropDuplicates(["a", "b"]), feats, "local").select("a", "b", *(F.col(f"lcs_{x}").alias(f"_{c}") for c, x in zip(cols, ("a0", "a1", "b0", "b1"), strict=True)), F.col("reverse").alias("_reverse"))
     filled = edges.join(m, ["a", "b"], "left")
     return filled.select(*(F.coalesce(f"_{c}", c).alias(c) if c in (*cols, "reverse") else F.col(c) for c in edges.columns))
 

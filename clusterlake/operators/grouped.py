@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from clusterlake.plans.scratch import small_batches
+
 #: Rows that go back to Spark at a time.
 ROWS = 10_000
 
@@ -36,6 +38,7 @@ def each_group(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], eac
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.groupBy(*keys).agg(rows).mapInArrow(run, schema)
 
 

@@ -56,3 +56,9 @@ def released(*tables: DataFrame) -> None:
     for t in tables:
         if path := getattr(t, "_written_to", None):
             remove(t.sparkSession, path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows and bytes of an Arrow batch at most, from here on in the session: rows that hold texts or groups of rows can be far larger than usual."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -125,7 +125,7 @@ def scored_in_bins(p: DataFrame, binned_records: DataFrame, feats: DataFrame, o:
     """Scores of pairs (bin, a, b). A pair that several bins of the same weights have is scored once."""
     weights = binned_records.select("bin", "weights").distinct()
     p = written(p.join(weights, "bin"), "pairs")
-    s = alignment.score_pairs(p.select("a", "b", "weights").distinct(), feats, None, o.alignment_mode, o.extend_strategy, o.settings)
+    s = alignment.score_pairs(p.groupBy("a", "b", "weights").agg(F.min("bin").alias("bin")), feats, None, o.alignment_mode, o.extend_strategy, o.settings)
     return p.join(s, ["a", "b", "weights"])
 
 
