@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlake.plans.model import spread
-from clusterlake.plans.scratch import released, shared_dir, written  # noqa: F401
+from clusterlake.plans.scratch import released, shared_dir, small_batches, written  # noqa: F401
 
 #: Ids that are broadcast at most (8 MB of them), and bits of a filter sent in their place beyond that (32 MB).
 BROADCAST_IDS, FILTER_BITS = 1_000_000, 1 << 28
@@ -22,12 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows and bytes in an Arrow batch at most; documents are kilobytes each, but some are far longer."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
