@@ -18,7 +18,7 @@ from clusterlake.llm.common import crc_mod, kept_rows, small_batches, table
 
 BUCKETS, GRAM, SWITCH, SMOOTH = 1 << 15, 3, 12.0, 0.5
 #: Letters of texts that are labelled together, so that memory is bounded.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: A language keeps the scripts of at least this share of its words.
 SCRIPT_SHARE = 0.01
 #: First code points of script ranges (Unicode blocks), and the script from there on.

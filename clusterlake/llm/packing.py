@@ -28,7 +28,7 @@ MAX_LEN, END_ID = 4096, 1
 #: Marks the end of a word for the byte-pair encoder.
 END = "\x01"
 #: Pieces that one worker keeps with their ids, twice (a full store becomes the older one, from which pieces in use come back); the longest that is kept, the longest that the byte-pair encoder gets, and the text bytes worked on at once.
-KEPT, KEPT_BYTES, LONGEST, AT_ONCE = 200_000, 64, 256, 2 << 20
+KEPT, KEPT_BYTES, LONGEST, AT_ONCE = 100_000, 64, 256, 1 << 20
 BLANK, LETTER, DIGIT, MARK, ODD = range(5)
 _TOKENIZERS: dict = {}
 
