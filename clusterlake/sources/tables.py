@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +115,11 @@ def read_sqlite_labels(spark: SparkSession, path: str) -> DataFrame:
     return membership_labels(of("bgc", "id long, orig_filename string"), of("gcf_membership", "bgc_id long, gcf_id long"), of("gcf", "id long, clustering_id long"), of("clustering", "id long, threshold double"))
 
 
+#: How the archive of a release of the reference set is named, before and after its version.
+RELEASE = ("mibig_antismash_", r"_gbk.*?\.tar\.bz2")
+
+
 def release_link(page: DataFrame, version: str) -> DataFrame:
     """(link): the archive of a version of the reference set, on a page of downloads (value); the first by name. Getting it is left to the caller, as nothing here opens connections."""
-    link = F.explode(F.regexp_extract_all("value", F.lit(r"(mibig_antismash_" + version.replace(".", r"\.") + r"_gbk.*?\.tar\.bz2)"), 1))
+    link = F.explode(F.regexp_extract_all("value", F.lit(f"({RELEASE[0]}{re.escape(version)}{RELEASE[1]})"), 1))
     return page.select(link.alias("link")).agg(F.min("link").alias("link"))
