@@ -19,6 +19,8 @@ WHERE = {
     "op8_licenses": "licenses",
     "op9_top_k": "vafile",
     "op10_byte_bpe": "byte_bpe",
+    "op11_alignment": "align",
+    "op12_divergence": "divergence",
 }
 
 
@@ -27,6 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from clusterlake.llm import chat, vafile
+    from clusterlake.llm import chat, divergence, vafile
 
-    return {"op6_chat": chat.SQL, "op9_top_k": vafile.SQL}
+    return {"op6_chat": chat.SQL, "op9_top_k": vafile.SQL, "op12_divergence": divergence.SQL}
