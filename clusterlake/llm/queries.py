@@ -21,6 +21,7 @@ WHERE = {
     "op10_byte_bpe": "byte_bpe",
     "op11_alignment": "align",
     "op12_divergence": "divergence",
+    "op13_html": "wrappers",
 }
 
 
@@ -29,6 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from clusterlake.llm import chat, divergence, vafile
+    from clusterlake.llm import chat, divergence, vafile, wrappers
 
-    return {"op6_chat": chat.SQL, "op9_top_k": vafile.SQL, "op12_divergence": divergence.SQL}
+    return {"op6_chat": chat.SQL, "op9_top_k": vafile.SQL, "op12_divergence": divergence.SQL, "op13_html": wrappers.SQL}

@@ -34,6 +34,8 @@ def awkward(spark, tmp_path_factory):
         spark.createDataFrame(l, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{top}/{name}/labels.parquet")
         e = [(1, [0.5, 0.25], 1), (20, [1.0, -1.0], 1), (40, [1.0], 2), (60, None, 1), (80, [float("nan"), 1.0], 1), (100, [None, 1.0], 1), (3, [0.5, 0.25], 1)]
         spark.createDataFrame(e if r else [], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{top}/{name}/embeddings.parquet")
+        w = [(1, None, None), (1, None, None), (None, "http://a.example.org/", "<p>x"), (2, "http://[", "<article><p>a &amp; b</p></article><nav>c</nav>")]
+        spark.createDataFrame([(*x, 1, "y") for x in w] if r else [], "page_id long, url string, html string, host int, slots string").coalesce(1).write.parquet(f"{top}/{name}/pages.parquet")
         c = [(1, 0, "user", None), (1, 1, "assistant", "a<|done|>b%25<"), (1, 1, "assistant", ""), (2, 5, None, "x"), (None, 0, "user", "y"), (3, 0, "assistant", "[INST]</s><s>%3C<<||")]
         spark.createDataFrame(c if r else [], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{top}/{name}/conversations.parquet")
     return f"{top}/some", f"{top}/none"
