@@ -50,9 +50,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--trees", action="store_true")
         for x in ("include-any", "include-all", "include-categories", "exclude-categories", "include-classes", "exclude-classes"):
             c.add_argument(f"--{x}", default="", help="a list with commas" + ", or @file, a domain list" * x.startswith("include-a"))
-        if name == "cluster":
-            c.add_argument("--store", help="a folder to go on from and add to")
-        else:
+        c.add_argument("--store", help="a folder to go on from and add to")
+        if name == "query":
             c.add_argument("--query-hash", required=True)
             c.add_argument("--record-number", type=int)
             c.add_argument("--propagate", action="store_true")
@@ -111,11 +110,13 @@ def main(args: list[str] | None = None) -> None:
             out = workflows.benchmark_run(spark, a.curated, a.computed)
     else:
         o = options(a, spark)
-        if a.command == "query":
-            out = workflows.query(spark, a.input, given_hits(spark, a, o), a.query_hash, o)
-        elif a.store:
+        if a.store:
             found = read_profiles(spark, a.profiles) if a.profiles else None
-            out = workflows.stored_cluster(spark, a.input, RunStore(spark, a.store), None if found is not None else given_hits(spark, a, o), found, o)
+            some = {"hits": None if found is not None else given_hits(spark, a, o), "found": found, "options": o}
+            store = RunStore(spark, a.store)
+            out = workflows.stored_cluster(spark, a.input, store, **some) if a.command == "cluster" else workflows.stored_query(spark, a.input, store, a.query_hash, **some)
+        elif a.command == "query":
+            out = workflows.query(spark, a.input, given_hits(spark, a, o), a.query_hash, o)
         else:
             out = workflows.cluster(spark, a.input, given_hits(spark, a, o), o)
         if a.trees:

@@ -93,13 +93,29 @@ def regions(pairs: DataFrame, feats: DataFrame, mode: str = "glocal", strategy:
     return _scored(pairs, feats, (), each, schema)
 
 
-def backfill_matches(edges: DataFrame, feats: DataFrame) -> DataFrame:
-    """Edges with (a, b, lcs_a_start, lcs_a_stop, lcs_b_start, lcs_b_stop, reverse); those of no length get the match that a local comparison would start from, in domain positions."""
-    cols = ["lcs_a_start", "lcs_a_stop", "lcs_b_start", "lcs_b_stop"]
+MATCH = ("lcs_a_start", "lcs_a_stop", "lcs_b_start", "lcs_b_stop")
+
+
+def lacking_matches(edges: DataFrame, feats: DataFrame) -> DataFrame | None:
+    """The edges whose match has no length, with the match that a local comparison would start from, in domain positions; written, or None if there are none. Of edges (bin, a, b, lcs_a_start, lcs_a_stop, lcs_b_start, lcs_b_stop, reverse)."""
     lacking = edges.where("lcs_a_stop <= lcs_a_start")
-    m = regions(lacking.select("bin", "a", "b").dropDuplicates(["a", "b"]), feats, "local").select("a", "b", *(F.col(f"lcs_{x}").alias(f"_{c}") for c, x in zip(cols, ("a0", "a1", "b0", "b1"), strict=True)), F.col("reverse").alias("_reverse"))
-    filled = edges.join(m, ["a", "b"], "left")
-    return filled.select(*(F.coalesce(f"_{c}", c).alias(c) if c in (*cols, "reverse") else F.col(c) for c in edges.columns))
+    if lacking.isEmpty():
+        return None
+    m = regions(lacking.select("bin", "a", "b").dropDuplicates(["a", "b"]), feats, "local").select("a", "b", *(F.col(f"lcs_{x}").alias(f"_{c}") for c, x in zip(MATCH, ("a0", "a1", "b0", "b1"), strict=True)), F.col("reverse").alias("_reverse"))
+    filled = lacking.join(m.where("_lcs_a_stop > _lcs_a_start"), ["a", "b"])
+    filled = written(filled.select(*(F.col(f"_{c}").alias(c) if c in (*MATCH, "reverse") else F.col(c) for c in edges.columns)), "filled")
+    return None if filled.isEmpty() else filled
+
+
+def with_matches(edges: DataFrame, filled: DataFrame) -> DataFrame:
+    """Edges, those that have been filled in in their place."""
+    return edges.join(filled.select("bin", "a", "b"), ["bin", "a", "b"], "left_anti").unionByName(filled)
+
+
+def backfill_matches(edges: DataFrame, feats: DataFrame) -> DataFrame:
+    """All edges, those whose match had no length with the one that a local comparison would start from."""
+    filled = lacking_matches(edges, feats)
+    return edges if filled is None else with_matches(edges, filled)
 
 
 def greedy_regions(pairs: DataFrame, domains: DataFrame) -> DataFrame:

@@ -50,8 +50,13 @@ class Settings:
     kmer: int = 10
     scaled: int = 100
 
+    def scoring(self) -> dict:
+        """The values that the score of two records with given features depends on."""
+        own = ("anchor_domains", "no_min_classes", "lcs_min", "lcs_min_protocluster", "extend_min", "extend_min_core", "extend_min_protocluster", "extend_match", "extend_mismatch", "extend_gap", "extend_max_gap")
+        return {k: getattr(self, k) for k in own}
+
     def digest(self) -> str:
-        """Changes when a value does; a run may only go on with results of the same digest."""
+        """Changes when a value does; a run only goes on with results of the same digest."""
         return hashlib.sha256(repr([(f.name, getattr(self, f.name)) for f in fields(self)]).encode()).hexdigest()
 
     @classmethod

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, state
+from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, similarity, state
 from clusterlake.plans import outputs, workflows
 from clusterlake.plans.config import Settings
 from clusterlake.plans.file_queries import scratch_folder
-from clusterlake.plans.model import SQL_GENES, SQL_RECORDS, genes, records, table
+from clusterlake.plans.model import ANCHORS, SQL_GENES, SQL_RECORDS, WEIGHTS, genes, records, table
 from clusterlake.plans.queries import COMPONENTS, EDGES, edges, kernel_features, network, query
 from clusterlake.plans.scratch import written
 from clusterlake.plans.store import RunStore
@@ -182,14 +182,15 @@ def chunked_scan(spark, sf):
 
 @query("SELECT CASE WHEN s < g THEN 'SAVE_FILES' WHEN sc < ge THEN 'SCAN' WHEN al < h THEN 'ALIGN' ELSE 'COMPARE' END AS task FROM (SELECT (SELECT count(*) FROM customer) AS s, (SELECT count(*) FROM customer) AS g, (SELECT count(*) FROM orders) AS ge, (SELECT count(*) FROM orders) AS sc, (SELECT count(*) FROM lineitem) AS h, (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R') AS al)")
 def first_unfinished_task(spark, sf):
-    """Files and genes are stored, some hits aren't aligned."""
+    """Files are stored and scanned, some hits aren't aligned."""
     s = RunStore(spark, scratch_folder(spark, "store"))
     c, o, li = (table(spark, sf, x) for x in ("customer", "orders", "lineitem"))
     files = c.select(F.col("c_custkey").cast("string").alias("hash"))
-    s.save("containers", files)
-    s.save("genes", o.select(F.col("o_orderkey").alias("gene_id"), F.lit(True).alias("scanned")))
-    s.save("hits", li.select(F.col("l_orderkey").alias("orf"), F.when(F.col("l_returnflag") != "R", "A").alias("alignment")))
-    return spark.createDataFrame([(s.task(files),)], "task string")
+    with s.transaction() as t:
+        t.save("files", files.withColumn("force", F.lit(False)))
+        t.save("scanned", files.withColumn("profile_set", F.lit("p")))
+        t.save("hits", li.join(o, li.l_orderkey == o.o_orderkey).select(F.lit("p").alias("profile_set"), F.col("o_custkey").cast("string").alias("hash"), F.when(F.col("l_returnflag") != "R", "A").alias("alignment")))
+    return spark.createDataFrame([(s.task(files, "p"),)], "task string")
 
 
 @query("SELECT l_orderkey AS orf, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
@@ -198,16 +199,46 @@ def missing_alignments(spark, sf):
     return state.without_alignment(li.select(F.col("l_orderkey").alias("orf"), "l_linenumber", F.when(F.col("l_returnflag") != "R", "A").alias("alignment"))).select("orf", "l_linenumber")
 
 
-@query("SELECT true AS same, false AS other")
+@query("SELECT DISTINCT o_orderpriority AS digest, o_orderpriority = (SELECT o_orderpriority FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) AS same FROM orders")
 def settings_of_runs(spark, sf):
-    """The newest run had these settings, and not others."""
-    from dataclasses import replace
+    """Which settings the newest run had; orders as runs, their priorities as settings."""
+    runs = table(spark, sf, "orders").select(F.struct("o_orderdate", "o_orderkey").alias("started"), F.col("o_orderpriority").alias("digest"))
+    every = [r["digest"] for r in runs.select("digest").distinct().collect()]  # five
+    return spark.createDataFrame([(d, state.same_settings(runs, d)) for d in every], "digest string, same boolean")
 
-    s = RunStore(spark, scratch_folder(spark, "store"))
-    s.start(Settings())
-    runs = s.load("runs")
-    other = replace(Settings(), lcs_min=0.2).digest()
-    return spark.createDataFrame([(state.same_settings(runs, Settings().digest()), state.same_settings(runs, other))], "same boolean, other boolean")
+
+CHOSEN = "('1-URGENT', '2-HIGH', '3-MEDIUM')"
+
+
+def edges_of_two_runs(spark, sf) -> tuple[RunStore, DataFrame, DataFrame]:
+    """A store with the edges of two sets of weights, the records' features, and the records of a third run."""
+    s, feats, o = RunStore(spark, scratch_folder(spark, "store")), written(kernel_features(spark, sf), "features"), workflows.Options()
+    for w in ("mix", "RiPP"):
+        workflows.store_edges(s, similarity.scored_pairs(records(spark, sf), genes(spark, sf), ANCHORS, WEIGHTS[w]).withColumn("weights", F.lit(w)), feats, o)
+    return s, feats, records(spark, sf).where(f"category IN {CHOSEN}")
+
+
+def _of_weights(w: str) -> str:
+    return f"WITH {SQL_RECORDS}, {SQL_GENES}, {similarity.sql_edges(ANCHORS, WEIGHTS[w])} SELECT edge.bin, a, b, distance FROM edge JOIN rec x ON x.record_id = a JOIN rec y ON y.record_id = b WHERE x.category IN {CHOSEN} AND y.category IN {CHOSEN}"
+
+
+@query(f"SELECT 'mix' AS weights, * FROM ({_of_weights('mix')}) UNION ALL SELECT 'RiPP', * FROM ({_of_weights('RiPP')})")
+def edges_by_parameters(spark, sf):
+    """Edges of two sets of weights in one store: a run gets those of its own parameters, between its own records."""
+    s, feats, chosen = edges_of_two_runs(spark, sf)
+    b = chosen.select("bin", "record_id")
+    out = [workflows.stored_edges(s, b.withColumn("weights", F.lit(w)), feats, workflows.Options()) for w in ("mix", "RiPP")]
+    return out[0].unionByName(out[1]).select("weights", "bin", "a", "b", "distance")
+
+
+@query("SELECT 0 AS edges")
+def edges_of_other_features(spark, sf):
+    """Stored edges of records whose features have changed since: a run gets none, nor under another strategy."""
+    s, feats, chosen = edges_of_two_runs(spark, sf)
+    b = chosen.select("bin", "record_id").withColumn("weights", F.lit("mix"))
+    changed = workflows.stored_edges(s, b, feats.withColumn("contig_edge", ~F.coalesce("contig_edge", F.lit(False))), workflows.Options())
+    other = workflows.stored_edges(s, b, feats, workflows.Options(extend_strategy="greedy"))
+    return changed.unionByName(other).agg(F.count(F.lit(1)).cast("int").alias("edges"))
 
 
 @query("SELECT o_orderkey AS k, max(l_shipdate::VARCHAR || l_partkey) IS NOT NULL AS changed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

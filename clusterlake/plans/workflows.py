@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, sketches
+from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, sketches, state
 from clusterlake.plans import outputs
 from clusterlake.plans.config import Settings
+from clusterlake.plans.model import WEIGHTS
 from clusterlake.plans.scratch import written
-from clusterlake.plans.store import RunStore
-from clusterlake.sources.genbank import read_files, tables
+from clusterlake.plans.store import RunStore, identity
+from clusterlake.sources.genbank import found_files, listed, parsed, read_files, tables
 from clusterlake.sources.tables import read_labels, read_run_labels
 
 LEVELS = ("region", "cand_cluster", "protocluster", "proto_core")
@@ -69,6 +71,12 @@ class Options:
             raise ValueError("a file has one region; numbers tell records below it apart")
 
 
+    def identity(self) -> dict:
+        """All choices, by name: what a run's results depend on besides its input."""
+        own = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "settings"}
+        return own | {"settings": self.settings.digest()}
+
+
 def record_genes(records: DataFrame, genes: DataFrame, hits: DataFrame, every: DataFrame) -> DataFrame:
     """(record_id, orf, strand, is_core, in_protocore, hsps): genes within each record, of a region all of its file, with their hits in order.
 
@@ -145,7 +153,11 @@ def hits_that_stay(hits: DataFrame, share: float) -> DataFrame:
 
 def loaded(spark: SparkSession, folder: str, hits: DataFrame, o: Options) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables of a folder, and the hits of its files, both without overlaps. errors lists files that can't be read; by default they end the run."""
-    files = written(read_files(spark, folder, o.include_files, o.exclude_files, force=o.force), "files")
+    return of_files(written(read_files(spark, folder, o.include_files, o.exclude_files, force=o.force), "files"), hits, o)
+
+
+def of_files(files: DataFrame, hits: DataFrame, o: Options) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The same of parsed files."""
     bad = files.where("error IS NOT NULL").select("path", "error")
     if o.bad_files == "raise" and (some := bad.orderBy("path").limit(10).collect()):
         raise ValueError(f"{bad.count()} files can't be read, among them: " + "; ".join(f"{r['path']}: {r['error']}" for r in some))
@@ -186,16 +198,44 @@ def results(out: dict[str, DataFrame], r: DataFrame, t: dict[str, DataFrame], o:
     return out | tables_ | {"records": r, "containers": t["containers"], "errors": t["errors"]}
 
 
+#: Edges of a run that are there already, and what to do with those that a run has scored: given bins, features and options.
+Known = Callable[[DataFrame, DataFrame, Options], DataFrame]
+Keep = Callable[[DataFrame, DataFrame, Options], None]
+
+
+def within(edges: DataFrame, b: DataFrame) -> DataFrame:
+    """Edges both ends of which are records of their bin."""
+    ends = b.select("bin", "record_id").distinct()
+    return edges.join(ends.withColumnRenamed("record_id", "a"), ["bin", "a"], "left_semi").join(ends.withColumnRenamed("record_id", "b"), ["bin", "b"], "left_semi")
+
+
 def cluster(spark: SparkSession, folder: str, hits: DataFrame, options: Options | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All records against all of their bin: edges, components, families, singletons and the result tables. Edges that are stored are not computed again; matches they lack are filled in."""
+    """All records against all of their bin: edges, components, families, singletons and the result tables.
+
+    stored: edges of an earlier run with the same options, of records of the same features. Those of records that are in this run, too,
+    are not computed again; matches they lack are filled in. stored_cluster() sees to all that by itself.
+    """
     o = options or Options()
     t, h = loaded(spark, folder, hits, o)
+    return clustered(t, h, o, None if stored is None else lambda b, feats, o: within(stored, b))
+
+
+def clustered(t: dict[str, DataFrame], h: DataFrame, o: Options, known: Known | None = None, keep: Keep | None = None) -> dict[str, DataFrame]:
+    """cluster() of tables."""
     r, feats = prepared(t, h, o)
     b = written(binned(r, o), "bins")
-    if stored is not None:
-        stored = written(alignment.backfill_matches(stored, feats), "stored")
-    e = scored(b, feats, o, stored)
-    e = written(e if stored is None else stored.unionByName(e, allowMissingColumns=True), "edges")
+    e, stored = None, None
+    if known is not None and (found := known(b, feats, o)) is not None:
+        stored = written(found, "stored")
+        filled = alignment.lacking_matches(stored, feats)
+        if filled is not None:
+            if keep is not None:
+                keep(filled, feats, o)
+            stored = written(alignment.with_matches(stored, filled), "stored")
+    e = written(scored(b, feats, o, stored), "edges")
+    if keep is not None:
+        keep(e, feats, o)
+    e = e if stored is None else written(stored.unionByName(e, allowMissingColumns=True), "edges")
     return results(network(b, e, o) | {"bins": b, "features": feats, "hits": h, "genes": t["genes"]}, r, t, o)
 
 
@@ -219,6 +259,11 @@ def query(spark: SparkSession, folder: str, hits: DataFrame, query_hash: str, op
     """
     o = options or Options()
     t, h = loaded(spark, folder, hits, o)
+    return queried(t, h, query_hash, o, None if stored is None else lambda b, feats, o: within(stored, b))
+
+
+def queried(t: dict[str, DataFrame], h: DataFrame, query_hash: str, o: Options, known: Known | None = None, keep: Keep | None = None) -> dict[str, DataFrame]:
+    """query() of tables."""
     r, feats = prepared(t, h, o)
     start = r.join(t["containers"].where(F.col("hash") == query_hash).select("container_id"), "container_id", "left_semi")
     start = written(filters.with_number(start, o.record_number).select("record_id"), "start")
@@ -226,7 +271,9 @@ def query(spark: SparkSession, folder: str, hits: DataFrame, query_hash: str, op
         raise ValueError("the query file has no such record")
     b = query_bin(r, start, o)
     tokens = written(b.select("bin", "record_id", "container_id").join(tokens_of(feats), "record_id"), "tokens")
-    done, seen, front = stored, start, start
+    done = known(b, feats, o) if known is not None else None
+    done = None if done is None else written(done, "stored")
+    first, seen, front = done, start, start
     while True:
         asked = pairs.pairs_with(tokens.join(front, "record_id", "left_semi"), tokens)
         new = written(scored_in_bins(asked if done is None else pairs.missing_pairs(asked, done), b, feats, o), "edges")
@@ -242,6 +289,9 @@ def query(spark: SparkSession, folder: str, hits: DataFrame, query_hash: str, op
             break
     inside = tokens.join(seen, "record_id", "left_semi")
     edges = written(done.unionByName(scored_in_bins(pairs.missing_pairs(pairs.pairs_with(inside, inside), done), b, feats, o), allowMissingColumns=True), "edges")
+    if keep is not None:
+        keep(edges if first is None else pairs.missing_edges(edges, first), feats, o)
+    edges = written(within(edges, b.join(seen, "record_id", "left_semi")), "edges") if first is not None else edges
     return results(network(b.join(seen, "record_id", "left_semi"), edges, o) | {"features": feats}, r.join(seen, "record_id", "left_semi"), t, o) | {"reached": seen}
 
 
@@ -255,22 +305,143 @@ def scanned(spark: SparkSession, files: DataFrame, found: DataFrame, o: Options)
     return hits.select("hash", "orf", "accession", F.col("start").alias("env_start"), F.col("stop").alias("env_stop"), F.col("score").alias("bit_score"), "alignment")
 
 
+def profile_set(profiles: DataFrame) -> str:
+    """The id of a set of profiles by its contents, whatever their order."""
+    each = F.xxhash64("accession", "trusted_domain", "body").cast("decimal(38,0)")
+    n = profiles.agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("a"), F.sum(F.xxhash64(F.lit(1), "accession", "body").cast("decimal(38,0)")).alias("b")).first()
+    return identity({"profiles": n["n"], "a": str(n["a"]), "b": str(n["b"])})
+
+
+def edge_parameters(store: RunStore, names: Iterable[str], o: Options) -> dict[str, str]:
+    """The id of the parameters that pairs of each set of weights are scored with."""
+    return {w: store.parameters("edges", {"weights": WEIGHTS.get(w, WEIGHTS["mix"]), "alignment_mode": o.alignment_mode, "extend_strategy": o.extend_strategy, **o.settings.scoring()}) for w in names}
+
+
+def digests(feats: DataFrame) -> DataFrame:
+    """(record_id, features): what a record's scores depend on, as a number of 60 bits."""
+    text = F.to_json(F.struct("kind", "product", "contig_edge", "genes"), {"ignoreNullFields": "false"})
+    return feats.select("record_id", F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("features"))
+
+
+def _named(df: DataFrame, ids: dict[str, str], source: str, target: str) -> DataFrame:
+    """With a column of names for ids, or of ids for names: a few sets of weights."""
+    pairs_ = [(v, k) if source == "param_id" else (k, v) for k, v in sorted(ids.items())]
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(pairs_, f"{source} string, {target} string")), source)
+
+
+def stored_edges(store: RunStore, b: DataFrame, feats: DataFrame, o: Options) -> DataFrame | None:
+    """Edges of the records of bins (bin, record_id, weights), as they are now, that are stored with the parameters of the options: none of other records, of others' features or parameters."""
+    e = store.load("edges")
+    if e is None:
+        return None
+    ids = edge_parameters(store, [r["weights"] for r in b.select("weights").distinct().collect()], o)
+    d = written(digests(feats), "digests")
+    side = lambda s: d.select(F.col("record_id").alias(s), F.col("features").alias(f"{s}_features"))
+    e = e.join(side("a"), ["a", "a_features"], "left_semi").join(side("b"), ["b", "b_features"], "left_semi").drop("a_features", "b_features")
+    e = _named(e, ids, "param_id", "weights").drop("param_id")
+    e = e.join(b.select("bin", "weights", F.col("record_id").alias("a")).distinct(), ["weights", "a"])
+    return e.join(b.select("bin", F.col("record_id").alias("b")).distinct(), ["bin", "b"], "left_semi")
+
+
+def store_edges(store: RunStore, e: DataFrame, feats: DataFrame, o: Options) -> None:
+    """Stores edges (weights, a, b, ...) with their parameters and the digests of both ends; one that is there is replaced, as it has got its match since."""
+    ids = edge_parameters(store, [r["weights"] for r in e.select("weights").distinct().collect()], o)
+    if not ids:
+        return
+    d = written(digests(feats), "digests")
+    side = lambda s: d.select(F.col("record_id").alias(s), F.col("features").alias(f"{s}_features"))
+    rows = _named(e.drop("bin").dropDuplicates(["weights", "a", "b"]), ids, "weights", "param_id").drop("weights").join(side("a"), "a").join(side("b"), "b")
+    key = ("param_id", "a", "b", "a_features", "b_features")
+    rows = written(rows.select(*key, *(c for c in rows.columns if c not in key)), "edges")
+    with store.transaction() as t:
+        old = t.load("edges")
+        again = old is not None and not rows.join(old.select(*key), list(key), "left_semi").isEmpty()
+        t.add("edges", rows, replace=True) if again else t.append("edges", rows)
+
+
+class StoredRun:
+    """A run whose tables are in a store: it does the first task that isn't done, until none is left. A run that was killed goes on with that one when it is called again with the same options and input."""
+
+    def __init__(self, spark: SparkSession, folder: str, store: RunStore, hits: DataFrame | None, found: DataFrame | None, o: Options, query_hash: str | None = None):
+        if (hits is None) == (found is None):
+            raise ValueError("either hits or profiles are needed")
+        self.spark, self.store, self.o, self.query_hash = spark, store, o, query_hash
+        self.files = found_files(spark, folder, o.include_files, o.exclude_files)
+        self.listed = written(listed(self.files), "listed")
+        self.profiles, self.given = found, hits
+        self.profile_set = profile_set(found) if found is not None else None
+        inputs = self.listed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("x")).first()
+        self.run_id = store.begin(identity({"options": o.identity(), "files": [inputs["n"], str(inputs["x"])], "profile_set": self.profile_set, "query": query_hash}), repr(o))
+        self.out: dict[str, DataFrame] | None = None
+
+    def run(self) -> dict[str, DataFrame]:
+        steps = {"SAVE_FILES": self.save_files, "SCAN": self.scan, "ALIGN": self.align}
+        while (task := self.store.task(self.listed, self.profile_set, self.o.force)) in steps:
+            self.note(task)
+            steps[task]()
+        self.note("COMPARE")
+        self.compare()
+        return self.out
+
+    def note(self, task: str) -> None:
+        change = self.spark.createDataFrame([(self.run_id, task)], "run_id string, task string")
+        with self.store.transaction() as t:
+            t.save("runs", state.update(t.load("runs"), change, "run_id"))
+
+    def save_files(self) -> None:
+        """Parses the files whose contents aren't stored."""
+        old = self.store.load("files")
+        new = self.listed if old is None else state.missing(self.listed, old.where(F.col("force") == self.o.force), "hash")
+        rows = parsed(self.files, self.o.force, new).drop("path").withColumn("force", F.lit(self.o.force))
+        with self.store.transaction() as t:
+            t.add("files", rows)
+
+    def own_files(self) -> DataFrame:
+        """Stored files of this run, by the paths they have in it."""
+        return self.store.load("files").where(F.col("force") == self.o.force).drop("force").join(self.listed, "hash")
+
+    def scan(self, files: DataFrame | None = None) -> None:
+        """Searches the files that these profiles haven't been searched for in; hits, and that the file was scanned, are noted together."""
+        with self.store.transaction() as t:
+            old = t.load("scanned")
+            new = files if files is not None else self.own_files() if old is None else state.missing(self.own_files(), old.where(F.col("profile_set") == self.profile_set), "hash")
+            new = written(new, "files")
+            t.add("hits", scanned(self.spark, new.where("error IS NULL"), self.profiles, self.o).withColumn("profile_set", F.lit(self.profile_set)), replace=files is not None)
+            t.add("scanned", new.select(F.lit(self.profile_set).alias("profile_set"), "hash"))
+
+    def align(self) -> None:
+        """Searches files again that have hits without an alignment; these hits go."""
+        lacking = self.store.load("hits").where((F.col("profile_set") == self.profile_set) & F.col("alignment").isNull()).select("hash").distinct()
+        again = written(self.own_files().join(lacking, "hash", "left_semi"), "files")
+        with self.store.transaction() as t:
+            t.save("hits", t.load("hits").where(~((F.col("profile_set") == self.profile_set) & F.col("alignment").isNull())))
+        self.scan(again)
+
+    def compare(self) -> None:
+        """Scores the pairs that have no edge yet; then notes the records of the run, and that it is done."""
+        hits = self.given if self.given is not None else self.store.load("hits").where(F.col("profile_set") == self.profile_set).drop("profile_set")
+        t, h = of_files(written(self.own_files(), "files"), hits, self.o)
+        known = lambda b, feats, o: stored_edges(self.store, b, feats, o)
+        keep = lambda e, feats, o: store_edges(self.store, e, feats, o)
+        self.out = clustered(t, h, self.o, known, keep) if self.query_hash is None else queried(t, h, self.query_hash, self.o, known, keep)
+        bins_ = self.out["bins"] if "bins" in self.out else self.out["reached"].withColumn("bin", F.lit(self.query_hash))
+        with self.store.transaction() as x:
+            for name in ("containers", "records", "genes"):
+                if name in self.out:
+                    x.add(name, self.out[name])
+            x.add("members", bins_.select(F.lit(self.run_id).alias("run_id"), F.col("bin").cast("string").alias("bin"), "record_id"))
+            done = self.spark.createDataFrame([(self.run_id, "DONE")], "run_id string, task string")
+            x.save("runs", state.update(x.load("runs"), done, "run_id"))
+
+
 def stored_cluster(spark: SparkSession, folder: str, store: RunStore, hits: DataFrame | None = None, found: DataFrame | None = None, options: Options | None = None) -> dict[str, DataFrame]:
-    """cluster(), going on from what is in the store, and adding to it as it gets done: only files that aren't there are scanned with the profiles found, only edges that aren't there are scored."""
-    o = options or Options()
-    store.start(o.settings)
-    files = written(read_files(spark, folder, o.include_files, o.exclude_files, force=o.force), "files")
-    known = store.load("scanned")
-    if hits is None:
-        new = files if known is None else files.join(known, "hash", "left_anti")
-        store.add("hits", scanned(spark, new.where("error IS NULL"), found, o))
-        store.add("scanned", new.select("hash"), keys=("hash",))
-        hits = store.load("hits")
-    out = cluster(spark, folder, hits, o, store.load("edges"))
-    store.add("edges", out["edges"])
-    for name in ("containers", "records", "genes"):
-        store.add(name, out[name])
-    return out
+    """cluster(), going on from what is in the store and adding to it as it gets done: only files whose contents aren't there are parsed, only those that the profiles found haven't been searched for in are scanned, only pairs without an edge of these parameters and features are scored."""
+    return StoredRun(spark, folder, store, hits, found, options or Options()).run()
+
+
+def stored_query(spark: SparkSession, folder: str, store: RunStore, query_hash: str, hits: DataFrame | None = None, found: DataFrame | None = None, options: Options | None = None) -> dict[str, DataFrame]:
+    """query() in the same way."""
+    return StoredRun(spark, folder, store, hits, found, options or Options(), query_hash).run()
 
 
 def trees(out: dict[str, DataFrame], o: Options) -> DataFrame:
@@ -330,10 +501,10 @@ def benchmark_labels(spark: SparkSession, curated: str, computed: DataFrame) ->
     """Measures for each cutoff of labels (cutoff, item, label) against a curated file."""
     labels = written(computed.withColumnRenamed("label", "computed").join(read_labels(spark, curated).withColumnRenamed("label", "curated"), "item"), "labels")
     out = {"by_cutoff": evaluate.by_cutoff(labels)}
-    for c in sorted(r["cutoff"] for r in labels.select("cutoff").distinct().limit(1001).collect()):  # cutoffs are options of a run
+    for c in sorted(r["cutoff"] for r in labels.select("cutoff").distinct().collect()):  # cutoffs are options of a run, a result each
         own = labels.where(F.col("cutoff") == c).drop("cutoff")
         out |= {f"{f.__name__}_c{c}": f(own) for f in (evaluate.purity_and_entropy, evaluate.v_measure, evaluate.associations, evaluate.confusion, evaluate.summary)}
     return out
 
 
-__all__ = ["Options", "benchmark", "benchmark_run", "cluster", "dereplicate", "protein_items", "query", "scanned", "stored_cluster", "trees"]
+__all__ = ["Options", "benchmark", "benchmark_run", "cluster", "dereplicate", "protein_items", "query", "scanned", "stored_cluster", "stored_query", "trees"]

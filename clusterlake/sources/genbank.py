@@ -6,12 +6,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from clusterlake.functions.biology import in_frame, reverse_complement, translate
 from clusterlake.operators.filters import file_name_filter
+from clusterlake.plans.scratch import small_batches, written
 
 #: Kinds of candidate clusters whose protoclusters are merged.
 MERGED_KINDS = ("chemical_hybrid", "interleaved")
@@ -228,10 +231,15 @@ def parse_file(path: str, content: bytes, force: bool = False) -> dict:
     return row
 
 
-def read_files(spark: SparkSession, path: str, include: tuple[str, ...] = ("cluster", "region"), exclude: tuple[str, ...] = ("final",), recursive: bool = True, force: bool = False) -> DataFrame:
-    """Parsed .gbk files of a folder, one row each, of equal contents the least path. Names are tested before contents are read; files are parsed where they are read."""
+def found_files(spark: SparkSession, path: str, include: tuple[str, ...] = ("cluster", "region"), exclude: tuple[str, ...] = ("final",), recursive: bool = True) -> DataFrame:
+    """(path, content) of the .gbk files of a folder; names are tested before contents are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gbk").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return parsed(files.where(file_name_filter(F.element_at(F.split("path", "/"), -1), include, exclude)), force)
+    return files.where(file_name_filter(F.element_at(F.split("path", "/"), -1), include, exclude)).select("path", "content")
+
+
+def read_files(spark: SparkSession, path: str, include: tuple[str, ...] = ("cluster", "region"), exclude: tuple[str, ...] = ("final",), recursive: bool = True, force: bool = False) -> DataFrame:
+    """Parsed .gbk files of a folder, one row each, of equal contents the least path; files are parsed where they are read."""
+    return parsed(found_files(spark, path, include, exclude, recursive), force)
 
 
 #: Fixed value: what names of files of the reference set hold.
@@ -243,18 +251,30 @@ def read_reference_set(spark: SparkSession, path: str, exclude: tuple[str, ...]
     return read_files(spark, path, REFERENCE_SET, exclude, force=force)
 
 
-def parsed(files: DataFrame, force: bool = False) -> DataFrame:
-    """Rows (path, content) parsed where they are; of equal contents the least path."""
-    files = files.select("path", F.col("content").cast("binary").alias("content"))
+#: Paths that are broadcast at most.
+FEW_PATHS = 1_000_000
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """(path, hash) of files (path, content), which are hashed where they are read: of equal contents the least path."""
+    return files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash")).groupBy("hash").agg(F.min("path").alias("path")).select("path", "hash")
+
+
+def parsed(files: DataFrame, force: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """Rows (path, content) parsed where they are; of equal contents the least path. Hashes are compared before anything is parsed: a copy never is, and with only (path, hash), a part of listed(), no other file."""
+    keep = written(listed(files) if only is None else only, "paths")
+    keep = F.broadcast(keep) if keep.count() <= FEW_PATHS else keep
+    files = files.select("path", F.col("content").cast("binary").alias("content")).join(keep.select("path"), "path")
+    arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([parse_file(p, bytes(c), force) for p, c in zip(f["path"], f["content"], strict=True)], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 20):
+                rows = [parse_file(r["path"], r["content"] or b"", force) for r in b.slice(i, 20).to_pylist()]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    names = ["path", "hash", "nt_len", "organism", "taxonomy", "description", "version", "records", "cds", "error"]
-    first = files.mapInPandas(run, SCHEMA)
-    cols = [c for c in names if c not in ("hash", "path")]
-    return first.groupBy("hash").agg(F.min(F.struct("path", *(c for c in cols if c not in ("records", "cds")), "records", "cds")).alias("x")).select("hash", "x.*").select(*names)
+    small_batches(files.sparkSession, 100)
+    return files.mapInArrow(run, SCHEMA)
 
 
 def tables(files: DataFrame) -> dict[str, DataFrame]:

@@ -218,8 +218,9 @@ def test_command_line(spark, folder, hits, tmp_path):
     main(["cluster", *some, "-o", f"{tmp_path}/one", "--store", f"{tmp_path}/store"])
     main(["cluster", *some, "-o", f"{tmp_path}/two", "--store", f"{tmp_path}/store"])
     assert sorted(tsv("one/full_network").collect()) == sorted(tsv("two/full_network").collect())
-    with pytest.raises(ValueError, match="settings"):
-        main(["cluster", *some, "-o", f"{tmp_path}/three", "--store", f"{tmp_path}/store", "--config", f"{tmp_path}/config.yml"])
+    main(["cluster", *some, "-o", f"{tmp_path}/three", "--store", f"{tmp_path}/store", "--config", f"{tmp_path}/config.yml"])
+    main(["cluster", *some, "-o", f"{tmp_path}/four", "--config", f"{tmp_path}/config.yml"])
+    assert sorted(tsv("three/full_network").collect()) == sorted(tsv("four/full_network").collect())
     h = read_files(spark, folder).where(F.col("path").contains("three")).first()["hash"]
     main(["query", *some, "-o", f"{tmp_path}/query", "--query-hash", h, "--record-type", "protocluster", "--record-number", "1", "--classify", "category", "--propagate"])
     assert tsv("query/reached").count() >= 2
