@@ -6,8 +6,8 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,14 @@ from clusterlake.llm.common import small_batches, table, written
 HEAD = 1_000_000
 #: Pairs that a task adds up before it passes them on, and that one group unfolds at a time.
 HELD = 2_000_000
-#: A word of up to so many characters is aligned once for a worker, which keeps so many of them.
-WORD, WORDS = 64, 100_000
+#: A word of up to so many characters is cut into tokens once for a worker, which keeps so many of them.
+WORD, WORDS = 64, 200_000
 #: Label of a byte: no token ends there, one of A, one of B, one of both.
 NONE, A_END, B_END, BOTH = b".", b"a", b"b", b"*"
 _MARKS = np.frombuffer(NONE + A_END + B_END + BOTH, np.uint8)
 _SPAN = re.compile(rb"[^*]*\*")
+#: A space after a visible character and before an ASCII letter.
+_WORDS = re.compile(r"(?<=\S) (?=[A-Za-z])")
 _BUILT: dict = {}
 
 
@@ -55,30 +57,36 @@ def groups_of(labels: bytes, seen: dict | None = None) -> np.ndarray:
     return np.array([counts[s] for s in spans], np.int64).reshape(-1, 2)
 
 
-def linked(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys a * width + b of the token pairs that share a group, distinct and sorted, and how often each is linked.
+def linked(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, width: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys a * width + b of the token pairs that share a group, distinct and sorted, and how often each is linked; with of, numbers that are added to the keys of a group.
 
     Groups of few links are unfolded; in one of many, equal ids are counted first, so that its links are products of counts.
     """
     na, nb = sizes[:, 0], sizes[:, 1]
     links = na * nb
+    of = np.zeros(len(sizes), np.int64) if of is None else of
     first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
     keys, times = [], []
     few = np.flatnonzero(links <= 4096)
-    n = links[few]
-    for part in np.split(np.arange(len(few)), np.flatnonzero(np.diff(np.cumsum(n) // HELD)) + 1) if len(few) else []:
-        g, m = few[part], n[part]
+    upto = np.cumsum(links[few])
+    begin = 0
+    while begin < len(few):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HELD, "right")))
+        g = few[begin:end]
+        m = links[g]
         at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
         of_b = np.repeat(nb[g], m)
-        k, t = np.unique(a[np.repeat(first_a[g], m) + at // of_b].astype(np.int64) * width + b[np.repeat(first_b[g], m) + at % of_b], return_counts=True)
+        k = a[np.repeat(first_a[g], m) + at // of_b].astype(np.int64) * width + b[np.repeat(first_b[g], m) + at % of_b] + np.repeat(of[g], m)
+        k, t = np.unique(k, return_counts=True)
         keys.append(k)
         times.append(t)
+        begin = end
     for g in np.flatnonzero(links > 4096):
         x, p = np.unique(a[first_a[g] : first_a[g] + na[g]], return_counts=True)
         y, q = np.unique(b[first_b[g] : first_b[g] + nb[g]], return_counts=True)
-        keys.append((x.astype(np.int64)[:, None] * width + y).ravel())
+        keys.append((x.astype(np.int64)[:, None] * width + y).ravel() + of[g])
         times.append((p[:, None] * q).ravel())
-    return merged(keys, times)
+    return (keys[0], times[0]) if len(keys) == 1 else merged(keys, times)
 
 
 def merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,68 +122,92 @@ class Aligner:
         self.by_words = not any(re.search("[^▁]▁", x) for x in names)  # no piece of B goes on over a space
         self.words: dict = {}
         self.spans = _Counts()
+        self.lengths = [np.array([len(x) for x in each], np.int64) for each in (self.a_bytes, self.b_bytes)]
+        self.shown = {(side, end): np.array([f"{i}{end}" for i in range(n)], object) for side, n in enumerate(map(len, (self.a_bytes, self.b_bytes))) for end in ",|;"}
 
     def words_of(self, text: str) -> list[str]:
         """Parts of space + text, each without its first space."""
         if not self.by_words:
             return [text]
-        out, held = [], None
-        for w in text.split(" "):
-            if held is None:
-                held = w
-            elif held and not held[-1].isspace() and w and w[0].isascii() and w[0].isalpha():
-                out.append(held)
-                held = w
-            else:
-                held += " " + w
-        out.append(held)
-        return out
-
-    def fresh(self, words: list[str]) -> list[tuple]:
-        """(tokens of A, of B, groups, links, groups as text, keys, times) of words; None if the two don't spell the same bytes."""
-        out = []
-        for w, a, b in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True):
-            a = a.ids
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            whole = (" " + w).encode()
-            if b"".join(x) != whole or b"".join(y) != whole:
-                out.append(None)
-                continue
-            sizes = groups_of(label_string(np.array([len(i) for i in x], np.int64), np.array([len(i) for i in y], np.int64)), self.spans)
-            keys, times = linked(np.array(a), np.array(b), sizes, self.width)
-            i = j = 0
-            shown = []
-            for n, m in sizes.tolist():
-                shown.append(",".join(map(str, a[i : i + n])) + "|" + ",".join(map(str, b[j : j + m])))
-                i, j = i + n, j + m
-            out.append((len(a), len(b), len(sizes), int((sizes[:, 0] * sizes[:, 1]).sum()), ";".join(shown), keys, times))
-        return out
+        return _WORDS.split(text)
+
+    def fresh(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of the tokens of A and of B of words, as numbers of four bytes; None where the two don't spell the same bytes."""
+        ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)], self.b.encode(words, num_threads=1)
+        whole = [(" " + w).encode() for w in words]
+        size = np.array([len(w) for w in whole])
+        cut, right = [], np.ones(len(words), bool)
+        for side, spelled in zip((0, 1), (self.a_bytes, self.b_bytes), strict=True):
+            n = np.array([len(x) for x in ids[side]])
+            flat = np.fromiter(chain.from_iterable(ids[side]), "<i4", int(n.sum()))
+            ends = np.cumsum(n)
+            length = np.concatenate(([0], np.cumsum(self.lengths[side][flat])))
+            if (length[ends] - length[ends - n] != size).any() or b"".join([spelled[i] for i in flat.tolist()]) != b"".join(whole):
+                right &= [b"".join([spelled[i] for i in x]) == w for x, w in zip(ids[side], whole, strict=True)]
+            packed = flat.tobytes()
+            cut.append([packed[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)])
+        return [x if ok else None for *x, ok in zip(*cut, right.tolist(), strict=True)]
 
     def align(self, texts: list[str | None]) -> Iterator[tuple]:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, keys, times) of each text."""
+        """(n_a, n_b, n_groups, n_links, groups_sha256, keys, times) of each text. All texts' tokens lie in one row of bytes, as the words of a text do: where one ends, tokens of both end."""
         parts = [self.words_of(t) if t else [] for t in texts]
         new = list({w for p in parts for w in p} - self.words.keys())
         if len(self.words) + len(new) > WORDS:
             self.words.clear()
             new = list({w for p in parts for w in p})
-        long = {}
-        for some in (new[i : i + 1000] for i in range(0, len(new), 1000)):
+        known = self.words
+        if any(len(w) > WORD for w in new):
+            known = {w: self.words[w] for p in parts for w in p if w in self.words}
+        for some in (new[i : i + 2000] for i in range(0, len(new), 2000)):
             for w, found in zip(some, self.fresh(some), strict=True):
-                (self.words if len(w) <= WORD else long)[w] = found
-        for text, words in zip(texts, parts, strict=True):
-            n = Counter(words)
-            known = {w: self.words[w] if len(w) <= WORD else long[w] for w in n}
-            if any(x is None for x in known.values()):  # spelled otherwise: the whole text decides
-                known, words = {text: self.fresh([text])[0]}, [text]
-                n = Counter(words)
-            if not words or known[words[0]] is None:
+                known[w] = found
+                if len(w) <= WORD:
+                    self.words[w] = found
+        tokens: list[list[bytes]] = [[], []]
+        count = np.zeros((2, len(texts)), np.int64)
+        for i, (text, words) in enumerate(zip(texts, parts, strict=True)):
+            own = [known[w] for w in words]
+            if None in own:  # spelled otherwise: the whole text decides
+                own = self.fresh([text])
+            for side in (0, 1) if None not in own else ():
+                tokens[side].append(b"".join([x[side] for x in own]))
+                count[side, i] = len(tokens[side][-1]) // 4
+        a, b = (np.frombuffer(b"".join(t), "<i4") for t in tokens)
+        sizes = groups_of(label_string(self.lengths[0][a], self.lengths[1][b]), self.spans) if len(a) else np.zeros((0, 2), np.int64)
+        ends = np.cumsum(sizes, axis=0)
+        last = np.searchsorted(ends[:, 0], np.cumsum(count[0]), "right")  # groups up to the end of each text
+        groups = np.diff(last, prepend=0)
+        links = np.concatenate(([0], np.cumsum(sizes[:, 0] * sizes[:, 1])))
+        span = len(self.a_bytes) * self.width
+        keys, times = linked(a, b, sizes, self.width, np.repeat(np.arange(len(texts)), groups) * span) if len(a) else merged([], [])
+        cuts = np.searchsorted(keys, np.arange(len(texts) + 1) * span)
+        shown = self.as_text(a, b, sizes, ends)
+        at = np.concatenate(([0], np.cumsum(count[0] + count[1])))
+        for i in range(len(texts)):
+            n = int(groups[i])
+            if not n:
                 yield 0, 0, 0, 0, "", *merged([], [])
                 continue
-            sums = [sum(known[w][i] * k for w, k in n.items()) for i in range(4)]
             sha = hashlib.sha256()
-            for i in range(0, len(words), 100_000):
-                sha.update((";" * (i > 0) + ";".join([known[w][4] for w in words[i : i + 100_000]])).encode())
-            yield *sums, sha.hexdigest(), *merged([known[w][5] for w in n], [known[w][6] * k for w, k in n.items()])
+            for k in range(at[i], at[i + 1], 1 << 20):
+                stop = min(k + (1 << 20), int(at[i + 1]))
+                piece = "".join(shown[k:stop].tolist())
+                sha.update((piece[:-1] if stop == at[i + 1] else piece).encode())
+            own = slice(cuts[i], cuts[i + 1])
+            yield int(count[0, i]), int(count[1, i]), n, int(links[last[i]] - links[last[i] - n]), sha.hexdigest(), keys[own] - i * span, times[own]
+
+    def as_text(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The tokens of all groups as text, each followed by what divides it from the next: commas within a side, a bar after A's side, a semicolon after the group."""
+        out = np.empty(len(a) + len(b), object)
+        group = np.arange(len(sizes))
+        before = ends - sizes
+        for side, (ids, end) in enumerate(((a, "|"), (b, ";"))):
+            other = before[:, 1] if side == 0 else ends[:, 0]
+            place = np.arange(len(ids)) + np.repeat(other[group], sizes[:, side])
+            out[place] = self.shown[side, ","][ids]
+            at_end = ends[:, side] - 1
+            out[place[at_end]] = self.shown[side, end][ids[at_end]]
+        return out
 
 
 def _byte_level() -> dict[str, int]:
