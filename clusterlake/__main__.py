@@ -121,8 +121,9 @@ def main(args: list[str] | None = None) -> None:
             out = workflows.cluster(spark, a.input, given_hits(spark, a, o), o)
         if a.trees:
             out["trees"] = workflows.trees(out, o)
+        outputs.write_run(out, f"{a.output}/output_files", o.cutoffs)
     for name, df in out.items():
-        if name not in INNER:
+        if name not in INNER and not name.startswith("network_c"):
             write_tsv(df, f"{a.output}/{name}")
 
 

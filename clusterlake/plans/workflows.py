@@ -194,7 +194,7 @@ def results(out: dict[str, DataFrame], r: DataFrame, t: dict[str, DataFrame], o:
     c = out["components"] if o.cull else out["components"].unionByName(alone)
     f = f if o.cull else f.unionByName(alone.withColumnRenamed("component", "family"))
     show = lambda cutoff: outputs.network(out["edges"], names, cutoff, o.alignment_mode, o.extend_strategy)
-    tables_ = {"clustering": outputs.clustering(c, f, names), "annotations": outputs.record_annotations(names, c), "network": show(max(o.cutoffs)), "full_network": show(None), "topology": outputs.topology(r)}
+    tables_ = {"clustering": outputs.clustering(c, f, names), "annotations": outputs.record_annotations(names, c), "network": show(max(o.cutoffs)), "full_network": show(None), "topology": outputs.topology(r)} | {f"network_c{c}": show(c) for c in o.cutoffs}
     return out | tables_ | {"records": r, "containers": t["containers"], "errors": t["errors"]}
 
 

@@ -18,7 +18,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         return raw.select(F.col(f"`{item}`").alias("item"), F.col(f"`{label}`").alias("label"))
     if len(raw.columns) < 6:
         raise ValueError(f"{path}: two or six columns are needed")
-    record, _, kind, number, _, family = raw.columns[:6]
+    named = {c.lower(): c for c in raw.columns}
+    known = [named.get(c) for c in ("record", "record_type", "record_number", "family")]
+    record, kind, number, family = known if None not in known else (raw.columns[i] for i in (0, 2, 3, 5))
     name = F.when(F.col(kind) == "region", F.col(record)).otherwise(F.concat_ws("_", F.col(record), F.col(kind), F.col(number)))
     return raw.select(name.alias("item"), F.regexp_replace(F.col(family), r"^FAM_0*(?=\d)", "").alias("label"))
 
@@ -75,7 +77,10 @@ def labels_of_lines(lines: DataFrame) -> DataFrame:
 def read_run_labels(spark: SparkSession, path: str) -> DataFrame:
     """(cutoff, item, label) of the newest run's clustering files of the bin mix below a folder."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*clustering_*.tsv").text(path)
-    return labels_of_lines(newest(lines.select("value", F.col("_metadata.file_path").alias("path")).where(F.col("path").contains("/mix/"))))
+    found = labels_of_lines(newest(lines.select("value", F.col("_metadata.file_path").alias("path")).where(F.col("path").contains("/mix/"))))
+    if found.isEmpty():
+        raise ValueError(f"{path}: no clustering file of the bin mix, by the time and the cutoff in its path, has a label")
+    return found
 
 
 def membership_labels(bgc: DataFrame, membership: DataFrame, gcf: DataFrame, clustering: DataFrame) -> DataFrame:

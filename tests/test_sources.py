@@ -236,6 +236,34 @@ def test_command_line(spark, folder, hits, tmp_path):
     assert [tuple(r) for r in tsv("bench/by_cutoff").collect()] == [("0.3", "2", "1.0", "0.0")]
 
 
+def test_cluster_then_benchmark(spark, folder, hits, tmp_path):
+    """benchmark reads what cluster wrote."""
+    from clusterlake.__main__ import main
+
+    hits.write.parquet(f"{tmp_path}/hits")
+    main(["cluster", "-i", folder, "--hits", f"{tmp_path}/hits", "--bad-files", "report", "-o", f"{tmp_path}/out", "--cutoffs", "0.3,0.7"])
+    (run,) = {p.name.rsplit("_c", 1)[0] for p in (tmp_path / "out" / "output_files").iterdir() if p.is_dir()}
+    files = sorted(str(p.relative_to(tmp_path / "out" / "output_files")) for p in (tmp_path / "out" / "output_files").rglob("*") if p.is_file() and not p.name.startswith("."))
+    own = [f"{run}_c{c}/{x}" for c in ("0.3", "0.7") for x in (f"mix/mix_c{c}.network", f"mix/mix_clustering_c{c}.tsv", "record_annotations.tsv")]
+    assert files == sorted([*own, f"{run}_full.network"])
+    lines = (tmp_path / "out" / "output_files" / f"{run}_c0.7" / "mix" / "mix_clustering_c0.7.tsv").read_text().splitlines()
+    assert lines[0] == "Record\tGBK\tRecord_Type\tRecord_Number\tCC\tFamily" and len(lines) == 6
+    families = [x.split("\t")[5] for x in lines[1:]]
+    assert families == sorted(families) and families[0] == "FAM_00001" and set(families) == {f"FAM_{i:05d}" for i in range(1, len(set(families)) + 1)}
+    network = (tmp_path / "out" / "output_files" / f"{run}_c0.7" / "mix" / "mix_c0.7.network").read_text().splitlines()
+    assert len(network) == 7 and len({len(x.split("\t")) for x in network}) == 1
+    (tmp_path / "curated.tsv").write_text("BGC\tfamily\n" + "".join(f"{x.split(chr(9))[0]}\t{x.split(chr(9))[5]}\n" for x in lines[1:]))
+    main(["benchmark", "-g", f"{tmp_path}/curated.tsv", "-b", f"{tmp_path}/out/output_files", "-o", f"{tmp_path}/bench"])
+    rows = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/bench/by_cutoff").orderBy("cutoff").collect()
+    assert [(r["cutoff"], r["purity"], r["entropy"]) for r in rows][1] == ("0.7", "1.0", "0.0") and len(rows) == 2
+    labels = {r["item"]: r["label"] for r in T.read_labels(spark, f"{tmp_path}/out/output_files/{run}_c0.7/mix/mix_clustering_c0.7.tsv").collect()}
+    assert labels == {x.split("\t")[0]: str(int(x.split("\t")[5][4:])) for x in lines[1:]}
+    write_tsv(spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/out/clustering"), f"{tmp_path}/again")
+    assert {r["label"] for r in T.read_labels(spark, f"{tmp_path}/again").collect()} <= {str(i) for i in range(1, 6)}
+    with pytest.raises(ValueError, match="no clustering file"):
+        T.read_run_labels(spark, f"{tmp_path}/out/clustering")
+
+
 def test_sqlite_results(spark, tmp_path):
     import sqlite3
 
