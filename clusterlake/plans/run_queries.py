@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterlake.operators import alignment, bins, evaluate, families, filters, pairs, similarity, state
+from clusterlake.operators import alignment, bins, evaluate, families, filters, intervals, pairs, similarity, state
+from clusterlake.operators.components import connected_components, grown, shrunk
 from clusterlake.plans import outputs, workflows
 from clusterlake.plans.config import Settings
 from clusterlake.plans.file_queries import scratch_folder
@@ -241,6 +242,48 @@ def edges_of_other_features(spark, sf):
     return changed.unionByName(other).agg(F.count(F.lit(1)).cast("int").alias("edges"))
 
 
+def _labels(edges: DataFrame) -> DataFrame:
+    return written(connected_components(edges, keys=("bin",)), "labels")
+
+
+@query(f"{COMPONENTS} SELECT bin, record_id AS id, component FROM component WHERE cutoff = 0.5")
+def components_grown(spark, sf):
+    """Components of half of the edges, and then of all, from the first labels and the new edges alone."""
+    e = written(edges(spark, sf).where("distance < 0.5").select("bin", "a", "b"), "edges")
+    return grown(_labels(e.where("(a + b) % 2 = 0")), e.where("(a + b) % 2 = 1"), keys=("bin",))
+
+
+@query(COMPONENTS.replace("FROM edge JOIN cut ON distance < cutoff)", "FROM edge JOIN cut ON distance < cutoff AND (a + b) % 3 <> 0)") + " SELECT bin, record_id AS id, component FROM component WHERE cutoff = 0.5")
+def components_shrunk(spark, sf):
+    """Components of all edges, and then without a third of them, where only those that lost an edge are put together anew."""
+    e = written(edges(spark, sf).where("distance < 0.5").select("bin", "a", "b"), "edges")
+    return shrunk(_labels(e), e.where("(a + b) % 3 <> 0"), e.where("(a + b) % 3 = 0"), keys=("bin",))
+
+
+def shipments(spark, sf) -> DataFrame:
+    """Line items as intervals of days, from shipment to receipt and no shorter than their quantity, by part."""
+    start = F.datediff("l_shipdate", F.lit("1990-01-01"))
+    return table(spark, sf, "lineitem").select("l_partkey", F.col("l_orderkey").alias("record_id"), "l_linenumber", start.alias("start"), (start + 1 + F.col("l_quantity").cast("int")).alias("stop"))
+
+
+SHIPMENTS = "s AS (SELECT l_partkey, l_orderkey AS record_id, l_linenumber, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS start, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) + 1 + l_quantity::INTEGER AS stop FROM lineitem)"
+
+
+@query(f"WITH {SHIPMENTS} SELECT x.l_partkey, count(*) AS pairs, CAST(sum(least(x.stop, y.stop) - greatest(x.start, y.start)) AS BIGINT) AS days FROM s x JOIN s y ON x.l_partkey = y.l_partkey AND x.start < y.stop AND y.start < x.stop GROUP BY 1")
+def interval_overlaps(spark, sf):
+    """Pairs of intervals of a key that overlap, and by how much."""
+    s = shipments(spark, sf)
+    days = F.least("stop", "stop_r") - F.greatest("start", "start_r")
+    return intervals.overlapping(s, s, ["l_partkey"]).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum(days).cast("long").alias("days"))
+
+
+@query(f"WITH {SHIPMENTS} SELECT x.l_partkey, x.record_id, x.l_linenumber, y.record_id AS record_id_r, y.l_linenumber AS l_linenumber_r FROM s x JOIN s y ON x.l_partkey = y.l_partkey AND x.start >= y.start AND x.stop <= y.stop AND x.record_id <> y.record_id")
+def interval_containment(spark, sf):
+    """Intervals that lie within another of their key."""
+    s = shipments(spark, sf)
+    return intervals.contained(s, s, ["l_partkey"]).where("record_id <> record_id_r").select("l_partkey", "record_id", "l_linenumber", "record_id_r", "l_linenumber_r")
+
+
 @query("SELECT o_orderkey AS k, max(l_shipdate::VARCHAR || l_partkey) IS NOT NULL AS changed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def update_repeated_keys(spark, sf):
     """Changes that share a key: one holds, and stored rows stay one each."""
