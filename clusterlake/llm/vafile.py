@@ -1,9 +1,11 @@
 """Exact top-k search by inner product over a vector-approximation file.
 
 The file has two tables in the shared folder. One holds the exact vectors, a row each. The other holds their approximations in blocks:
-for each component, a grid of at most CELLS cells between the block's least and greatest value, and of each vector its cell numbers, a
-byte a component. A search scans the cells alone, twice: once for lower bounds of scores, of which the kth best of each query is a
-score that its results must reach, and once for the vectors whose upper bound does. Exact vectors are then read in the order of their
+for each component, CELLS cells that about as many of the block's values lie in each, with the least and greatest value of each, and FINE
+equal parts of each cell; and of each vector its cell and part numbers, a byte a component. A search scans the cells alone, twice: once
+for lower bounds of scores, of which the kth best of each query is a score that its results must reach, and once for the vectors whose
+upper bound does. Either scan bounds scores by cells, and those that this leaves open by parts: the k best of a block by their upper
+bound in the first scan, those that reach the score in the second. Exact vectors are then read in the order of their
 upper bounds: the first k of each query, and of the others those whose bound reaches the kth score found.
 """
 
@@ -20,36 +22,66 @@ from pyspark.sql import functions as F
 
 from clusterlake.llm.common import partitions, released, small_batches, table, written
 
-CELLS, BLOCK, QUERY_BLOCK = 64, 1024, 256
+CELLS, FINE, BLOCK, QUERY_BLOCK = 16, 16, 1024, 256
 #: Vectors whose cells one task holds at a time.
 GROUP = 1 << 18
 NEVER = -(2.0**62)
-BLOCKS = "block long, n int, dim int, rows binary, ids binary, vectors binary, low binary, width binary, cells binary, least binary"
+BLOCKS = "block long, n int, dim int, rows binary, ids binary, vectors binary, low binary, high binary, cells binary, least binary, bytes int"
 
 
 class Approximation:
-    """The cells of a block and their bounds."""
+    """The cells of a block, their parts, and bounds of scores by either. low and high: (components, cells), the values that a cell's vectors have; cell: (vectors, components), cell * FINE + part."""
 
-    def __init__(self, low: np.ndarray, width: np.ndarray, cell: np.ndarray):
-        self.low, self.width, self.cell = low, width, cell
+    def __init__(self, low: np.ndarray, high: np.ndarray, cell: np.ndarray):
+        self.low, self.high, self.cell = low, high, cell
 
     @classmethod
     def of(cls, v: np.ndarray, cells: int = CELLS) -> Approximation:
-        low = v.min(0)
-        width = np.maximum(1, -(-(v.max(0) - low + 1) // cells))
-        return cls(low, width, ((v - low) // width).astype(np.uint8))
-
-    def bounds(self, q: np.ndarray, upper: bool) -> np.ndarray:
-        """Lower or upper bounds of the scores of queries (rows of q) with all vectors; components that one side lacks are zero."""
-        d = min(q.shape[1], len(self.low))
-        q, low, width = q[:, :d], self.low[:d], self.width[:d]
-        kind = np.float64 if exact_in_float(q, np.maximum(np.abs(low), np.abs(low + 2 * CELLS * width))) else np.int64
-        low = (low + self.cell[:, :d] * width).astype(kind)
-        high = low + (width - 1).astype(kind)
+        """Cells end at quantiles; of a value that several of them end at, all copies are in one cell."""
+        n, d = v.shape
+        ends = np.sort(v, axis=0)[np.minimum(n - 1, np.arange(1, cells + 1) * n // cells - (n >= cells))].T  # (components, cells), the greatest value of each
+        ends[:, -1] = v.max(0)
+        at = np.stack([np.searchsorted(ends[j], v[:, j], "left") for j in range(d)], axis=1) if d else np.zeros((n, 0), np.int64)
+        low, high = np.full((d, cells), np.iinfo(np.int64).max), np.full((d, cells), np.iinfo(np.int64).min)
+        column = np.broadcast_to(np.arange(d), v.shape)
+        np.minimum.at(low, (column, at), v)
+        np.maximum.at(high, (column, at), v)
+        empty = low > high
+        low[empty] = high[empty] = 0
+        width = part_width(low, high)
+        part = (v - low[column, at]) // width[column, at]
+        return cls(low, high, (at * FINE + part).astype(np.uint8))
+
+    def range_of(self, vectors: np.ndarray | slice, d: int, fine: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest values that vectors can have."""
+        code = self.cell[vectors, :d]
+        at, column = code // FINE, np.arange(d)
+        low, high = self.low[column, at], self.high[column, at]
+        if fine:
+            width = part_width(self.low, self.high)[column, at]
+            low = low + (code % FINE) * width
+            high = np.minimum(high, low + width - 1)
+        return low, high
+
+    def bounds(self, q: np.ndarray, upper: bool, fine: bool = True, vectors: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Lower or upper bounds of the scores of queries (rows of q) with vectors, by cells or, with fine, by their parts; components that one side lacks are zero."""
+        d = min(q.shape[1], self.cell.shape[1])
+        q = q[:, :d]
+        kind = np.float64 if exact_in_float(q, np.maximum(np.abs(self.low[:d]), np.abs(self.high[:d]))) else np.int64
+        low, high = (x.astype(kind) for x in self.range_of(vectors, d, fine))
         plus, minus = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
         return plus @ high.T + minus @ low.T if upper else plus @ low.T + minus @ high.T
 
 
+def part_width(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.maximum(1, -(-(high - low + 1) // FINE))
+
+
+def number_type(x: np.ndarray) -> str:
+    """Two bytes where all numbers fit, else eight."""
+    return "<i2" if len(x) == 0 or -(1 << 15) <= int(x.min(initial=0)) and int(x.max(initial=0)) < 1 << 15 else "<i8"
+
+
 def exact_in_float(q: np.ndarray, most: np.ndarray) -> bool:
     """Whether sums of products stay below 2**52, so that a float product is exact."""
     return float(np.abs(q).max(initial=0)) * float(most.max(initial=0)) * max(1, q.shape[-1]) < 2**52
@@ -68,8 +100,9 @@ def blocks(df: DataFrame, rows: int, approximate: bool) -> DataFrame:
             v = np.zeros((b.num_rows, max(1, size.max())), np.int64)
             v[np.arange(v.shape[1]) < size[:, None]] = b.column(2).flatten().to_numpy()
             a = Approximation.of(v) if approximate else None
-            blobs = [b.column(0).to_numpy(), b.column(1).to_numpy(), None if a else v, *((a.low, a.width, a.cell) if a else (None,) * 3), None]
-            cols = [pa.array([(part << 32) + nth], pa.int64()), pa.array([b.num_rows], pa.int32()), pa.array([v.shape[1]], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in blobs)]
+            kind = number_type(v)
+            blobs = [b.column(0).to_numpy(), b.column(1).to_numpy(), None if a else v.astype(kind), *((a.low.astype(kind), a.high.astype(kind), a.cell) if a else (None,) * 3), None]
+            cols = [pa.array([(part << 32) + nth], pa.int64()), pa.array([b.num_rows], pa.int32()), pa.array([v.shape[1]], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in blobs), pa.array([int(kind[2:])], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = [x.split()[0] for x in BLOCKS.split(", ")]
@@ -92,10 +125,11 @@ def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarr
             if now != r["deal"]:
                 now, held = r["deal"], []
             ids = np.frombuffer(r["ids"], np.int64)
+            numbers = lambda x, *shape: np.frombuffer(r[x], f"<i{r['bytes']}").astype(np.int64).reshape(shape)  # noqa: E731, B023
             if r["asks"]:
-                yield r, ids, np.frombuffer(r["vectors"], np.int64).reshape(r["n"], r["dim"]), held
+                yield r, ids, numbers("vectors", r["n"], r["dim"]), held
             else:
-                a = Approximation(np.frombuffer(r["low"], np.int64), np.frombuffer(r["width"], np.int64), np.frombuffer(r["cells"], np.uint8).reshape(r["n"], r["dim"]))
+                a = Approximation(numbers("low", r["dim"], CELLS), numbers("high", r["dim"], CELLS), np.frombuffer(r["cells"], np.uint8).reshape(r["n"], r["dim"]))
                 held.append((np.frombuffer(r["rows"], np.int64), ids, a))
 
 
@@ -104,6 +138,20 @@ def best_of(x: np.ndarray, k: int) -> np.ndarray:
     return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k :] if x.shape[1] > k else x
 
 
+def refined(a: Approximation, q: np.ndarray, high: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
+    """The k best lower bounds by parts for each query, of the vectors that for any query are among the k of greatest upper bounds by cells and can raise its least score; NEVER where there are fewer."""
+    chosen = np.zeros(high.shape, bool)
+    some = np.argpartition(-high, min(k, high.shape[1]) - 1, axis=1)[:, :k]
+    np.put_along_axis(chosen, some, True, axis=1)
+    chosen &= (high > least[:, None]) & ~own
+    columns = np.flatnonzero(chosen.any(0))
+    out = np.full((len(q), k), NEVER)
+    if len(columns):
+        low = best_of(np.where(own[:, columns], NEVER, a.bounds(q, False, True, columns)), k)
+        out[:, : low.shape[1]] = low
+    return out
+
+
 def least_scores(cells: DataFrame, asked: DataFrame, groups: int, k: int) -> DataFrame:
     """asked with `least`: for each query, the kth best lower bound, which is NEVER if there are fewer vectors."""
 
@@ -111,9 +159,10 @@ def least_scores(cells: DataFrame, asked: DataFrame, groups: int, k: int) -> Dat
         for r, qids, q, held in pairs_of(batches):
             best = np.full((len(q), k), NEVER)
             for _, ids, a in held:
-                low = a.bounds(q, False).astype(float)
-                low[qids[:, None] == ids[None, :]] = NEVER
-                best = best_of(np.concatenate((best, low), axis=1), k)
+                own = qids[:, None] == ids[None, :]
+                high = a.bounds(q, True, fine=False).astype(float)
+                high[own] = NEVER
+                best = best_of(np.concatenate((best, refined(a, q, high, own, best.min(1), k)), axis=1), k)
             yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["n"]], pa.int32()), pa.array([best.tobytes()], pa.binary())], names=["block", "n", "best"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +192,14 @@ def candidates(cells: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
         for r, qids, q, held in pairs_of(batches):
             least, q_rows = np.frombuffer(r["least"])[:, None], np.frombuffer(r["rows"], np.int64)
             for rows, ids, a in held:
-                high = a.bounds(q, True).astype(float)
-                i, j = np.nonzero((high >= least) & (qids[:, None] != ids[None, :]))
+                open_ = (a.bounds(q, True, fine=False) >= least) & (qids[:, None] != ids[None, :])
+                columns = np.flatnonzero(open_.any(0))
+                if not len(columns):
+                    continue
+                high = a.bounds(q, True, True, columns).astype(float)
+                i, j = np.nonzero((high >= least) & open_[:, columns])
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(q_rows[i]), pa.array(rows[j]), pa.array(high[i, j])], names=["q_row", "row", "upper"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q_rows[i]), pa.array(rows[columns[j]]), pa.array(high[i, j])], names=["q_row", "row", "upper"])
 
     return meeting(cells, asked, groups).mapInArrow(scan, "q_row long, row long, upper double")
 
@@ -195,7 +248,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of vectors become floor(64 x); vectors that are null or hold a null or a number that isn't finite take no part, nor do rows without an id; an empty vector has score 0 with all."""
+    """Components of vectors become floor(64 x); vectors that are null or hold a null or a number that isn't finite take no part, nor do rows without an id; an empty vector has score 0 with all. Of equal scores the smaller ids come first; each of repeated rows is a query with ranks of its own, and a result of its own; vectors of any length are read whole; an empty table gives an empty result; other columns are not read."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = e.where(F.col("id").isNotNull() & F.col("e").isNotNull() & fine).select("id", F.transform("e", lambda x: F.floor(x.cast("double") * 64).cast("long")).alias("v"))

@@ -505,25 +505,43 @@ def test_top_k_of_repeats_and_ties(spark, tmp_path):
     same_as_sql(spark, str(tmp_path), "op9_top_k", ["embeddings"])
 
 
-def test_approximation_bounds():
+@pytest.mark.parametrize("n", [1, 5, 300])
+def test_approximation_bounds(n):
     g = np.random.default_rng(0)
     for most in (3, 500, 10**6, 2**40):
-        v, q = g.integers(-most, most, (300, 16)), g.integers(-100, 100, (20, 16))
-        a = vafile.Approximation.of(v)
-        low, high, exact = a.bounds(q, False), a.bounds(q, True), q @ v.T
-        assert a.cell.dtype == np.uint8 and (a.cell < vafile.CELLS).all()
-        assert (low <= exact).all() and (exact <= high).all()
-        assert most > 3 or (low == high).all()
+        v, q = g.integers(-most, most, (n, 16)), g.integers(-100, 100, (20, 16))
+        a, exact = vafile.Approximation.of(v), q @ v.T
+        assert a.cell.dtype == np.uint8 and a.low.shape == (16, vafile.CELLS)
+        wide = []
+        for fine in (False, True):
+            low, high = a.bounds(q, False, fine), a.bounds(q, True, fine)
+            assert (low <= exact).all() and (exact <= high).all()
+            wide.append((high - low).mean())
+            some = np.array([0, n - 1])
+            assert (a.bounds(q, True, fine, some) == high[:, some]).all()
+        assert wide[1] <= wide[0] and (most < 500 or n < 300 or 0 < wide[1] < wide[0] / 8)
+        counts = [len(np.unique(a.cell[:, j] // vafile.FINE)) for j in range(16)]
+        assert n < 300 or most < 500 or min(counts) == vafile.CELLS  # quantiles
 
 
 def test_search_reads_few_exact_vectors(spark):
+    """Numbers far wider apart than a cell: cells leave some pairs open, their parts few, and the result is that of all scores."""
     g = np.random.default_rng(1)
-    v = spark.createDataFrame([(i, [int(x) for x in g.integers(-500, 500, 8)]) for i in range(3000)], "id long, v array<long>")
+    numbers = {i: [int(x) for x in g.integers(-50_000, 50_000, 8)] for i in range(3000)}
+    v = spark.createDataFrame(list(numbers.items()), "id long, v array<long>")
     exact, cells = vafile.approximation_file(v, 5)
-    assert exact.count() == 3000 and "vectors" in cells.columns and cells.where("vectors IS NOT NULL").count() == 0
+    assert exact.count() == 3000 and cells.where("vectors IS NOT NULL").count() == 0
     asked = vafile.written(vafile.blocks(v.where("id % 100 = 0").withColumn("row", F.col("id")), 8, False), "asked")
     bounded = vafile.least_scores(cells, asked, 3, 5)
-    assert vafile.candidates(cells, bounded, 3).count() < 30 * 3000 / 20
+    assert vafile.candidates(cells, bounded, 3).count() < 30 * 60
+    m = np.array([numbers[i] for i in range(3000)])
+    got = [tuple(r) for r in vafile.top_k(v.where("id % 100 = 0"), v, 5).collect()]
+    want = []
+    for i in range(0, 3000, 100):
+        s = m @ m[i]
+        s[i] = -(2**62)
+        want += [(i, r, int(j), int(s[j])) for r, j in enumerate(np.lexsort((np.arange(3000), -s))[:5], 1)]
+    assert sorted(got) == sorted(want)
 
 
 def test_byte_bpe(spark, sf, awkward):
