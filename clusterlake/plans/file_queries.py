@@ -215,14 +215,14 @@ def run_labels(spark, sf):
     return sources.labels_of_lines(sources.newest(lines.unionByName(heads)))
 
 
-@query("""SELECT c_nationkey / 10 AS cutoff, c_name AS item, CAST(o_orderkey AS VARCHAR) AS label FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = (SELECT max(n_nationkey) FROM nation n WHERE n.n_nationkey // 5 = c_nationkey // 5) AND o_custkey % 25 = c_nationkey""")
+@query("""SELECT c_nationkey / 10 AS cutoff, c_name AS item, CAST(o_orderkey AS VARCHAR) AS label FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = (SELECT max(n_nationkey) FROM nation n WHERE n.n_nationkey // 5 = c_nationkey // 5)""")
 def membership_labels(spark, sf):
     """Tables of a result database: customers are its items, orders its families, nations its clusterings, five of which share a threshold."""
     c, o, n = (table(spark, sf, x) for x in ("customer", "orders", "nation"))
     last = n.groupBy(F.floor(F.col("n_nationkey") / 5).alias("t")).agg(F.max("n_nationkey").alias("m"))
     clustering = n.withColumn("t", F.floor(F.col("n_nationkey") / 5)).join(last, "t").select(F.col("n_nationkey").alias("id"), (F.col("m") / 10).alias("threshold"))
     bgc = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("/data/"), "c_name", F.lit(".gbk")).alias("orig_filename"))
-    own = o.join(c, o.o_custkey == c.c_custkey).where("o_custkey % 25 = c_nationkey")
+    own = o.join(c, o.o_custkey == c.c_custkey)
     return sources.membership_labels(bgc, own.select(F.col("o_custkey").alias("bgc_id"), F.col("o_orderkey").alias("gcf_id")), own.select(F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("clustering_id")), clustering)
 
 
@@ -244,10 +244,10 @@ def domain_list(spark, sf):
     return sources.read_domain_list(spark, path)
 
 
-@query("SELECT 'PF' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS accession, p_brand AS name, CAST(p_size AS INTEGER) AS length, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) / 2 END AS trusted_domain FROM part WHERE p_partkey < 90000")
+@query("SELECT format('PF{:05d}', p_partkey) AS accession, p_brand AS name, CAST(p_size AS INTEGER) AS length, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) / 2 END AS trusted_domain FROM part")
 def profile_database(spark, sf):
     path = scratch_folder(spark, "profiles")
-    p = table(spark, sf, "part").where("p_partkey < 90000")
+    p = table(spark, sf, "part")
     cut = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("TC    99.00 "), (F.col("p_size") / 2).cast("string"), F.lit("\n"))).otherwise("")
     text = F.concat(F.lit("HMMER3/f [x]\nNAME  "), "p_brand", F.lit("\n"), F.format_string("ACC   PF%05d.3\n", "p_partkey"), F.lit("LENG  "), F.col("p_size").cast("string"), F.lit("\n"), cut, F.lit("HMM\n//"))
     p.select(text.alias("value")).write.text(path)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from clusterlake.operators import alignment, bins, evaluate, families, filters, intervals, pairs, similarity, state
 from clusterlake.operators.components import connected_components, grown, shrunk
 from clusterlake.plans import outputs, workflows
-from clusterlake.plans.config import Settings
 from clusterlake.plans.file_queries import scratch_folder
 from clusterlake.plans.model import ANCHORS, SQL_GENES, SQL_RECORDS, WEIGHTS, genes, records, table
 from clusterlake.plans.queries import COMPONENTS, EDGES, edges, kernel_features, network, query
@@ -56,11 +55,11 @@ def mix_bin(spark, sf):
     return workflows.binned(records(spark, sf).drop("bin"), workflows.Options()).groupBy("bin", "weights").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query(f"WITH {SQL_RECORDS}, n AS (SELECT *, row_number() OVER (PARTITION BY container_id ORDER BY record_id) AS number FROM rec) SELECT record_id FROM n WHERE number = 2 AND container_id % 10 = 1")
+@query(f"WITH {SQL_RECORDS}, n AS (SELECT *, row_number() OVER (PARTITION BY container_id ORDER BY record_id) AS number FROM rec) SELECT record_id FROM n WHERE number = 2")
 def query_record_by_number(spark, sf):
     from pyspark.sql import Window as W
 
-    r = records(spark, sf).withColumn("number", F.row_number().over(W.partitionBy("container_id").orderBy("record_id"))).where("container_id % 10 = 1")
+    r = records(spark, sf).withColumn("number", F.row_number().over(W.partitionBy("container_id").orderBy("record_id")))
     return filters.with_number(r, 2).select("record_id")
 
 
