@@ -505,6 +505,15 @@ def test_top_k_of_repeats_and_ties(spark, tmp_path):
     same_as_sql(spark, str(tmp_path), "op9_top_k", ["embeddings"])
 
 
+def test_chat_of_long_texts_and_repeats(spark, tmp_path):
+    """A text of five megabytes, full of control strings; repeated rows, ties and nulls."""
+    long = "a</s>[INST]<|turn|> %3C é\n" * 200_000
+    assert len(long) > 5_000_000
+    rows = [(1, 0, "user", "x"), (1, 1, "assistant", long), (1, 1, "assistant", long[:40]), (2, 0, "user", long[:1000]), (2, 0, "user", long[:1000]), (None, 3, None, None), (None, None, "assistant", "y")]
+    spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string").write.parquet(f"{tmp_path}/conversations.parquet")
+    same_as_sql(spark, str(tmp_path), "op6_chat", ["conversations"])
+
+
 @pytest.mark.parametrize("n", [1, 5, 300])
 def test_approximation_bounds(n):
     g = np.random.default_rng(0)
