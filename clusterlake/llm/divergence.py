@@ -16,7 +16,7 @@ from clusterlake.llm.common import released, small, small_batches, table, writte
 #: A term is kept in a language from this many of its documents on; terms that are reported of a group.
 LEAST_DOCS, TOP = 3, 200
 #: Distinct terms that a task counts before it passes its counts on, and pair values that it adds up at a time.
-HELD, PAIRS = 400_000, 1_000_000
+HELD, PAIRS = 800_000, 1_000_000
 #: Buckets of a group that are evaluated in the first round; each later round takes four times as many.
 FIRST = 16
 #: Bytes of terms stay, A-Z become lower case, all others separate terms.
@@ -48,24 +48,28 @@ def postings(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict = defaultdict(Counter)
-        d: dict = defaultdict(Counter)
+        again: dict = defaultdict(Counter)  # occurrences beyond the first of a document: few terms have any
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), own in n.items():
-                keys = list(own)
+                keys, more = list(own), again[lang, source]
                 for at in range(0, max(len(keys), 1), 20_000):
                     some = keys[at : at + 20_000]
-                    rows = [(None, 0, 0)] * (at == 0) + [(k.decode(), own[k], d[lang, source][k]) for k in some]
+                    rows = [(None, 0, 0)] * (at == 0) + [(k.decode(), own[k], own[k] - more.get(k, 0)) for k in some]
                     t, a, b = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(t), pa.string()), pa.array([source] * len(t), pa.string()), pa.array(t, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["lang", "source", "term", "n", "docs"])
             n.clear()
-            d.clear()
+            again.clear()
 
         for b in batches:
             for text, lang, source in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 found = terms(text or "")
                 n[lang, source].update(found)
-                d[lang, source].update(set(found))
+                if len(set(found)) < len(found):
+                    more = again[lang, source]
+                    for t, k in Counter(found).items():
+                        if k > 1:
+                            more[t] += k - 1
             if sum(map(len, n.values())) > HELD:
                 yield from out()
         yield from out()
