@@ -26,6 +26,10 @@ WORD, WORDS = 64, 200_000
 NONE, A_END, B_END, BOTH = b".", b"a", b"b", b"*"
 _MARKS = np.frombuffer(NONE + A_END + B_END + BOTH, np.uint8)
 _SPAN = re.compile(rb"[^*]*\*")
+#: Fixed value: how a byte-level tokenizer cuts words before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters that are letters, digits, white space or none of these to every pattern engine.
+_PLAIN = re.compile("[\\n -~À-ÖØ-öø-ÿ]*")
 #: A space after a visible character and before an ASCII letter.
 _WORDS = re.compile(r"(?<=\S) (?=[A-Za-z])")
 _BUILT: dict = {}
@@ -117,6 +121,8 @@ class Aligner:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.a_bytes[i] = bytes(at_byte[c] for c in piece) if all(c in at_byte for c in piece) else piece.encode()
+        self.quick = quick_encoder(json.loads(a_json), self.a_bytes)
+        self.lossless = self.quick is not None  # every byte is a piece, and nothing changes a text before it is cut
         self.width = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(self.width)]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
@@ -141,18 +147,24 @@ class Aligner:
         inner = [w for w in words if w and w[0].isascii() and w[0].isalpha() and not w[-1].isspace()] if self.by_words else []
         for some in (inner[i : i + 500] for i in range(0, len(inner), 500)):
             whole = " ".join(some)
-            found = self.cut(whole, np.cumsum([len(w.encode()) + 1 for w in some]))
+            found = self.cut(whole, np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in some]) + np.arange(1, len(some) + 1))
             out.update(zip(some, found if found is not None else [self.cut(w, None) for w in some], strict=True))
         return [out[w] if w in out else self.cut(w, None) for w in words]
 
+    def ids_of_a(self, text: str) -> list[int]:
+        """A's ids of space + text: a byte-level BPE by the tiktoken library, which is much faster, for plain characters, and by its own library for all others."""
+        if self.quick is not None and _PLAIN.fullmatch(text):
+            return self.quick.encode_ordinary(" " + text)
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+
     def cut(self, text: str, ends: np.ndarray | None) -> list[tuple[bytes, bytes]] | tuple[bytes, bytes] | None:
         """The ids of a text's tokens, one pair of strings or, with ends, one for each part that ends at so many bytes of space + text; None if the tokens don't spell these bytes, or a part doesn't end with a token."""
         parts = []
         whole = (" " + text).encode()
-        for side, (ids, spelled) in enumerate(((self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.a_bytes), (self.b.encode(text), self.b_bytes))):
-            if b"".join(map(spelled.__getitem__, ids)) != whole:
-                return None
+        for side, (ids, spelled) in enumerate(((self.ids_of_a(text), self.a_bytes), (self.b.encode(text), self.b_bytes))):
             flat = np.array(ids, "<i4")
+            if (side == 1 or not self.lossless) and b"".join(map(spelled.__getitem__, ids)) != whole or int(self.lengths[side][flat].sum()) != len(whole):
+                return None
             packed = flat.tobytes()
             if ends is None:
                 parts.append([packed])
@@ -229,6 +241,18 @@ class Aligner:
         return out
 
 
+def quick_encoder(a: dict, spelled: list[bytes]):
+    """The vocabulary of a byte-level tokenizer's file for the tiktoken library, or None if its merges are not what that library does: by pattern and in the order of the ids that they make, of pieces that are merged in one way each."""
+    import tiktoken
+
+    model, pre = a["model"], a.get("pre_tokenizer") or {}
+    ids = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges", ())]
+    plain = a.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("dropout") and not model.get("ignore_merges")
+    if not plain or ids != list(range(256, 256 + len(ids))) or len(spelled) != 256 + len(ids):
+        return None
+    return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(spelled)}, special_tokens={})
+
+
 def _byte_level() -> dict[str, int]:
     """Printable stand-ins of bytes in a byte-level vocabulary: visible Latin-1 characters stand for themselves, the others for the next ones from 256 on."""
     own = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or 0xAE <= c <= 0xFF]
