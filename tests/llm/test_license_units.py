@@ -34,6 +34,19 @@ CASES = [
     ("apache file", FILES.get("Apache-2.0"), "Apache-2.0", True),
     ("mpl file", FILES.get("MPL-2.0"), "MPL-2.0", True),
     ("bsd file", FILES.get("BSD-3-Clause"), "BSD-3-Clause", True),
+    ("bsd2 file", FILES.get("BSD-2-Clause"), "BSD-2-Clause", True),
+    ("isc file", FILES.get("ISC", "").replace("<year> <owner>", "2021, Some One <one@example.org>"), "ISC", True),
+    ("unlicense file", FILES.get("Unlicense"), "Unlicense", True),
+    ("lgpl file", FILES.get("LGPL-3.0"), "LGPL-3.0", True),
+    ("cc0 file", FILES.get("CC0-1.0"), "CC0-1.0", True),
+    ("by-sa file", FILES.get("CC-BY-SA-4.0"), "CC-BY-SA-4.0", True),
+    ("lgpl header", commented(GPL.replace("GNU\nGeneral", "GNU\nLesser General").replace("GNU General", "GNU Lesser General").replace("This program", "This library"), "//") + "\n" + CODE, "LGPL-3.0", False),
+    ("agpl header", commented(GPL.replace("GNU General", "GNU Affero General").replace("GNU\nGeneral", "GNU\nAffero General"), "//") + "\n" + CODE, "AGPL-3.0", False),
+    ("by", "Kiwa ro temu salla. This work is licensed under a Creative Commons Attribution 4.0 International License. Orrin fel mako tuste.", "CC-BY-4.0", False),
+    ("by-sa", "Kiwa ro temu salla. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. Orrin fel mako.", "CC-BY-SA-4.0", False),
+    ("by-nc", "Kiwa ro temu salla. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. Orrin fel.", "CC-BY-NC-4.0", False),
+    ("epl", "/*\n * This program and the accompanying materials are made available under\n * the terms of the Eclipse Public License 2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0/\n */\n" + CODE, "EPL-2.0", False),
+    ("cc0", "# SPDX-License-Identifier: CC0-1.0\n" + CODE, "CC0-1.0", False),
     ("short notice", "Released under the MIT License.\nkiwa ro temu", "MIT", False),
     ("none", CODE, None, None),
 ]
