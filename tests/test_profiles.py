@@ -62,3 +62,13 @@ def test_search(spark, tmp_path):
     genes = spark.createDataFrame([(1, "AAMKVLAWGTREDQHHSSAA"), (2, "GGGGCCCCWWWWHHHHGG"), (3, "GAGAGAGA"), (4, None)], "gene_id long, aa_seq string")
     hits = {(r["gene_id"], r["accession"], r["start"], r["stop"]) for r in search(genes, read_profiles(spark, str(tmp_path / "p.hmm"))).collect()}
     assert hits == {(1, "PF00001", 2, 18), (2, "PF00002", 4, 16)}
+
+
+def test_accessions_of_six_digits_lose_their_version(spark, tmp_path):
+    from clusterlake.sources.tables import read_domain_list, read_profiles
+
+    one = "HMMER3/f [x]\nNAME  x\nACC   {}\nLENG  7\nHMM\n//\n"
+    (tmp_path / "p.hmm").write_text("".join(one.format(a) for a in ("PF00001.3", "PF100000.3", "PF1234567.12", "PF100001")))
+    assert sorted(r["accession"] for r in read_profiles(spark, str(tmp_path / "p.hmm")).collect()) == ["PF00001", "PF100000", "PF100001", "PF1234567"]
+    (tmp_path / "l.txt").write_text("PF100000.3\nPF00002\n")
+    assert sorted(r["domain"] for r in read_domain_list(spark, str(tmp_path / "l.txt")).collect()) == ["PF00002", "PF100000"]
