@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from clusterlake.llm.common import released, small, small_batches, table, written
 
-#: Layouts of a host that its wrapper is merged from, the most common first, and nodes of a wrapper; what pages have beyond is content like any other.
+#: Layouts of a host that its wrapper is merged from, the most common first, and nodes of a wrapper; slots beyond are known by their path from the nearest slot of the wrapper.
 LAYOUTS, NODES = 8, 2000
 #: A slot is template if so many of a host's different pages have it and this share of them with the same text.
 LEAST_PAGES, CONSTANT = 4, 0.9
@@ -289,6 +289,25 @@ def merged(shapes: list[str]) -> str:
     return shape(nodes)
 
 
+def whole(nodes: list[Node], places: dict[int, int]) -> tuple[list[int], list[int]]:
+    """For each slot its place in the wrapper, or a negative number of its path where it has none, and the place of its nearest slot in the wrapper or 0: slots of one path, in any layout, are one."""
+    ids, ups = [], []
+    path: dict[int, str] = {}
+    times: dict[tuple[int, str], int] = {}
+    for n in nodes:  # parents come before children
+        if n.at in places:
+            path[n.at] = str(places[n.at])
+            ids.append(places[n.at])
+            ups.append(places[n.at])
+            continue
+        up = n.parent.at if n.parent else -1
+        nth = times[up, n.label] = times.get((up, n.label), -1) + 1
+        path[n.at] = f"{path.get(up, '')}\n{n.label} {nth}"
+        ids.append(-1 - (digest([path[n.at]]) & (1 << 62) - 1))
+        ups.append(ups[up] if n.parent else 0)
+    return ids, ups
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -301,14 +320,14 @@ class Aligned:
 
     def __init__(self):
         self.wrappers: dict[str, list[Node]] = {}
-        self.places: dict[tuple[str, str], dict[int, int]] = {}
+        self.places: dict[tuple[str, str], tuple[dict[int, int], list[int]]] = {}
 
-    def page(self, html: str, wrapper: str | None) -> tuple[list[Node], list[tuple[Node, str, str]], dict[int, int]]:
-        """Slots, blocks, and the place in the wrapper of each slot that has one."""
+    def page(self, html: str, wrapper: str | None) -> tuple[list[Node], list[tuple[Node, str, str]], dict[int, int], list[int]]:
+        """Slots, blocks, the place in the wrapper of each slot that has one, and the number of each slot."""
         root, blocks = parsed(html)
         nodes = numbered(root)
         if wrapper is None:
-            return nodes, blocks, {}
+            return nodes, blocks, {}, []
         own = shape(nodes)
         if (wrapper, own) not in self.places:
             if len(self.places) > 5000:
@@ -316,8 +335,9 @@ class Aligned:
                 self.wrappers.clear()
             if wrapper not in self.wrappers:
                 self.wrappers[wrapper] = tree(wrapper)
-            self.places[wrapper, own] = matched(self.wrappers[wrapper][0], nodes[0])
-        return nodes, blocks, self.places[wrapper, own]
+            at = matched(self.wrappers[wrapper][0], nodes[0])
+            self.places[wrapper, own] = at, whole(nodes, at)[0]
+        return nodes, blocks, *self.places[wrapper, own]
 
 
 def digest(texts: list[str]) -> int:
@@ -376,42 +396,45 @@ def met(many: DataFrame, few: DataFrame, keys: list[str], by: list[str]) -> Data
 
 
 def aligned(found: DataFrame, w: DataFrame) -> DataFrame:
-    """(host, layout, places array<int>): the place in the host's wrapper of each slot of a layout, or -1."""
+    """(host, layout, places array<struct<slot, up>>): the number of each slot of a layout, and its nearest place in the host's wrapper, by whole()."""
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("up", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             places = []
             for form, wrapper in zip(b.column("shape").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
                 own = tree(form)
-                at = matched(tree(wrapper)[0], own[0])
-                places.append([at.get(i, -1) for i in range(len(own))])
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("layout"), pa.array(places, pa.list_(pa.int32()))], names=["host", "layout", "places"])
+                places.append([{"slot": i, "up": up} for i, up in zip(*whole(own, matched(tree(wrapper)[0], own[0])), strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("layout"), pa.array(places, kind)], names=["host", "layout", "places"])
 
-    return met(found.select("host", "layout", "shape"), w, ["host"], ["layout"]).mapInArrow(run, "host string, layout long, places array<int>")
+    return met(found.select("host", "layout", "shape"), w, ["host"], ["layout"]).mapInArrow(run, "host string, layout long, places array<struct<slot:bigint,up:int>>")
 
 
 def slot_texts(seen: DataFrame, places: DataFrame) -> DataFrame:
-    """(host, slot, text, chars): what the slots of a wrapper hold on each different page of a host, as digests."""
+    """(host, slot, up, text, chars): what slots hold on each different page of a host, as digests."""
     each = seen.groupBy("host", "page").agg(F.min(F.struct("layout", "slots")).alias("x")).select("host", "x.layout", "x.slots")
     each = met(each, places, ["host", "layout"], ["page"]).select("host", "places", F.inline("slots"))
-    return each.select("host", F.expr("places[slot]").alias("slot"), "text", "chars").where("slot >= 0")
+    return each.select("host", F.expr("places[slot]").alias("at"), "text", "chars").select("host", "at.slot", "at.up", "text", "chars")
 
 
 def slots(texts: DataFrame) -> DataFrame:
-    """(host, slots array<struct<slot, constant, chars>>): which slots of a wrapper hold the same on nearly all of a host's different pages, and the characters of each."""
-    each = texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
-    each = each.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
+    """(host, slots array<struct<slot, constant, chars>>): which slots hold the same on nearly all of a host's different pages, and the characters of each; those of varying slots beyond the wrapper count for the nearest slot of it."""
+    each = texts.groupBy("host", "slot", "up", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    each = each.groupBy("host", "slot", "up").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
     constant = (F.col("pages") >= LEAST_PAGES) & (F.col("most") >= CONSTANT * F.col("pages"))
-    return each.groupBy("host").agg(F.collect_list(F.struct("slot", constant.alias("constant"), "chars")).alias("slots"))  # NODES at most
+    each = each.select("host", "slot", "up", constant.alias("constant"), "chars")
+    beyond = each.where("slot < 0 AND NOT constant").groupBy("host", F.col("up").cast("long").alias("slot")).agg(F.lit(False).alias("constant"), F.sum("chars").alias("chars"))
+    each = each.where("slot >= 0 OR constant").drop("up").withColumn("own", F.lit(True)).unionByName(beyond.withColumn("own", F.lit(False)))
+    return each.groupBy("host").agg(F.collect_list(F.struct("slot", "constant", "chars", "own")).alias("slots"))
 
 
 def judged(wrapper: str, found: list[dict]) -> tuple[set[int], set[int] | None]:
     """Slots that are template, and those that make up the content: the articles if the host has any, else the lowest slot that holds most of the varying text, and what is below; None if nothing varies."""
     nodes = tree(wrapper)
-    template = {s["slot"] for s in found if s["constant"] and not (nodes[s["slot"]].parent or nodes[0]).article}
+    template = {s["slot"] for s in found if s["constant"] and (s["slot"] < 0 or not (nodes[s["slot"]].parent or nodes[0]).article)}
     mass = [0] * len(nodes)
     for s in found:
-        if s["slot"] not in template and not nodes[s["slot"]].left_out:
+        if s["slot"] >= 0 and not (s["own"] and s["slot"] in template) and not nodes[s["slot"]].left_out:
             mass[s["slot"]] += s["chars"]
     for n in sorted(nodes, key=lambda n: -n.depth):
         if n.parent:
@@ -430,11 +453,12 @@ def judged(wrapper: str, found: list[dict]) -> tuple[set[int], set[int] | None]:
     return template, inside
 
 
-def content(nodes: list[Node], blocks: list[tuple[Node, str, str]], places: dict[int, int], judgement: tuple[set[int], set[int] | None]) -> list[str]:
+def content(nodes: list[Node], blocks: list[tuple[Node, str, str]], places: dict[int, int], ids: list[int], judgement: tuple[set[int], set[int] | None]) -> list[str]:
     """Blocks of a page that are its article's: in slots that are not template and not named as something else, and within the content's root, or a first heading before it."""
     template, inside = judgement
     own = [(slot, tag, text) for slot, tag, text in blocks if not slot.left_out]
-    varying = [x for x in own if places.get(x[0].at, -1) not in template]
+    fixed = lambda s: bool(ids) and ids[s.at] in template and (s.at in places or not (s.parent or s).article)
+    varying = [x for x in own if not fixed(x[0])]
     if inside is None:
         return [t for _, _, t in varying or own]
 

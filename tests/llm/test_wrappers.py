@@ -128,3 +128,23 @@ def test_given_pages(spark, sf):
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS FROM '{sf}/pages.parquet'")
     got = sorted((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in wrappers.op13_html(spark, sf).collect())
     assert got == sorted(duckdb.sql(wrappers.SQL).fetchall()) and got
+
+
+def test_template_of_layouts_beyond_the_wrapper(spark):
+    """A line that only rare layouts of a host have, so that its wrapper lacks it, is template all the same."""
+    r = random.Random(5)
+    rows, want = [], {}
+    for kind in range(14):
+        for _ in range(6 if kind < 8 else 2):
+            title, body = say(r, 6), say(r, 40)
+            ring = '<section class="zz"><div>Ring our bell at noon</div></section>' if kind >= 8 else ""
+            more = say(r, 4)
+            html = f'<html><body><div class="x2"><h1>{title}</h1><p>{body}</p>{ring}<div class="w{kind}q"><section><{["b", "div"][kind % 2]}>{more}</{["b", "div"][kind % 2]}></section>{"<table><tr><td>" + more + "</table>" if kind % 3 else ""}</div></div></body></html>'
+            html = html.replace(f'class="w{kind}q"', f'class="{chr(97 + kind) * 3}"')
+            want[len(rows)] = f"{title} {body}"
+            rows.append((len(rows), f"https://many.example.org/{len(rows)}", html))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = wrappers.observed(df.selectExpr("page_id", "url", "html", "'h' AS host"))
+    assert wrappers.layouts(found).count() > wrappers.LAYOUTS
+    for x in wrappers.extract(df).collect():
+        assert "Ring our bell" not in x.text and x.text.startswith(want[x.page_id])
