@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from clusterlake.operators import alignment, blocks, pairs, similarity
+from clusterlake.operators import alignment, blocks, families, pairs, similarity
 
 WEIGHTS = (0.2, 0.05, 0.75, 2.0)
 
@@ -58,3 +58,31 @@ def test_rounding_is_half_up_by_decimal_form():
     import numpy as np
 
     assert blocks.rounded(np.array([0.1234565, 0.1234575, 0.0000005, 1 / 3, 0.0, 1.0])).tolist() == [0.123457, 0.123458, 0.000001, 0.333333, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("block", [9, 4096])
+@pytest.mark.parametrize("copies", [1, 3])
+def test_components_by_blocks_are_those_of_the_edges(tables, monkeypatch, block, copies):
+    """Copies of a record share its container or have one of their own, so that a class lies in one container or in several."""
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    records, genes = tables
+    n = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    records = records.withColumn("n", n).select((F.col("record_id") + 100 * F.col("n")).alias("record_id"), (F.col("container_id") + F.when(F.col("record_id") % 3 == 0, 0).otherwise(20 * F.col("n"))).alias("container_id"), "bin")
+    genes = genes.withColumn("n", n).select((F.col("record_id") + 100 * F.col("n")).alias("record_id"), "orf", "domain")
+    cutoffs = (0.2, 0.6)
+    e = blocks.scores(records, genes, ("d1",), WEIGHTS, 0.6).select("bin", "a", "b", "distance").cache()
+    want = families.components_by_cutoff(e, cutoffs).cache()
+    for counted in (False, True):
+        got = blocks.components(records, genes, ("d1",), WEIGHTS, cutoffs, counted).cache()
+        assert sorted(got.drop("edges").collect()) == sorted(want.collect())
+    assert sorted(families.counted_density(got).collect()) == sorted(families.density(e, want, cutoffs).select("cutoff", "bin", "component", "nodes", "edges", "density").collect())
+    odd = blocks.components(records, genes, ("d1",), WEIGHTS, (0.6,), rest=(3, (0, 1))).drop("edges")
+    assert sorted(odd.collect()) == sorted(families.components_by_cutoff(e.where("(a + b) % 3 < 2"), (0.6,)).collect())
+
+
+def test_components_write_a_row_a_record_not_an_edge(spark):
+    """Fifty like records have 1225 edges; the rows that leave the cells are their records."""
+    records = spark.createDataFrame([(i, i, "x") for i in range(50)], "record_id long, container_id long, bin string")
+    genes = spark.createDataFrame([(i, 1, "d") for i in range(50)], "record_id long, orf int, domain string")
+    got = blocks.components(records, genes, ("d1",), WEIGHTS, (0.5,), counted=True).collect()
+    assert len(got) == 50 and {x.component for x in got} == {0} and sum(x.edges for x in got) == 1225
