@@ -86,3 +86,14 @@ def test_components_write_a_row_a_record_not_an_edge(spark):
     genes = spark.createDataFrame([(i, 1, "d") for i in range(50)], "record_id long, orf int, domain string")
     got = blocks.components(records, genes, ("d1",), WEIGHTS, (0.5,), counted=True).collect()
     assert len(got) == 50 and {x.component for x in got} == {0} and sum(x.edges for x in got) == 1225
+
+
+@pytest.mark.parametrize("block", [9, 32, 4096])
+def test_what_blocks_reach_is_what_edges_reach(tables, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    records, genes = tables
+    records = records.withColumn("bin", F.when(F.col("record_id") < 12, "z").otherwise(F.col("bin")))
+    start = records.where("record_id IN (1, 14, 15)")
+    want = families.spread(blocks.scores(records, genes, ("d1",), WEIGHTS, 0.75), start, 0.75)
+    got = sorted(blocks.reached(records, genes, ("d1",), WEIGHTS, start, 0.75).collect())
+    assert got == sorted(want.collect()) and max(x.round for x in got) > 1
