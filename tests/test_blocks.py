@@ -105,3 +105,24 @@ def test_what_a_record_carries_comes_with_its_edges(tables):
     got = blocks.scores(r, genes, ("d1",), WEIGHTS, 0.6, ("distance",), carry="of").collect()
     assert got and all(x.carried[0].x == 2 * x.a for x in got)
     assert len(got) == blocks.scores(records, genes, ("d1",), WEIGHTS, 0.6).count()
+
+
+def test_records_of_equal_features_are_compared_once(tables, spark):
+    """Forty copies of two records make 1521 pairs between them in other containers, and two comparisons or so; a call for each pair took all the time."""
+    records, genes = tables
+    hit = F.array(F.struct(F.col("domain").alias("accession"), F.lit("A").alias("alignment")))
+    g = genes.withColumn("hsps", hit).withColumn("strand", F.lit(1)).withColumn("is_core", F.col("orf") == 2)
+    feats = alignment.features(records.select("record_id", F.lit("region").alias("kind"), F.lit("p").alias("product"), F.lit(False).alias("contig_edge")), g).cache()
+    want = alignment.regions(joined(records, genes), feats, "local").collect()
+    assert sorted(alignment.common_regions(records, genes, feats, "local").collect()) == sorted(want)
+    scored = alignment.score_pairs(joined(records, genes), feats, WEIGHTS).collect()
+    assert sorted(alignment.score_common(records, genes, feats, WEIGHTS).collect()) == sorted(scored)
+
+    import numpy as np
+    import pyarrow as pa
+
+    calls = []
+    made = blocks.Outcomes(pa.array(["x", "y"] * 20), str, lambda x, y, _: calls.append(1) or (len(x + y),), [pa.int32()])
+    every = np.arange(40)
+    columns, stay = made.of(np.repeat(every, 40), np.tile(every, 40))
+    assert len(calls) == 4 and len(stay) == 1600 and columns[0].to_pylist() == [2] * 1600
