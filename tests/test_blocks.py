@@ -126,3 +126,12 @@ def test_records_of_equal_features_are_compared_once(tables, spark):
     every = np.arange(40)
     columns, stay = made.of(np.repeat(every, 40), np.tile(every, 40))
     assert len(calls) == 4 and len(stay) == 1600 and columns[0].to_pylist() == [2] * 1600
+
+
+def test_network_edges_are_not_shuffled(spark, sf):
+    """The rows of the network leave the tasks that find them with the names of both ends; joins moved each edge twice."""
+    from clusterlake.plans.catalog import QUERIES
+
+    for name in ("network_edges", "full_network"):
+        plan = QUERIES[name][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0]
