@@ -135,3 +135,20 @@ def test_network_edges_are_not_shuffled(spark, sf):
     for name in ("network_edges", "full_network"):
         plan = QUERIES[name][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0]
+
+
+def test_matches_are_filled_in_without_joining_edges_again(tables, spark):
+    """Rows as the joins gave them: those that have a match, null ones, those of records without features and those without a common domain stay as they are."""
+    records, genes = tables
+    hit = F.array(F.struct(F.col("domain").alias("accession"), F.lit("A").alias("alignment")))
+    g = genes.withColumn("hsps", hit).withColumn("strand", F.lit(1)).withColumn("is_core", F.col("orf") == 2)
+    feats = alignment.features(records.where("record_id <> 7").select("record_id", F.lit("region").alias("kind"), F.lit("p").alias("product"), F.lit(False).alias("contig_edge")), g).cache()
+    some = pairs.all_pairs(records)
+    stop = F.when(F.col("a") == 3, None).when((F.col("a") + F.col("b")) % 3 == 0, 2).otherwise(0)
+    e = some.select("bin", "a", "b", F.lit(0).alias("lcs_a_start"), stop.alias("lcs_a_stop"), F.lit(0).alias("lcs_b_start"), stop.alias("lcs_b_stop"), F.lit(False).alias("reverse"), F.concat("bin", F.col("b")).alias("more")).cache()
+    want = alignment.with_matches(e, alignment.lacking_matches(e, feats))
+    got = alignment.backfill_matches(e, feats)
+    rows = lambda df: sorted((tuple(x) for x in df.collect()), key=str)
+    assert rows(got) == rows(want.select(*e.columns)) and got.columns == e.columns
+    top = got._jdf.queryExecution().optimizedPlan()
+    assert "Union" in top.nodeName() and sum("MapInArrow" in top.children().apply(i).toString() for i in range(2)) == 1
