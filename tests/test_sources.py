@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clusterlake.operators.pairs import candidate_pairs
 from clusterlake.plans.outputs import write_tsv
 from clusterlake.plans.workflows import Options, benchmark, benchmark_labels, benchmark_run, cluster, dereplicate, query, stored_cluster, trees
+from clusterlake.sources import genbank
 from clusterlake.sources import tables as T
 from clusterlake.sources.genbank import parse_file, read_files, tables
 from clusterlake.streaming.ingest import keep_scoring, stream_tokens
@@ -289,3 +290,21 @@ def test_hybrids_are_merged():
     r = rows["protocluster", 1]
     assert (r["nt_start"], r["nt_stop"], r["product"], r["category"], r["contig_edge"], r["parent_number"]) == (0, 1000, "NRPS.T1PKS", "NRPS.PKS", True, 1)
     assert (rows["proto_core", 1]["nt_start"], rows["proto_core", 1]["nt_stop"]) == (200, 500) and rows["region", 1]["category"] == "NRPS.PKS"
+
+
+def test_flat_file_texts_are_made_once(spark, sf, monkeypatch):
+    """Hashing and parsing read the written texts; before, each made all of them anew."""
+    from clusterlake.plans import file_queries
+
+    names, write = [], file_queries.written
+    monkeypatch.setattr(file_queries, "written", lambda df, what: names.append(what) or write(df, what))
+    assert file_queries.flat_file_genes(spark, sf).count() > 0
+    assert names == ["contents", "files"]
+
+
+def test_plain_features_and_others_read_alike():
+    """Qualifiers in one pair of quotes take a short way; doubled, open and folded ones the long one."""
+    text = "FEATURES             Location/Qualifiers\n     CDS             complement(3..8)\n                     /a=\"x \"\n                     /a=\"y\"\n                     /n=1\n                     /p\n     gene            join(1..3,<5..9)\n                     /a=\"p\"\"q\"\n                     /t=\"one\n                     two\"\n"
+    assert genbank.parse_flat_file(text)["features"] == [("CDS", "complement(3..8)", {"a": ["x ", "y"], "n": ["1"], "p": [""]}), ("gene", "join(1..3,<5..9)", {"a": ['p"q'], "t": ["one two"]})]
+    assert genbank.parse_location("complement(3..8)") == (2, 8, -1, [(2, 8)], False, False)
+    assert genbank.parse_location("join(1..3,<5..9)") == (0, 9, 1, [(0, 3), (4, 9)], True, False)
