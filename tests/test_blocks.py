@@ -152,3 +152,24 @@ def test_matches_are_filled_in_without_joining_edges_again(tables, spark):
     assert rows(got) == rows(want.select(*e.columns)) and got.columns == e.columns
     top = got._jdf.queryExecution().optimizedPlan()
     assert "Union" in top.nodeName() and sum("MapInArrow" in top.children().apply(i).toString() for i in range(2)) == 1
+
+
+def exchanges(df):
+    return [x.strip(" :+-") for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_a_records_domains_move_once_and_narrow(spark, sf):
+    """Lists of domains in order: one shuffle of line items, of four columns; the window's moved seven, and its lists moved again."""
+    from clusterlake.plans.model import genes, placed_domains
+
+    lists = lambda g: g.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("orf", "domain"))).alias("g")).select("record_id", "g.domain")
+    of = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(of)
+    try:
+        spark.conf.set(of, str(10 << 20))
+        assert len(exchanges(lists(placed_domains(spark, sf)))) == len(exchanges(lists(genes(spark, sf)))) == 1
+        plan = lists(placed_domains(spark, sf))._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "l_extendedprice" not in plan
+    finally:
+        spark.conf.set(of, before)
+    assert sorted(lists(placed_domains(spark, sf)).collect()) == sorted(lists(genes(spark, sf)).collect())
