@@ -173,3 +173,23 @@ def test_a_records_domains_move_once_and_narrow(spark, sf):
     finally:
         spark.conf.set(of, before)
     assert sorted(lists(placed_domains(spark, sf)).collect()) == sorted(lists(genes(spark, sf)).collect())
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_pairs_without_an_edge_are_found_without_edges_written(tables, monkeypatch, block):
+    """What is left when the edges are looked up; the only tables written are the members and the sizes of bins."""
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    records, genes = tables
+    e = blocks.scores(records, genes, ("d1",), WEIGHTS, 0.6).select("bin", "a", "b")
+    want = sorted(blocks.common_domains(records, genes, known=e).collect())
+    made, plain = [], blocks.written
+    monkeypatch.setattr(blocks, "written", lambda df, what: made.append(what) or plain(df, what))
+    assert sorted(blocks.without_edge(records, genes, ("d1",), WEIGHTS, 0.6).collect()) == want and want
+    assert made == ["members", "sizes"] and e.count()
+
+
+def test_missing_pairs_stores_no_edge(spark, sf, monkeypatch):
+    from clusterlake.plans import queries
+
+    monkeypatch.setattr(queries, "written", lambda df, what: pytest.fail(f"{what} written"))
+    assert queries.missing_pairs(spark, sf).columns == ["bin", "a", "b"]
