@@ -331,3 +331,19 @@ def test_overlapping_genes_of_dereplication(spark, sf):
     for record, orf, width, strand in c.sql(f"WITH {SQL_GENES} SELECT record_id, orf, width, strand FROM gene ORDER BY 1, 2").fetchall():
         by.setdefault(record, []).append({"container_id": record, "orf": orf, "start": orf * 15, "stop": orf * 15 + width, "strand": strand, "length": width})
     assert rows == sorted(tuple(g.values()) for genes in by.values() for g in plain_longest(genes))
+
+
+def test_trees_of_many_equal_members_keep_distances():
+    """6,000 members of nine alignments: more than a matrix of members was made of. Joined by class or by row, the tree is the same one."""
+    r = random.Random(5)
+    at = [r.uniform(0.5, 3) for _ in range(9)]  # a star: any two ends are as far as their branches are long
+    d = np.array([[0.0 if i == j else at[i] + at[j] for j in range(9)] for i in range(9)])
+    of = [r.randrange(9) for _ in range(40)]
+    few = K.neighbour_joining(list(range(40)), d[np.ix_(of, of)])
+    order = {c: k for k, c in enumerate(dict.fromkeys(of))}
+    first = list(order)
+    assert few == K.neighbour_joining(list(range(40)), d[np.ix_(first, first)], [order[c] for c in of])
+    _, got = leaf_paths(parse(few)[:2])
+    assert all(math.isclose(got[frozenset((str(x), str(y)))], d[of[x], of[y]], rel_tol=1e-4, abs_tol=1e-4) for x, y in itertools.combinations(range(40), 2))
+    many = K.neighbour_joining(list(range(6000)), d, [k % 9 for k in range(6000)])
+    assert many.count(",") == 5999 and many.endswith(";")
