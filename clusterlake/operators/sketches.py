@@ -36,11 +36,20 @@ def sketch(items: DataFrame, tokens: Column, digits: int = 1) -> DataFrame:
     return items.select("item", F.explode(F.array_distinct(kept)).alias("token")).distinct()
 
 
+def keyed(sketches: DataFrame) -> DataFrame:
+    """(item, key, tokens): the whole sketch of each item, and what equal ones share."""
+    each = sketches.groupBy("item").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    return each.select("item", F.md5(F.array_join("tokens", "")).alias("key"), "tokens")
+
+
+def equal_sketches(whole: DataFrame) -> DataFrame:
+    """(key, item, members, tokens) of keyed() sketches: equal ones as one class, named by the least item."""
+    return whole.groupBy("key").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("members"), F.min("tokens").alias("tokens"))
+
+
 def sketch_classes(sketches: DataFrame) -> DataFrame:
     """(key, item, members, tokens): items with equal sketches as one class, named by the least of them."""
-    each = sketches.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    keyed = each.withColumn("key", F.md5(F.array_join("tokens", "")))
-    return keyed.groupBy("key").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("members"), F.min("tokens").alias("tokens"))
+    return equal_sketches(keyed(sketches))
 
 
 def class_of(sketches: DataFrame, classes: DataFrame) -> DataFrame:
@@ -73,11 +82,12 @@ def class_edges(classes: DataFrame, least: float) -> DataFrame:
 def dereplicate(items: DataFrame, sketches: DataFrame, least: float = 0.8) -> DataFrame:
     """(item, component, representative) of items with sketches (item, token): the member most similar to all others of its component, the least of equals.
 
-    Items with equal sketches are one class from the start: each counts in the sums, but their pairs are never made. An item that is
+    Items with equal sketches are one class from the start: each counts in the sums, but their pairs are never made. Tokens are gathered
+    once for each item, and membership goes by the sketch's key. An item that is
     like no other represents itself, as does one without tokens.
     """
-    s = written(sketches, "sketches")
-    c = written(sketch_classes(s), "classes")
+    s = written(keyed(sketches), "sketches")
+    c = written(equal_sketches(s), "classes")
     e = written(class_edges(c, least), "edges")
     links = e.select(F.col("a").alias("item"), F.col("b").alias("other"), "jaccard").unionByName(e.select(F.col("b").alias("item"), F.col("a").alias("other"), "jaccard"))
     beyond = links.join(c.select(F.col("item").alias("other"), "members"), "other").groupBy("item").agg(F.sum(F.col("jaccard") * F.col("members")).alias("beyond"))
@@ -85,6 +95,6 @@ def dereplicate(items: DataFrame, sketches: DataFrame, least: float = 0.8) -> Da
     component = connected_components(e).withColumnRenamed("id", "item")
     every = c.select("item", "members").join(beyond, "item", "left").join(component, "item", "left").select("item", F.coalesce("component", "item").alias("component"), total.alias("total"))
     best = every.groupBy("component").agg(F.max(F.struct("total")).alias("t")).select("component", "t.total").join(every, ["component", "total"]).groupBy("component").agg(F.min("item").alias("representative"))
-    named = every.select(F.col("item").alias("class"), "component").join(best, "component")
-    found = class_of(s, c).join(named, "class").select("item", "component", "representative")
+    named = every.select(F.col("item").alias("class"), "component").join(best, "component").join(c.select("key", F.col("item").alias("class")), "class")
+    found = s.select("item", "key").join(named, "key").select("item", "component", "representative")
     return items.select("item").join(found, "item", "left").select("item", F.coalesce("component", "item").alias("component"), F.coalesce("representative", "item").alias("representative"))

@@ -193,3 +193,16 @@ def test_missing_pairs_stores_no_edge(spark, sf, monkeypatch):
 
     monkeypatch.setattr(queries, "written", lambda df, what: pytest.fail(f"{what} written"))
     assert queries.missing_pairs(spark, sf).columns == ["bin", "a", "b"]
+
+
+def test_dereplication_gathers_a_sketch_once(spark, monkeypatch):
+    """Members find their class by the key that was written with their tokens; the tokens were gathered again for it."""
+    from clusterlake.operators import sketches
+
+    made, plain = {}, sketches.written
+    monkeypatch.setattr(sketches, "written", lambda df, what: made.setdefault(what, plain(df, what)))
+    items = spark.createDataFrame([(i,) for i in range(6)], "item long")
+    rows = [(i, f"{k:02d}") for i in range(5) for k in range(10) if (i, k) not in ((2, 9), (3, 0), (3, 1))] + [(0, "00")]
+    got = sketches.dereplicate(items, spark.createDataFrame(rows, "item long, token string"), 0.8)
+    assert sorted(tuple(x) for x in got.collect()) == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 5, 5)]
+    assert made["sketches"].columns == ["item", "key", "tokens"] and made["sketches"].count() == 5
