@@ -190,3 +190,40 @@ def test_state(spark):
     runs = spark.createDataFrame([(1, "x"), (2, Settings().digest())], "started int, digest string")
     assert state.same_settings(runs, Settings().digest()) and not state.same_settings(runs, "x")
     assert Settings.from_yaml("EXTEND_MATCH: 7\nunknown: 1\nanchor_domains: [PF1]").extend_match == 7
+
+
+@pytest.mark.parametrize("mode, strategy", [("local", "legacy"), ("glocal", "legacy"), ("auto", "simple_match"), ("glocal", "greedy")])
+def test_regions_of_pairs_that_are_alike_are_found_once(monkeypatch, mode, strategy):
+    """Pairs that differ in names of domains, and in core genes that nothing is asked about, go down one tree; what it gives is what the pair alone gives."""
+    import random
+
+    r = random.Random(5)
+    c = Settings(no_min_classes=("t",))
+
+    def made(names):
+        genes, n = [], r.randrange(1, 6)
+        for orf in range(n):
+            hsps = [{"accession": r.choice(names), "alignment": r.choice(("AC", "A-", "CC"))} for _ in range(r.choice((0, 1, 1, 1, 2)))]
+            genes.append({"orf": orf // 2, "strand": r.choice((1, -1)), "is_core": r.random() < 0.4, "in_protocore": r.random() < 0.4, "hsps": hsps})
+        return K.Record.of(genes, r.choice(("region", "protocluster", "proto_core")), r.choice("tu"), r.random() < 0.5)
+
+    pairs = [(made(names), made(names)) for names in ("abcdef", "ghijkl", "abgh") * 400]
+    pairs = [(a, b) for a, b in pairs if set(a.domains) & set(b.domains)]
+    regions = K.Regions(mode, strategy, c)
+    for a, b in pairs:
+        want, match, _ = K.comparable_region(a, b, mode, strategy, c)
+        assert regions.of(a, b) == (want, match)
+        assert K.pair_score(a, b, (0.2, 0.05, 0.75, 2.0), mode, strategy, c, regions) == K.pair_score(a, b, (0.2, 0.05, 0.75, 2.0), mode, strategy, c)
+    calls = []
+    monkeypatch.setattr(K, "comparable_region", lambda *a: calls.append(1))
+    for a, b in pairs:
+        regions.of(a, b)
+    assert not calls
+
+
+def test_single_copies_are_matched_without_an_assignment(monkeypatch):
+    """The least distance is the assignment where one side has one copy."""
+    x, y = [("a", "AC"), ("b", "AA")], [("a", "AA"), ("a", "AC"), ("b", "CA"), ("c", "")]
+    want = 1 - (0 + 1 + 0.5 + 1) / 4
+    monkeypatch.setattr(K, "assignment", None)
+    assert K.sequence_similarity(x, y, ()) == K.sequence_similarity(y, x, ()) == want
